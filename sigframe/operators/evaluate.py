@@ -106,8 +106,9 @@ def class_report_avg(report: DataFrame, by: list[str] | None = None) -> DataFram
     rows = F.array(
         F.struct(F.lit("accuracy").alias("kind"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), F.col("acc").alias("f1")),
-        F.struct(F.lit("macro avg"), F.col("m_p"), F.col("m_r"), F.col("m_f")),
-        F.struct(F.lit("weighted avg"), F.col("w_p"), F.col("w_r"), F.col("w_f")))
+        *[F.struct(F.lit(kind).alias("kind"), F.col(f"{p}_p").alias("precision"),
+                   F.col(f"{p}_r").alias("recall"), F.col(f"{p}_f").alias("f1"))
+          for kind, p in (("macro avg", "m"), ("weighted avg", "w"))])
     return agg.select(*by, F.inline(rows), "support")
 
 

@@ -59,7 +59,10 @@ def query(name: str, sql: str | None = None):
 
 
 def r(c, d=6):
-    return F.round(F.col(c) if isinstance(c, str) else c, d)
+    """Round a float result (keeps the column name when given by name)."""
+    if isinstance(c, str):
+        return F.round(F.col(c), d).alias(c)
+    return F.round(c, d)
 
 
 # ---- shared inputs -----------------------------------------------------------
