@@ -9,8 +9,8 @@ survives recomputation. A grouped count per (key, bucket) - a small table -
 gives every bucket its starting offset by a running sum, and ``row_number``
 runs inside each (key, bucket) group, whose size the width bounds.
 
-The width comes from one tiny global aggregate: (max - min) * rows_per_bucket /
-rows, so buckets hold about ``rows_per_bucket`` rows wherever the data is spread
+The width comes from one tiny global aggregate, a scalar subquery of the same
+plan: (max - min) * rows_per_bucket / rows, so buckets hold about ``rows_per_bucket`` rows wherever the data is spread
 evenly over the leading order column. Rows with an equal leading value always
 share a bucket.
 """
@@ -65,12 +65,14 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     if v is None:
         bucket = F.lit(0).cast("long")
     else:
-        width = bucket_width
-        if width is None:
-            st = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-            if st["n"] and st["hi"] is not None and st["hi"] > st["lo"] and st["n"] > rows_per_bucket:
-                width = (st["hi"] - st["lo"]) * rows_per_bucket / st["n"]
-        bucket = F.floor(v / F.lit(float(width))).cast("long") if width else F.lit(0).cast("long")
+        if bucket_width is not None:
+            width = F.lit(float(bucket_width))
+        else:
+            # A scalar subquery: evaluated once when the query runs, no eager job.
+            n, lo, hi = F.count(F.lit(1)), F.min(v), F.max(v)
+            width = df.agg(F.when((n > rows_per_bucket) & (hi > lo),
+                                  (hi - lo) * F.lit(float(rows_per_bucket)) / n).alias("w")).scalar()
+        bucket = F.coalesce(F.floor(v / width).cast("long"), F.lit(0).cast("long"))
         if descending:
             bucket = -bucket
         # NULL order values sort first ascending, last descending.

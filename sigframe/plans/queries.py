@@ -67,10 +67,6 @@ def r(c, d=6):
 
 # ---- shared inputs -----------------------------------------------------------
 
-def _ev(spark, d):
-    return TB.indexed_events(spark, d)
-
-
 def samples(spark, d) -> DataFrame:
     return P.prepare_samples(TB.signals_raw(spark, d))
 
@@ -81,14 +77,12 @@ def labels_typed(spark, d) -> DataFrame:
 
 def prep_rows(spark, d) -> DataFrame:
     """Preprocessed samples with epoch and in-epoch position."""
-    ev = _ev(spark, d)
-    rows = P.preprocess(TB.signals_raw(spark, d, ev), TB.labels_raw(spark, d, ev), n=N, with_key=False)
+    rows = P.preprocess(TB.signals_raw(spark, d), TB.labels_raw(spark, d), n=N, with_key=False)
     return rows.withColumn("pos", (F.col("timestep") - F.col("epoch") * N).cast("int"))
 
 
 def flagship(spark, d) -> DataFrame:
-    ev = _ev(spark, d)
-    return epochs_from_raw(TB.signals_raw(spark, d, ev), TB.labels_raw(spark, d, ev), n=N)
+    return epochs_from_raw(TB.signals_raw(spark, d), TB.labels_raw(spark, d), n=N)
 
 
 def holdout_ids(spark, d, k=K_HOLDOUT) -> list[str]:
@@ -128,9 +122,8 @@ def q_csv_roundtrip(spark, d):
     """SNK-1/SNK-3 then SRC-1: data and labels written as two CSVs with headers,
     the data read back through the all-strings-then-cast reader."""
     path = _scratch(spark, "csv")
-    ev = _ev(spark, d)
-    IO.write_csv(TB.signals_raw(spark, d, ev), path + "/data")
-    IO.write_csv(TB.labels_raw(spark, d, ev), path + "/labels")
+    IO.write_csv(TB.signals_raw(spark, d), path + "/data")
+    IO.write_csv(TB.labels_raw(spark, d), path + "/labels")
     return P.prepare_samples(IO.read_csv(spark, path + "/data", RAW_DATA))
 
 

@@ -32,10 +32,33 @@ SEED = 42
 ANCHOR = "2024-01-01 00:00:00"
 
 
+# (table name, sf_dir) -> parquet path of a materialised copy; see ``materialize``.
+_MATERIALIZED: dict[tuple[str, str], str] = {}
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def _stored(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | None:
+    path = _MATERIALIZED.get((name, sf_dir))
+    return spark.read.parquet(path) if path else None
+
+
+def materialize(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
+    """Write the adapter tables once as Parquet under ``folder`` (a shared
+    location) and serve later calls from those files, as real inputs would be."""
+    builders = {"signals_raw": signals_raw, "labels_raw": labels_raw,
+                "annotations": annotations, "event_times": event_times, "preds": preds}
+    out = {}
+    for name, fn in builders.items():
+        path = f"{folder}/{name}"
+        fn(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALIZED[(name, sf_dir)] = path
+        out[name] = path
+    return out
+
+
 def condition_expr() -> F.Column:
     et, eid = F.col("event_type"), F.col("event_id")
     return (F.when(eid % 4 == 0, F.lit("Sleep stage ?"))
@@ -50,7 +73,19 @@ def seconds_expr() -> F.Column:
     return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{ANCHOR}', ts)") / F.lit(1e6)
 
 
+_INDEXED: dict[tuple[str, str], DataFrame] = {}
+
+
 def indexed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their recording id and sample number. The plan is built once
+    per session and table folder, so signals and labels share one plan subtree."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXED:
+        _INDEXED[key] = _index_events(spark, sf_dir)
+    return _INDEXED[key]
+
+
+def _index_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = (_events(spark, sf_dir)
           .select("event_id", "ts", "user_id", "event_type", "value", "props")
           .withColumn("patient", F.concat(F.lit("P"), F.col("user_id").cast("string"))))
@@ -62,8 +97,11 @@ def _time():
     return (F.col("timestep") / F.lit(100)).cast("float").alias("time")
 
 
-def signals_raw(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
-    ev = ev if ev is not None else indexed_events(spark, sf_dir)
+def signals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, "signals_raw", sf_dir)
+    if stored is not None:
+        return stored
+    ev = indexed_events(spark, sf_dir)
     return ev.select(
         "patient", "timestep", _time(),
         F.col("value").cast("float").alias("EEG Fpz-Cz"),
@@ -72,12 +110,18 @@ def signals_raw(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -
         (F.col("value") / 2).cast("float").alias("EMG submental"))
 
 
-def labels_raw(spark: SparkSession, sf_dir: str, ev: DataFrame | None = None) -> DataFrame:
-    ev = ev if ev is not None else indexed_events(spark, sf_dir)
+def labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, "labels_raw", sf_dir)
+    if stored is not None:
+        return stored
+    ev = indexed_events(spark, sf_dir)
     return ev.select("patient", "timestep", _time(), condition_expr().alias("condition"))
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, "annotations", sf_dir)
+    if stored is not None:
+        return stored
     ev = indexed_events(spark, sf_dir).select(
         "patient", "timestep", seconds_expr().alias("onset"), condition_expr().alias("description"))
     nxt = ev.select("patient", (F.col("timestep") - 1).alias("timestep"), F.col("onset").alias("_next"))
@@ -88,6 +132,9 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, "event_times", sf_dir)
+    if stored is not None:
+        return stored
     """Point samples on the annotation clock: (patient, event_id, t seconds)."""
     return _events(spark, sf_dir).select(
         F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("patient"),
@@ -95,6 +142,9 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = _stored(spark, "preds", sf_dir)
+    if stored is not None:
+        return stored
     ev = indexed_events(spark, sf_dir)
     lab = stage_label(condition_expr(), "keep")
     shift = F.when(F.col("event_id") % 7 == 0, F.lit(1)).otherwise(F.lit(0))
