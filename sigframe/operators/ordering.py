@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sigframe.functions.times import ntz_micros
+
 _B, _N, _OFF, _RN = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn"
 ROWS_PER_BUCKET = 2_000_000
 
@@ -42,7 +44,7 @@ def _as_number(df: DataFrame, o):
     if isinstance(dt, T.NumericType):
         return F.col(o).cast("double")
     if isinstance(dt, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{o}`)").cast("double")
+        return ntz_micros(o).cast("double")
     if isinstance(dt, T.TimestampType):
         return F.unix_micros(F.col(o)).cast("double")
     if isinstance(dt, T.DateType):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.functions.stages import stage_label
+from sigframe.functions.times import ntz_micros
 from sigframe.operators.ordering import ordered_index
 
 # Fixed values of the adapter.
@@ -70,7 +71,9 @@ def condition_expr() -> F.Column:
 
 
 def seconds_expr() -> F.Column:
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{ANCHOR}', ts)") / F.lit(1e6)
+    """Seconds since ANCHOR, independent of the session time zone."""
+    anchor = ntz_micros(F.lit(ANCHOR).cast("timestamp_ntz"))
+    return (ntz_micros("ts") - anchor) / F.lit(1e6)
 
 
 _INDEXED: dict[tuple[str, str], DataFrame] = {}
