@@ -24,6 +24,17 @@ RECOMMENDED_CONF = {
 }
 
 
+# Sizing for a large cluster (set with spark-submit --conf, not here): start with
+# many shuffle partitions and let AQE merge them to ~256 MB; read files in 256 MB
+# splits. An epoch is 3000 samples x 3 floats, so per-group state stays small.
+CLUSTER_CONF_HINTS = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "sigframe", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the recommended settings.

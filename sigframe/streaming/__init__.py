@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The reference has no stream source, watermark, window or state anywhere, so
+nothing is built here. Every batch operator of this package is a pure
+DataFrame -> DataFrame function, so a stream of new recordings can reuse them
+from ``foreachBatch`` without changes.
+"""
