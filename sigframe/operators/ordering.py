@@ -9,10 +9,11 @@ survives recomputation. A grouped count per (key, bucket) - a small table -
 gives every bucket its starting offset by a running sum, and ``row_number``
 runs inside each (key, bucket) group, whose size the width bounds.
 
-The width comes from one tiny global aggregate, a scalar subquery of the same
-plan: (max - min) * rows_per_bucket / rows, so buckets hold about ``rows_per_bucket`` rows wherever the data is spread
-evenly over the leading order column. Rows with an equal leading value always
-share a bucket.
+The width comes from one small global aggregate over the leading order column:
+(max - min) * rows_per_bucket / rows, so buckets hold about ``rows_per_bucket``
+rows wherever the data is spread evenly over the leading order column. Rows with
+an equal leading value always share a bucket. When the whole input has at most
+``rows_per_bucket`` rows, a plain window is used (it is bounded anyway).
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from sigframe.functions.times import ntz_micros
 
 _B, _N, _OFF, _RN = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn"
 ROWS_PER_BUCKET = 2_000_000
+_PREFIX_BYTES = 6
 
 
 def _col(o):
@@ -49,6 +51,12 @@ def _as_number(df: DataFrame, o):
         return F.unix_micros(F.col(o)).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(F.col(o)).cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        # First 6 bytes, zero-padded: as a 48-bit number their order is the
+        # byte order Spark uses to compare strings, and a double holds it exactly.
+        b = F.col(o) if isinstance(dt, T.BinaryType) else F.encode(F.col(o), "UTF-8")
+        head = F.rpad(F.substring(b, 1, _PREFIX_BYTES), _PREFIX_BYTES, F.unhex(F.lit("00")))
+        return F.conv(F.hex(head), 16, 10).cast("double")
     return None
 
 
@@ -64,17 +72,26 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     timestamps) overrides the automatic width.
     """
     v = _as_number(df, order[0])
-    if v is None:
+    within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    width = bucket_width
+    if width is None:
+        # One small job over the leading order column decides the plan.
+        aggs = [F.count(F.lit(1)).alias("n")]
+        if v is not None:
+            aggs += [F.min(v).alias("lo"), F.max(v).alias("hi")]
+        st = df.agg(*aggs).first()
+        if st["n"] <= rows_per_bucket:
+            # The whole input fits one bounded group: a plain window is cheapest.
+            w = within_key.orderBy(*_order_cols(order, descending))
+            return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
+        if v is not None and st["hi"] is not None and st["hi"] > st["lo"]:
+            width = (st["hi"] - st["lo"]) * rows_per_bucket / st["n"]
+    if v is None or not width:
+        # Leading order type without a numeric mapping (or a constant column):
+        # one bucket per key.
         bucket = F.lit(0).cast("long")
     else:
-        if bucket_width is not None:
-            width = F.lit(float(bucket_width))
-        else:
-            # A scalar subquery: evaluated once when the query runs, no eager job.
-            n, lo, hi = F.count(F.lit(1)), F.min(v), F.max(v)
-            width = df.agg(F.when((n > rows_per_bucket) & (hi > lo),
-                                  (hi - lo) * F.lit(float(rows_per_bucket)) / n).alias("w")).scalar()
-        bucket = F.coalesce(F.floor(v / width).cast("long"), F.lit(0).cast("long"))
+        bucket = F.floor(v / F.lit(float(width))).cast("long")
         if descending:
             bucket = -bucket
         # NULL order values sort first ascending, last descending.
