@@ -57,15 +57,22 @@ def label_join(samples: DataFrame, labels: DataFrame, n: int | None = None,
                keys: tuple[str, str] = ("patient", "timestep")) -> DataFrame:
     """JN-1: samples joined to per-sample labels on the typed key pair.
 
-    With ``n`` given, both sides are hash-partitioned on (patient, epoch) and the
-    join runs on (patient, epoch, timestep): the exchange that feeds the join then
-    also serves a later per-epoch aggregation (see ``session.RECOMMENDED_CONF``).
+    With ``n`` given the result also carries ``epoch``. When the session lets a
+    join reuse inputs partitioned on a subset of its keys
+    (``spark.sql.requireAllClusterKeysForCoPartition=false``, see
+    ``session.RECOMMENDED_CONF``), both sides are hash-partitioned on
+    (patient, epoch) and joined on (patient, epoch, timestep), so that one
+    exchange per input also serves a later per-epoch aggregation. Otherwise the
+    plain join is used (the repartition would then only add a shuffle).
     Duplicate label keys multiply rows, as any inner join does.
     """
     pk, tk = keys
     lab = labels.select(pk, tk, "label")
     if n is None:
         return samples.join(lab, [pk, tk], "inner")
+    conf = samples.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
+    if str(conf).lower() != "false":
+        return tumbling_epoch(samples.join(lab, [pk, tk], "inner"), n, tk)
     s = tumbling_epoch(samples, n, tk).repartition(pk, "epoch")
     lab = tumbling_epoch(lab, n, tk).repartition(pk, "epoch")
     return s.join(lab, [pk, "epoch", tk], "inner")

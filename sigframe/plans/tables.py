@@ -33,8 +33,8 @@ SEED = 42
 ANCHOR = "2024-01-01 00:00:00"
 
 
-# (table name, sf_dir) -> parquet path of a materialised copy; see ``materialize``.
-_MATERIALIZED: dict[tuple[str, str], str] = {}
+# (table name, sf_dir) -> (parquet path, schema) of a materialised copy; see ``materialize``.
+_MATERIALIZED: dict[tuple[str, str], tuple] = {}
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, name: str, sf_dir: str) -> DataFrame | None:
-    path = _MATERIALIZED.get((name, sf_dir))
-    return spark.read.parquet(path) if path else None
+    stored = _MATERIALIZED.get((name, sf_dir))
+    if not stored:
+        return None
+    path, schema = stored
+    return spark.read.schema(schema).parquet(path)
 
 
 def materialize(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]:
@@ -54,8 +57,9 @@ def materialize(spark: SparkSession, sf_dir: str, folder: str) -> dict[str, str]
     out = {}
     for name, fn in builders.items():
         path = f"{folder}/{name}"
-        fn(spark, sf_dir).write.mode("overwrite").parquet(path)
-        _MATERIALIZED[(name, sf_dir)] = path
+        df = fn(spark, sf_dir)
+        df.write.mode("overwrite").parquet(path)
+        _MATERIALIZED[(name, sf_dir)] = (path, df.schema)
         out[name] = path
     return out
 

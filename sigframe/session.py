@@ -61,15 +61,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and we only read it. When it is
-    unset (a local test session) a scratch folder is created and registered.
+    A cluster names a shared folder there and we only read it. When neither
+    that setting nor the context's checkpoint folder is set (a local test
+    session) a scratch folder is created and registered with the context.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
+    if current and current.startswith("file:"):
+        current = current[len("file:"):]
     if not current:
         current = tempfile.mkdtemp(prefix="sigframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
