@@ -13,6 +13,9 @@ def _c(c):
 def composite_key(*cols, sep: str = "_") -> Column:
     """String key such as ``patient_timestep``. NULL parts are skipped, as in
     ``concat_ws``, so joins use the typed columns and this stays an output."""
+    if all(isinstance(c, str) for c in cols):
+        parts = ", ".join(f"CAST(`{c}` AS STRING)" for c in cols)
+        return F.expr(f"concat_ws('{sep}', {parts})")
     return F.concat_ws(sep, *[_c(c).cast("string") for c in cols])
 
 

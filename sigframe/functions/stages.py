@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +10,19 @@ from sigframe.schemas import STAGE_MAP
 UNKNOWN = -1
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def stage_map_sql(mapping: dict | None = None) -> str:
+    """The stage map as a SQL map literal."""
+    mapping = STAGE_MAP if mapping is None else mapping
+    return "map(" + ", ".join(f"{_sql_str(k)}, {int(v)}" for k, v in mapping.items()) + ")"
+
+
 def stage_map_column(mapping: dict | None = None) -> Column:
     """A literal map column; Catalyst folds it into the generated code."""
-    mapping = STAGE_MAP if mapping is None else mapping
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in mapping.items()))
+    return F.expr(stage_map_sql(mapping))
 
 
 def stage_label(condition: Column | str, unknown: str = "keep", mapping: dict | None = None) -> Column:

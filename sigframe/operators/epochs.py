@@ -10,13 +10,8 @@ from pyspark.sql import functions as F
 from sigframe.schemas import CHANNELS, EPOCH_SAMPLES
 
 
-def _field(name: str):
-    # one-argument lambda: PySpark passes (element, index) to two-argument ones
-    return lambda x: x[name]
-
-
 def _samples_struct(order: str, channels: list[str]):
-    return F.struct(F.col(order).alias("_o"), *[F.col(c) for c in channels])
+    return F.expr(f"struct(`{order}` AS _o, " + ", ".join(f"`{c}`" for c in channels) + ")")
 
 
 def assemble_epochs(df: DataFrame, keys: tuple[str, ...] = ("patient", "epoch"),
@@ -48,16 +43,20 @@ def assemble_epochs(df: DataFrame, keys: tuple[str, ...] = ("patient", "epoch"),
     out = df.groupBy(*keys).agg(*aggs)
     if require_full and n:
         out = out.filter(F.col("n_samples") == n)
-    s = F.col("_samples")
-    cols = {c: F.transform(s, _field(c)) for c in channels}
+    arrays = {c: f"transform(_samples, x -> x.`{c}`)" for c in channels}
+    cols = [f"`{c}`" for c in out.columns if c != "_samples"]
+    extra = []
     if layout in ("channel", "both"):
-        out = out.withColumns(cols).withColumn("features", F.concat(*[F.col(c) for c in channels]))
+        extra += [f"{a} AS `{c}`" for c, a in arrays.items()]
+        extra.append("concat(" + ", ".join(arrays.values()) + ") AS features")
     if layout in ("time", "both"):
         name = "features_tm" if layout == "both" else "features"
-        out = out.withColumn(name, F.transform(s, lambda x: F.array(*[x[c] for c in channels])))
+        row = "array(" + ", ".join(f"x.`{c}`" for c in channels) + ")"
+        extra.append(f"transform(_samples, x -> {row}) AS {name}")
+    out = out.selectExpr(*cols, *extra)
     if vectors:
         out = out.withColumn("vectors", array_to_vector(F.col("features")))
-    return out.drop("_samples")
+    return out
 
 
 def dropped_short_epochs(epochs: DataFrame, n: int = EPOCH_SAMPLES) -> DataFrame:

@@ -14,10 +14,7 @@ from sigframe.schemas import CHANNELS, EPOCH_SAMPLES, RAW_CHANNELS, RAW_DROPPED,
 
 def typed(df: DataFrame, types: dict[str, str], strict: bool = False) -> DataFrame:
     """PRJ-4: cast columns. ``try_cast`` gives NULL for bad text; ``strict`` raises."""
-    exprs = {}
-    for c, t in types.items():
-        exprs[c] = F.col(c).cast(t) if strict else F.expr(f"try_cast(`{c}` AS {t})")
-    return df.withColumns(exprs)
+    return df.withColumns({c: _cast(c, t, strict) for c, t in types.items()})
 
 
 def rename_channels(df: DataFrame, names: dict[str, str] | None = None,
@@ -28,10 +25,28 @@ def rename_channels(df: DataFrame, names: dict[str, str] | None = None,
     return df.withColumnsRenamed(names).drop(*drop)
 
 
-def prepare_samples(raw: DataFrame, strict: bool = False) -> DataFrame:
-    """Raw sample table -> (patient, timestep int, time float, fpzcz, pzoz, horizontal float)."""
-    df = rename_channels(raw)
-    return typed(df, {"timestep": "int", "time": "float", **{c: "float" for c in CHANNELS}}, strict)
+def _cast_sql(c: str, t: str, strict: bool) -> str:
+    return f"{'CAST' if strict else 'try_cast'}(`{c}` AS {t})"
+
+
+def _cast(c: str, t: str, strict: bool):
+    return F.expr(_cast_sql(c, t, strict))
+
+
+def prepare_samples(raw: DataFrame, strict: bool = False, names: dict[str, str] | None = None,
+                    drop: list[str] | None = None) -> DataFrame:
+    """Raw sample table -> (patient, timestep int, time float, fpzcz, pzoz, horizontal float).
+    Rename, drop and cast in one projection."""
+    names = RAW_CHANNELS if names is None else names
+    drop = RAW_DROPPED if drop is None else drop
+    types = {"timestep": "int", "time": "float", **{c: "float" for c in names.values()}}
+    cols = []
+    for c in raw.columns:
+        if c in drop:
+            continue
+        new = names.get(c, c)
+        cols.append(f"{_cast_sql(c, types[new], strict)} AS `{new}`" if new in types else f"`{c}`")
+    return raw.selectExpr(*cols)
 
 
 def label_stages(labels: DataFrame, unknown: str = "drop", mapping: dict | None = None,
@@ -42,9 +57,9 @@ def label_stages(labels: DataFrame, unknown: str = "drop", mapping: dict | None
     'keep' leaves them as -1, 'error' fails the job on the first one.
     """
     if unknown == "drop":
-        return (labels.withColumn("label", stage_label(condition, "keep", mapping))
+        return (labels.select("*", stage_label(condition, "keep", mapping).alias("label"))
                       .filter(F.col("label") != UNKNOWN))
-    return labels.withColumn("label", stage_label(condition, unknown, mapping))
+    return labels.select("*", stage_label(condition, unknown, mapping).alias("label"))
 
 
 def tumbling_epoch(df: DataFrame, n: int = EPOCH_SAMPLES, col: str = "timestep",
@@ -67,14 +82,15 @@ def label_join(samples: DataFrame, labels: DataFrame, n: int | None = None,
     Duplicate label keys multiply rows, as any inner join does.
     """
     pk, tk = keys
-    lab = labels.select(pk, tk, "label")
     if n is None:
-        return samples.join(lab, [pk, tk], "inner")
+        return samples.join(labels.select(pk, tk, "label"), [pk, tk], "inner")
+    lab = labels.select(pk, tk, "label")
     conf = samples.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
     if str(conf).lower() != "false":
         return tumbling_epoch(samples.join(lab, [pk, tk], "inner"), n, tk)
-    s = tumbling_epoch(samples, n, tk).repartition(pk, "epoch")
-    lab = tumbling_epoch(lab, n, tk).repartition(pk, "epoch")
+    epoch = f"CAST(floor(`{tk}` / {int(n)}) AS BIGINT) AS epoch"
+    s = samples.selectExpr("*", epoch).repartition(pk, "epoch")
+    lab = labels.selectExpr(pk, tk, "label", epoch).repartition(pk, "epoch")
     return s.join(lab, [pk, "epoch", tk], "inner")
 
 
@@ -134,7 +150,7 @@ def preprocess(raw_data: DataFrame, raw_labels: DataFrame, n: int = EPOCH_SAMPLE
     primary_key]). No sort: order is restored where it matters, inside epochs.
     """
     samples = prepare_samples(raw_data, strict)
-    labels = typed(raw_labels.select("patient", "timestep", "condition"), {"timestep": "int"}, strict)
+    labels = raw_labels.select("patient", _cast("timestep", "int", strict).alias("timestep"), "condition")
     labels = label_stages(labels, unknown)
     joined = label_join(samples, labels, n if co_partition else None)
     if not co_partition:

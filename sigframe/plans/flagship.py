@@ -11,7 +11,6 @@ shuffle per input and no sort for the arrays beyond the in-group sort.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sigframe.functions.keys import composite_key
 from sigframe.operators.epochs import assemble_epochs
@@ -33,8 +32,6 @@ def epochs_from_raw(raw_data: DataFrame, raw_labels: DataFrame, n: int = EPOCH_S
 def epoch_digest(ep: DataFrame) -> DataFrame:
     """Scalar view of the epoch table for comparisons: counts, labels and the
     first/last values of the ordered arrays."""
-    return ep.select("patient", "epoch", "primary_key", "n_samples", "label_mean", "label_first",
-                     F.element_at("fpzcz", 1).alias("fpzcz_first"),
-                     F.element_at("pzoz", -1).alias("pzoz_last"),
-                     F.element_at("horizontal", -1).alias("horizontal_last"),
-                     F.size("features").alias("n_features"))
+    return ep.selectExpr("patient", "epoch", "primary_key", "n_samples", "label_mean", "label_first",
+                         "element_at(fpzcz, 1) AS fpzcz_first", "element_at(pzoz, -1) AS pzoz_last",
+                         "element_at(horizontal, -1) AS horizontal_last", "size(features) AS n_features")
