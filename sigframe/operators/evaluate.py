@@ -23,9 +23,11 @@ def accuracy(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",
     return df.groupBy(*by).agg(*agg)
 
 
-def _grid(classes):
-    return F.array(*[F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("y_pred"))
-                     for t in classes for p in classes])
+def _grid(n_classes: int):
+    """Every (y_true, y_pred) pair of ``n_classes`` classes as an array of structs."""
+    k = int(n_classes)
+    return F.expr(f"transform(sequence(0, {k * k - 1}), i -> named_struct("
+                  f"'y_true', CAST(i div {k} AS INT), 'y_pred', CAST(i % {k} AS INT)))")
 
 
 def confusion_matrix(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",
@@ -40,9 +42,8 @@ def confusion_matrix(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred
                 .agg(F.count(F.lit(1)).alias("count")))
     if not dense:
         return counts
-    classes = list(range(n_classes))
     groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    grid = groups.select(*by, F.inline(_grid(classes)))
+    grid = groups.select(*by, F.inline(_grid(n_classes)))
     return (grid.join(counts, [*by, "y_true", "y_pred"], "left")
                 .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
 
@@ -69,12 +70,10 @@ def class_report(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",
     predicted class; a single grouped sum then gives tp, support and predicted.
     """
     by = by or []
-    t, p = F.col(y_true).cast("int"), F.col(y_pred).cast("int")
-    contrib = F.array(
-        F.struct(t.alias("label"), F.lit(1).alias("is_true"), F.lit(0).alias("is_pred"),
-                 eq_flag(t, p).alias("tp")),
-        F.struct(p.alias("label"), F.lit(0).alias("is_true"), F.lit(1).alias("is_pred"),
-                 F.lit(0).alias("tp")))
+    t, p = f"CAST(`{y_true}` AS INT)", f"CAST(`{y_pred}` AS INT)"
+    contrib = F.expr(
+        f"array(named_struct('label', {t}, 'is_true', 1, 'is_pred', 0, 'tp', CAST({t} <=> {p} AS INT)), "
+        f"named_struct('label', {p}, 'is_true', 0, 'is_pred', 1, 'tp', 0))")
     per = (df.select(*by, F.inline(contrib))
              .groupBy(*by, "label")
              .agg(F.sum("tp").alias("tp"), F.sum("is_true").alias("support"),

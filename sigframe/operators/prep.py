@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigframe.functions.keys import composite_key
-from sigframe.functions.stages import UNKNOWN, stage_label
+from sigframe.functions.stages import stage_label
 from sigframe.schemas import CHANNELS, EPOCH_SAMPLES, RAW_CHANNELS, RAW_DROPPED, STAGE_MAP
 
 
@@ -57,8 +57,11 @@ def label_stages(labels: DataFrame, unknown: str = "drop", mapping: dict | None
     'keep' leaves them as -1, 'error' fails the job on the first one.
     """
     if unknown == "drop":
-        return (labels.select("*", stage_label(condition, "keep", mapping).alias("label"))
-                      .filter(F.col("label") != UNKNOWN))
+        # Same rows as label != -1, written as a membership test so that it
+        # reaches the Parquet scan as an In filter.
+        known = list(STAGE_MAP if mapping is None else mapping)
+        return (labels.filter(F.col(condition).isin(known))
+                      .select("*", stage_label(condition, "keep", mapping).alias("label")))
     return labels.select("*", stage_label(condition, unknown, mapping).alias("label"))
 
 
