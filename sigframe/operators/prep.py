@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from sigframe.functions.keys import composite_key
 from sigframe.functions.stages import stage_label
-from sigframe.schemas import CHANNELS, EPOCH_SAMPLES, RAW_CHANNELS, RAW_DROPPED, STAGE_MAP
+from sigframe.schemas import EPOCH_SAMPLES, RAW_CHANNELS, RAW_DROPPED, STAGE_MAP
 
 
 def typed(df: DataFrame, types: dict[str, str], strict: bool = False) -> DataFrame:
