@@ -61,7 +61,7 @@ def _as_number(df: DataFrame, o):
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
-                  descending: bool = False, rows_per_bucket: int = ROWS_PER_BUCKET,
+                  descending: bool = False, rows_per_bucket: int | None = None,
                   bucket_width: float | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row within its ``keys`` group in
     ``order`` (ascending unless ``descending``). ``keys=[]`` numbers the whole table.
@@ -71,6 +71,7 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     ``bucket_width`` (in units of the leading order column; microseconds for
     timestamps) overrides the automatic width.
     """
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     v = _as_number(df, order[0])
     within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     width = bucket_width

@@ -41,8 +41,26 @@ def hash_side(key: Column | str, seed: int, fractions: dict[str, float]) -> Colu
 
 
 def hash_split(df: DataFrame, key: Column | str, test_fraction: float = 0.2,
-               seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """SPL-2: approximate (test_fraction) split of rows by key hash -> (train, test)."""
+               seed: int = 42, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SPL-2: split rows by key hash -> (train, test).
+
+    By default the test side holds the rows whose hash falls below the
+    fraction: about ``test_fraction`` of the rows, no sort, no count. With
+    ``exact`` the rows are ranked by (hash, key) and exactly
+    floor(test_fraction * rows + 0.5) go to test; the ranking is ``ordered_index``,
+    which spreads the work over hash ranges instead of one task.
+    """
+    if exact:
+        from sigframe.operators.ordering import ordered_index
+        # scalar subquery: the test size is computed when the query runs
+        n_test = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(test_fraction)) + F.lit(0.5))).scalar()
+        ranked = ordered_index(df.withColumn("_sf_h", F.md5(F.concat(_c(key).cast("string"), F.lit(str(seed)))))
+                                 .withColumn("_sf_k", _c(key).cast("string")),
+                               [], ["_sf_h", "_sf_k"], out="_sf_rank")
+        tagged = ranked.withColumn("_sf_side", F.when(F.col("_sf_rank") < n_test, "test").otherwise("train")) \
+                       .drop("_sf_h", "_sf_k", "_sf_rank")
+        return (tagged.filter(F.col("_sf_side") == "train").drop("_sf_side"),
+                tagged.filter(F.col("_sf_side") == "test").drop("_sf_side"))
     side = hash_side(key, seed, {"train": 1 - test_fraction, "test": test_fraction})
     tagged = df.withColumn("_sf_side", side)
     return (tagged.filter(F.col("_sf_side") == "train").drop("_sf_side"),

@@ -723,6 +723,17 @@ def q_hash_split(spark, d):
     return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
 
 
+@query("hash_split_exact", with_views(f"""SELECT primary_key,
+  CASE WHEN rn <= (SELECT floor(0.2 * COUNT(*) + 0.5) FROM ({EPOCH_KEYS_SQL})) THEN 'test' ELSE 'train' END AS side
+  FROM (SELECT primary_key, row_number() OVER (ORDER BY md5(primary_key || '{SEED}'), primary_key) AS rn
+        FROM ({EPOCH_KEYS_SQL}))""", "prep"))
+def q_hash_split_exact(spark, d):
+    """SPL-2 exact: exactly 20 % of the epochs in test, ranked by seeded hash."""
+    keys = flagship(spark, d).select("primary_key")
+    train, test = SP.hash_split(keys, "primary_key", 0.2, SEED, exact=True)
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
 @query("hash_split_3way", with_views(f"""SELECT primary_key, CASE
   WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < '{SP._threshold(0.7)}' THEN 'train'
   WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < '{SP._threshold(0.7 + 0.1)}' THEN 'val'

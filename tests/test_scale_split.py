@@ -1,5 +1,7 @@
 """Scaling and splitting (D8, D9, D10, D17, SPL-1..3)."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from sigframe.operators import scale as S
@@ -64,3 +66,19 @@ def test_pick_holdout_is_seeded(spark):
     a = [r[0] for r in SP.pick_holdout(df, 8, 42).collect()]
     b = [r[0] for r in SP.pick_holdout(df.repartition(5), 8, 42).collect()]
     assert a == b and len(set(a)) == 8
+
+
+def test_exact_split_size(spark):
+    df = spark.range(1001).select(F.col("id").cast("string").alias("k"))
+    for per_bucket in (2_000_000, 50):
+        import sigframe.operators.ordering as O
+        old = O.ROWS_PER_BUCKET
+        O.ROWS_PER_BUCKET = per_bucket
+        try:
+            train, test = SP.hash_split(df, "k", 0.2, seed=5, exact=True)
+            kt = {r["k"] for r in test.collect()}
+            want = sorted((hashlib.md5(f"{i}5".encode()).hexdigest(), str(i)) for i in range(1001))[:200]
+            assert kt == {k for _, k in want} and train.count() == 801
+            assert not kt & {r["k"] for r in train.collect()}
+        finally:
+            O.ROWS_PER_BUCKET = old
