@@ -38,24 +38,41 @@ def _write(df: DataFrame, path: str, fmt: str, single_file: bool = False) -> Non
         (df.coalesce(1) if single_file else df).write.mode("overwrite").parquet(path)
 
 
+def write_by_recording(df: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Parquet with one folder per recording, so a filter on ``patient`` (a
+    hold-out) reads only those folders. Rows are range-partitioned on
+    (patient, epoch) first: each task writes a contiguous slice, so a very long
+    recording spreads over several tasks and the file count stays near
+    tasks + recordings (a hash split by patient would put a hot recording on
+    one task; no split at all would make every task write to every folder)."""
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(parts, "patient", "epoch")
+       .sortWithinPartitions("patient", "epoch", "time")
+       .write.mode("overwrite").partitionBy("patient").parquet(path))
+
+
 def preprocess_job(spark: SparkSession, data_path: str, labels_path: str, out_path: str,
                    n: int = EPOCH_SAMPLES, fmt: str = "csv", unknown: str = "drop",
                    strict: bool = False, sep: str = ",", single_file: bool = False) -> DataFrame:
-    """Raw CSVs -> preprocessed table at ``out_path``. Rows are sorted within each
-    output file by (patient, epoch, time), so readers that filter on a recording
-    skip row groups by their min/max statistics. Returns the written table."""
+    """Raw CSVs -> preprocessed table at ``out_path``. CSV output is sorted within
+    each file by (patient, epoch, time); Parquet output has one folder per
+    recording (``write_by_recording``), so hold-out reads prune folders.
+    Returns the written table."""
     raw = read_csv(spark, data_path, RAW_DATA, sep=sep, strict=strict)
     lab = read_csv(spark, labels_path, RAW_LABELS, sep=sep, strict=strict)
     rows = preprocess(raw, lab, n=n, unknown=unknown, strict=strict, with_key=False)
-    out = rows.select(*OUT_COLS).sortWithinPartitions("patient", "epoch", "time")
-    _write(out, out_path, fmt, single_file)
+    out = rows.select(*OUT_COLS)
+    if fmt == "parquet" and not single_file:
+        write_by_recording(out, out_path)
+    else:
+        _write(out.sortWithinPartitions("patient", "epoch", "time"), out_path, fmt, single_file)
     return read_preprocessed(spark, out_path, fmt)
 
 
 def read_preprocessed(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     if fmt == "csv":
         return read_csv(spark, path, PREPROCESSED)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select(*OUT_COLS)
 
 
 def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int = EPOCH_SAMPLES,

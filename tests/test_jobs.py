@@ -46,3 +46,18 @@ def test_list_files_and_pair(spark):
         "name", F.regexp_extract("path", r"/([^/]+)\.d/part-", 1))
     got = {r["recording"]: r["hyp_name"] for r in recording_catalog(files).collect()}
     assert got == {"ST7011J0": "ST7011JP-Hypnogram.edf", "ST7012J0": "ST7012JA-Hypnogram.edf"}
+
+
+def test_parquet_output_prunes_by_recording(spark):
+    root = scratch_path(spark, f"sigframe-jobs-{uuid.uuid4().hex}")
+    data, labels = recordings(spark, r=4, e=6, n=N)
+    write_csv(data, f"{root}/data")
+    write_csv(labels, f"{root}/labels")
+    pre = preprocess_job(spark, f"{root}/data", f"{root}/labels", f"{root}/pre", n=N, fmt="parquet")
+    assert pre.columns == ["patient", "time", "fpzcz", "pzoz", "horizontal", "label", "epoch"]
+    one = pre.filter(F.col("patient") == "ST7011J0")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(patient" in plan and "ST7011J0" in plan
+    assert one.count() == pre.filter(F.col("patient") == "ST7011J0").count() > 0
+    acc = train_job(spark, f"{root}/pre", f"{root}/out", n=N, fmt="parquet", k_holdout=1, max_iter=20)
+    assert set(acc) == {"train", "test"}
