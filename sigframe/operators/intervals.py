@@ -70,7 +70,7 @@ def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient"
 
 def label_samples_by_chunks(samples: DataFrame, ann: DataFrame, chunk: float = EPOCH_SECONDS,
                             key: str = "patient", t: str = "t") -> DataFrame:
-    """MNE-style epoching as a join: every sample inside a full chunk of an
+    """Annotation-based epoching as a join: every sample inside a full chunk of an
     annotation gets that annotation's description as ``condition``."""
     chunks = annotation_chunks(ann, chunk).select(key, "chunk_onset", "chunk_idx",
                                                  F.col("description").alias("condition"))
