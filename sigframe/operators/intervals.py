@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.operators.ordering import ordered_index
+from sigframe.operators.partitioning import on_full_key
 from sigframe.schemas import CROP_MARGIN_S, EPOCH_SECONDS, SFREQ
 
 
@@ -59,7 +60,7 @@ def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient"
                    .withColumn("_sf_b", F.explode(F.sequence(
                        F.floor(F.col(start) / F.lit(w)), F.floor(F.col("_sf_end") / F.lit(w))))))
     sm = samples.withColumn("_sf_b", F.floor(F.col(t) / F.lit(w)))
-    s, i = sm.alias("s"), iv.alias("i")
+    s, i = on_full_key(sm, key, "_sf_b").alias("s"), on_full_key(iv, key, "_sf_b").alias("i")
     cond = [F.col(f"s.{key}") == F.col(f"i.{key}"), F.col("s._sf_b") == F.col("i._sf_b"),
             F.col(f"s.{t}") >= F.col(f"i.{start}"), F.col(f"s.{t}") < F.col("i._sf_end")]
     out = s.join(i, cond, how)

@@ -2,18 +2,19 @@
 
 ``ordered_index`` is the building block. A window ``row_number() OVER
 (PARTITION BY key ORDER BY ...)`` sends every row of a key to one task, so a
-recording holding a third of the table would run on one core. Here each row
-also gets a bucket: the value of the leading order column divided by a bucket
-width. Buckets are a pure function of the row, so the plan is deterministic and
-survives recomputation. A grouped count per (key, bucket) - a small table -
-gives every bucket its starting offset by a running sum, and ``row_number``
-runs inside each (key, bucket) group, whose size the width bounds.
-
-The width comes from one small global aggregate over the leading order column:
-(max - min) * rows_per_bucket / rows, so buckets hold about ``rows_per_bucket``
-rows wherever the data is spread evenly over the leading order column. Rows with
-an equal leading value always share a bucket. When the whole input has at most
-``rows_per_bucket`` rows, a plain window is used (it is bounded anyway).
+recording holding a third of the table would run on one core.
+
+Here one grouped aggregate (partial on every task) first gives each key its row
+count and the range of its leading order column. Keys with at most
+``rows_per_bucket`` rows keep the plain window: their groups are bounded. The
+other, "hot", keys - at most rows / rows_per_bucket of them, so that table has a
+size bound and is broadcast - are cut into buckets of the leading order column
+holding about ``rows_per_bucket`` rows each. Buckets are a pure function of the
+row, so the plan is deterministic and survives recomputation. A grouped count
+per (key, bucket) - about #keys + rows / rows_per_bucket rows - gives every
+bucket its starting offset by a running sum, and ``row_number`` runs inside
+each bounded (key, bucket) group. Rows with an equal leading value always share
+a bucket.
 """
 
 from __future__ import annotations
@@ -23,9 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigframe.functions.times import ntz_micros
+from sigframe.operators.partitioning import on_full_key
 
-_B, _N, _OFF, _RN = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn"
+_B, _N, _OFF, _RN, _K = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key"
+_LO, _W, _V = "_sf_lo", "_sf_w", "_sf_v"
 ROWS_PER_BUCKET = 2_000_000
+# Hot-key statistics are collected and broadcast up to this many keys (a few MB);
+# beyond it they stay a DataFrame and AQE plans the join.
+MAX_BROADCAST_HOT_KEYS = 200_000
 _PREFIX_BYTES = 6
 
 
@@ -61,58 +67,62 @@ def _as_number(df: DataFrame, o):
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
-                  descending: bool = False, rows_per_bucket: int | None = None,
-                  bucket_width: float | None = None) -> DataFrame:
+                  descending: bool = False, rows_per_bucket: int | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row within its ``keys`` group in
     ``order`` (ascending unless ``descending``). ``keys=[]`` numbers the whole table.
 
     Equal to ``row_number() - 1`` over the same window. Give ``order`` a total
     order (end with a unique column) for positions that are stable across reruns.
-    ``bucket_width`` (in units of the leading order column; microseconds for
-    timestamps) overrides the automatic width.
     """
+    spark = df.sparkSession
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     v = _as_number(df, order[0])
     within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    width = bucket_width
-    if width is None:
-        # One small job over the leading order column decides the plan.
-        aggs = [F.count(F.lit(1)).alias("n")]
-        if v is not None:
-            aggs += [F.min(v).alias("lo"), F.max(v).alias("hi")]
-        st = df.agg(*aggs).first()
-        if st["n"] <= rows_per_bucket:
-            # The whole input fits one bounded group: a plain window is cheapest.
-            w = within_key.orderBy(*_order_cols(order, descending))
-            return df.withColumn(out, (F.row_number().over(w) - 1).cast("long"))
-        if v is not None and st["hi"] is not None and st["hi"] > st["lo"]:
-            width = (st["hi"] - st["lo"]) * rows_per_bucket / st["n"]
-    if v is None or not width:
-        # Leading order type without a numeric mapping (or a constant column):
-        # one bucket per key.
-        bucket = F.lit(0).cast("long")
+    plain = df.withColumn(out, (F.row_number().over(within_key.orderBy(*_order_cols(order, descending))) - 1)
+                          .cast("long"))
+    if v is None:
+        return plain
+    # Per-key statistics of the leading order column; only keys that need it are split.
+    cnt = F.count(F.lit(1))
+    stats = df.groupBy(*keys).agg(cnt.alias(_N), F.min(v).alias(_LO), F.max(v).alias("_sf_hi"))
+    hot = (stats.filter((F.col(_N) > rows_per_bucket) & (F.col("_sf_hi") > F.col(_LO)))
+                .select(*keys, _LO, ((F.col("_sf_hi") - F.col(_LO)) * F.lit(float(rows_per_bucket))
+                                     / F.col(_N)).alias(_W)))
+    rows = hot.limit(MAX_BROADCAST_HOT_KEYS + 1).collect()
+    if not rows:
+        return plain  # every key group is bounded
+    lc = lambda c: F.col(f"_sf_l.`{c}`")
+    b = df.withColumn(_V, v).alias("_sf_l")
+    if not keys:
+        # one global group: its statistics are two numbers
+        lo, width = F.lit(float(rows[0][_LO])), F.lit(float(rows[0][_W]))
     else:
-        bucket = F.floor(v / F.lit(float(width))).cast("long")
-        if descending:
-            bucket = -bucket
-        # NULL order values sort first ascending, last descending.
-        sentinel = (2 ** 63 - 1) if descending else -(2 ** 63)
-        bucket = F.when(v.isNull(), F.lit(sentinel)).otherwise(bucket)
-    b = df.withColumn(_B, bucket)
-    # (key, bucket) counts: at most #keys + #buckets rows, partial-aggregated per task.
-    counts = b.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias(_N))
-    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0)))
-    before = before.orderBy(F.col(_B).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
-    bc = lambda c: F.col(f"_sf_l.`{c}`")
-    oc = lambda c: F.col(f"_sf_o.`{c}`")
-    cond = [bc(_B) == oc(_B)] + [bc(k).eqNullSafe(oc(k)) for k in keys]
-    joined = b.alias("_sf_l").join(offsets.alias("_sf_o"), cond, "inner").select(
-        *[bc(c).alias(c) for c in df.columns], bc(_B).alias(_B), oc(_OFF).alias(_OFF))
-    within = Window.partitionBy(*keys, _B).orderBy(*_order_cols(order, descending))
+        if len(rows) <= MAX_BROADCAST_HOT_KEYS:
+            hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+        hc = lambda c: F.col(f"_sf_h.`{c}`")
+        b = b.join(hot.alias("_sf_h"), [lc(k).eqNullSafe(hc(k)) for k in keys], "left")
+        lo, width = hc(_LO), hc(_W)
+    bucket = F.coalesce(F.floor((lc(_V) - lo) / width).cast("long"), F.lit(0).cast("long"))
+    if descending:
+        bucket = -bucket
+    # NULL order values sort first ascending, last descending.
+    sentinel = (2 ** 63 - 1) if descending else -(2 ** 63)
+    bucket = F.when(lc(_V).isNull(), F.lit(sentinel)).otherwise(bucket)
+    # One struct key (NULL fields compare equal): the join below and the final
+    # window then share one hash partitioning on (key, bucket).
+    key = F.struct(*[lc(k) for k in keys]) if keys else F.lit(0)
+    b = b.select(*[lc(c).alias(c) for c in df.columns], key.alias(_K), bucket.alias(_B))
+    # (key, bucket) counts: about #keys + rows / rows_per_bucket rows.
+    counts = b.groupBy(_K, _B).agg(cnt.alias(_N))
+    before = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
+    # offsets come out of a window partitioned by the key alone: partition them on
+    # (key, bucket) so the big side is never shuffled on the key only
+    joined = b.join(on_full_key(offsets, _K, _B), [_K, _B], "inner")
+    within = Window.partitionBy(_K, _B).orderBy(*_order_cols(order, descending))
     return (joined.withColumn(_RN, F.row_number().over(within))
-                  .withColumn(out, F.col(_OFF) + F.col(_RN) - F.lit(1))
-                  .drop(_B, _OFF, _RN))
+                  .select(*[F.col(f"`{c}`") for c in df.columns],
+                          (F.col(_OFF) + F.col(_RN) - F.lit(1)).alias(out)))
 
 
 def row_index(df: DataFrame, key: str = "patient", order: list | None = None,

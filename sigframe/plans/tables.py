@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from sigframe.functions.stages import stage_label
 from sigframe.functions.times import ntz_micros
 from sigframe.operators.ordering import ordered_index
+from sigframe.operators.partitioning import on_full_key
 
 # Fixed values of the adapter.
 EPOCH_N = 8                 # samples per epoch on driver tables (49-86 events per user at sf0.01)
@@ -132,6 +133,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = indexed_events(spark, sf_dir).select(
         "patient", "timestep", seconds_expr().alias("onset"), condition_expr().alias("description"))
     nxt = ev.select("patient", (F.col("timestep") - 1).alias("timestep"), F.col("onset").alias("_next"))
+    ev, nxt = on_full_key(ev, "patient", "timestep"), on_full_key(nxt, "patient", "timestep")
     return (ev.join(nxt, ["patient", "timestep"], "left")
               .select("patient", "onset",
                       F.coalesce(F.col("_next") - F.col("onset"), F.lit(0.0)).alias("duration"),

@@ -12,8 +12,11 @@ from pyspark.sql import SparkSession
 #    coalesces small shuffle partitions and splits skewed join partitions.
 #  * requireAllClusterKeysForCoPartition=false lets a join on
 #    (patient, epoch, timestep) reuse inputs hash-partitioned on (patient, epoch),
-#    so the label join and the epoch aggregation share one shuffle. Safe here
-#    because an epoch holds a bounded number of samples.
+#    so the label join and the epoch aggregation share one shuffle. Safe there
+#    because an epoch holds a bounded number of samples. The flip side: Spark may
+#    then join on (a, b) an input partitioned on a alone; joins of this package
+#    keyed by (recording, bucket) guard against that (operators/partitioning.py),
+#    and user joins on a hot prefix key should repartition on the full key.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

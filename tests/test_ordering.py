@@ -41,5 +41,8 @@ def test_global_double_order_with_nulls(spark):
         assert _mismatches(df, [], ["v", "event_id"], desc, rows_per_bucket=50) == 0
 
 
-def test_explicit_width(events):
-    assert _mismatches(events, ["user_id"], ["ts", "event_id"], False, bucket_width=3.6e9 * 24) == 0
+def test_only_hot_keys_are_split(events):
+    # one key holds a third of the rows; with 400 rows per bucket only it is split
+    mixed = events.withColumn("user_id", F.when(F.col("user_id") < 50, F.lit(-1)).otherwise(F.col("user_id")))
+    for desc in (False, True):
+        assert _mismatches(mixed, ["user_id"], ["ts", "event_id"], desc, rows_per_bucket=400) == 0
