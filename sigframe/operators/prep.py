@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from sigframe.functions.keys import composite_key
 from sigframe.functions.stages import stage_label
+from sigframe.operators.partitioning import allows_coarse_reuse, on_full_key
 from sigframe.schemas import EPOCH_SAMPLES, RAW_CHANNELS, RAW_DROPPED, STAGE_MAP
 
 
@@ -85,12 +86,11 @@ def label_join(samples: DataFrame, labels: DataFrame, n: int | None = None,
     Duplicate label keys multiply rows, as any inner join does.
     """
     pk, tk = keys
-    if n is None:
-        return samples.join(labels.select(pk, tk, "label"), [pk, tk], "inner")
     lab = labels.select(pk, tk, "label")
-    conf = samples.sparkSession.conf.get("spark.sql.requireAllClusterKeysForCoPartition", "true")
-    if str(conf).lower() != "false":
-        return tumbling_epoch(samples.join(lab, [pk, tk], "inner"), n, tk)
+    if n is None or not allows_coarse_reuse(samples):
+        # (patient, timestep) is nearly unique: partitioned on both it is never hot
+        out = on_full_key(samples, pk, tk).join(on_full_key(lab, pk, tk), [pk, tk], "inner")
+        return out if n is None else tumbling_epoch(out, n, tk)
     epoch = f"CAST(floor(`{tk}` / {int(n)}) AS BIGINT) AS epoch"
     s = samples.selectExpr("*", epoch).repartition(pk, "epoch")
     lab = labels.selectExpr(pk, tk, "label", epoch).repartition(pk, "epoch")
