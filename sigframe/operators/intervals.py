@@ -78,29 +78,32 @@ def label_samples_by_chunks(samples: DataFrame, ann: DataFrame, chunk: float = E
     return interval_join(samples, chunks, key=key, t=t, start="chunk_onset", length=chunk)
 
 
+def annotation_landmarks(ann: DataFrame, key: str = "patient") -> DataFrame:
+    """WIN-3 per recording: the second annotation, the last one and the one
+    before the last (ordered by onset, duration, description). One
+    ``ordered_index`` pass with group sizes and one grouped aggregate; no join.
+    Recordings with one annotation get NULL for the missing rows."""
+    pos = ordered_index(ann, [key], ["onset", "duration", "description"], out="_sf_pos", count_out="_sf_cnt")
+    at = F.col("_sf_pos")
+    from_end = F.col("_sf_cnt") - 1 - at
+    return pos.groupBy(key).agg(
+        F.max(F.when(at == 1, F.col("onset"))).alias("second_onset"),
+        F.max(F.when(at == 1, F.col("description"))).alias("second_description"),
+        F.max(F.when(from_end == 0, F.col("onset"))).alias("last_onset"),
+        F.max(F.when(from_end == 0, F.col("description"))).alias("last_description"),
+        F.max(F.when(from_end == 1, F.col("onset"))).alias("before_last_onset"))
+
+
 def crop_bounds(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "patient",
                 wake_suffix: str = "W") -> DataFrame:
     """FLT-7 bounds per recording: from ``margin`` before the second annotation to
     ``margin`` after the last wake annotation (the last row if its description
-    ends in ``wake_suffix``, else the row before it).
-
-    Positions come from ``ordered_index`` and the bounds from one grouped
-    aggregate, so a very long recording never sits in a single task.
-    """
-    pos = ordered_index(ann, [key], ["onset", "duration", "description"], out="_sf_pos")
-    agg = pos.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_sf_cnt"),
-        F.max(F.when(F.col("_sf_pos") == 1, F.col("onset"))).alias("second_onset"),
-        F.max_by(F.struct("onset", "description"), "_sf_pos").alias("_sf_last"))
-    # the row before the last one, found by position = count - 2
-    before_last = (pos.join(agg.select(key, "_sf_cnt"), key)
-                      .filter(F.col("_sf_pos") == F.col("_sf_cnt") - 2)
-                      .select(key, F.col("onset").alias("_sf_prev_onset")))
-    b = agg.join(before_last, key, "left")
-    last_is_wake = F.col("_sf_last.description").endswith(wake_suffix)
-    wake_onset = F.when(last_is_wake, F.col("_sf_last.onset")).otherwise(F.col("_sf_prev_onset"))
-    return b.select(key, (F.col("second_onset") - F.lit(margin)).alias("crop_lo"),
-                    (wake_onset + F.lit(margin)).alias("crop_hi"))
+    ends in ``wake_suffix``, else the row before it)."""
+    lm = annotation_landmarks(ann, key)
+    last_is_wake = F.col("last_description").endswith(wake_suffix)
+    wake_onset = F.when(last_is_wake, F.col("last_onset")).otherwise(F.col("before_last_onset"))
+    return lm.select(key, (F.col("second_onset") - F.lit(margin)).alias("crop_lo"),
+                     (wake_onset + F.lit(margin)).alias("crop_hi"))
 
 
 def crop_annotations(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "patient",

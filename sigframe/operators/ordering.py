@@ -67,9 +67,12 @@ def _as_number(df: DataFrame, o):
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
-                  descending: bool = False, rows_per_bucket: int | None = None) -> DataFrame:
+                  descending: bool = False, rows_per_bucket: int | None = None,
+                  count_out: str | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row within its ``keys`` group in
     ``order`` (ascending unless ``descending``). ``keys=[]`` numbers the whole table.
+    ``count_out`` also adds the size of the row's group (so positions from the end
+    are ``count - 1 - position``).
 
     Equal to ``row_number() - 1`` over the same window. Give ``order`` a total
     order (end with a unique column) for positions that are stable across reruns.
@@ -80,6 +83,8 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     plain = df.withColumn(out, (F.row_number().over(within_key.orderBy(*_order_cols(order, descending))) - 1)
                           .cast("long"))
+    if count_out:
+        plain = plain.withColumn(count_out, F.count(F.lit(1)).over(within_key))
     if v is None:
         return plain
     # Per-key statistics of the leading order column; only keys that need it are split.
@@ -115,14 +120,16 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     # (key, bucket) counts: about #keys + rows / rows_per_bucket rows.
     counts = b.groupBy(_K, _B).agg(cnt.alias(_N))
     before = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
+    extra = [F.sum(_N).over(Window.partitionBy(_K)).alias(count_out)] if count_out else []
+    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF), *extra)
     # offsets come out of a window partitioned by the key alone: partition them on
     # (key, bucket) so the big side is never shuffled on the key only
     joined = b.join(on_full_key(offsets, _K, _B), [_K, _B], "inner")
     within = Window.partitionBy(_K, _B).orderBy(*_order_cols(order, descending))
     return (joined.withColumn(_RN, F.row_number().over(within))
                   .select(*[F.col(f"`{c}`") for c in df.columns],
-                          (F.col(_OFF) + F.col(_RN) - F.lit(1)).alias(out)))
+                          (F.col(_OFF) + F.col(_RN) - F.lit(1)).alias(out),
+                          *([F.col(count_out)] if count_out else [])))
 
 
 def row_index(df: DataFrame, key: str = "patient", order: list | None = None,
@@ -139,8 +146,9 @@ def every_nth_row(df: DataFrame, n: int, key: str = "patient", order: list | Non
 
 def nth_in_group(df: DataFrame, key: str, order: list, n: int, from_end: bool = False) -> DataFrame:
     """WIN-3: the n-th row (0-based) of each group, counted from the start or the end."""
-    idx = ordered_index(df, [key], order, out="_sf_pos", descending=from_end)
-    return idx.filter(F.col("_sf_pos") == n).drop("_sf_pos")
+    idx = ordered_index(df, [key], order, out="_sf_pos", count_out="_sf_cnt")
+    pos = (F.col("_sf_cnt") - 1 - F.col("_sf_pos")) if from_end else F.col("_sf_pos")
+    return idx.filter(pos == n).drop("_sf_pos", "_sf_cnt")
 
 
 def sort_with_ordinal(df: DataFrame, keys: list[str], order: list, out: str = "ord",

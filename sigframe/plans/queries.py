@@ -553,14 +553,11 @@ def q_annotation_chunks(spark, d):
           row_number() OVER (PARTITION BY patient ORDER BY onset DESC, duration DESC, description DESC) AS rd
         FROM annotations) GROUP BY patient HAVING max(CASE WHEN rn = 2 THEN 1 END) = 1""", "annotations"))
 def q_nth_annotation(spark, d):
-    """WIN-3: second and last annotation of each recording."""
-    ann = TB.annotations(spark, d)
-    order = ["onset", "duration", "description"]
-    second = O.nth_in_group(ann, "patient", order, 1).select(
-        "patient", F.col("onset").alias("second_onset"), F.col("description").alias("second_description"))
-    last = O.nth_in_group(ann, "patient", order, 0, from_end=True).select(
-        "patient", F.col("onset").alias("last_onset"), F.col("description").alias("last_description"))
-    return second.join(last, "patient")
+    """WIN-3: second and last annotation of each recording (one position pass,
+    one grouped aggregate)."""
+    lm = IV.annotation_landmarks(TB.annotations(spark, d))
+    return lm.filter(F.col("second_onset").isNotNull()).select(
+        "patient", "second_onset", "second_description", "last_onset", "last_description")
 
 
 @query("stage_timeline", with_views("""SELECT patient, row_number() OVER (PARTITION BY patient ORDER BY timestep) - 1

@@ -46,3 +46,20 @@ def test_only_hot_keys_are_split(events):
     mixed = events.withColumn("user_id", F.when(F.col("user_id") < 50, F.lit(-1)).otherwise(F.col("user_id")))
     for desc in (False, True):
         assert _mismatches(mixed, ["user_id"], ["ts", "event_id"], desc, rows_per_bucket=400) == 0
+
+
+@pytest.mark.parametrize("rows_per_bucket", [2_000_000, 40])
+def test_group_size_output(events, rows_per_bucket):
+    idx = ordered_index(events, ["user_id"], ["ts", "event_id"], out="i", count_out="n",
+                        rows_per_bucket=rows_per_bucket)
+    ref = events.groupBy("user_id").count()
+    bad = idx.join(ref, "user_id").filter((F.col("n") != F.col("count")) | (F.col("i") >= F.col("n"))).count()
+    assert bad == 0
+
+
+def test_nth_in_group_from_both_ends(spark):
+    from sigframe.operators.ordering import nth_in_group
+    df = spark.createDataFrame([("a", t) for t in (5, 1, 9, 3)] + [("b", 7)], "k string, t int")
+    second = {r["k"]: r["t"] for r in nth_in_group(df, "k", ["t"], 1).collect()}
+    last = {r["k"]: r["t"] for r in nth_in_group(df, "k", ["t"], 0, from_end=True).collect()}
+    assert second == {"a": 3} and last == {"a": 9, "b": 7}
