@@ -25,6 +25,7 @@ from sigframe.operators.prep import preprocess
 from sigframe.operators.scale import scale_channels
 from sigframe.operators.split import holdout_split
 from sigframe.schemas import EPOCH_SAMPLES, PREPROCESSED, RAW_DATA, RAW_LABELS
+from sigframe.session import checkpoint_dir
 from sigframe.sources.csv import read_csv, write_csv
 from sigframe.sources.persist import persisted
 
@@ -91,11 +92,16 @@ def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int
         return ep.select("patient", "epoch", F.col(label).alias("label"), "vectors",
                          F.lit(split).alias("split"))
 
-    ep_train = epochs(train_rows, "train")
+    # The epoch tables are read by the fit and again by the predictions: write
+    # them to the shared checkpoint folder once, which also cuts the lineage so
+    # a lost executor never re-runs the join and the grouping.
+    checkpoint_dir(spark)
+    ep_train = epochs(train_rows, "train").checkpoint(eager=True)
+    ep_test = epochs(test_rows, "test").checkpoint(eager=True)
     n_features = 3 * n
     model = M.fit(ep_train, M.make_estimator(estimator, n_features=n_features, max_iter=max_iter, seed=seed))
     model.write().overwrite().save(f"{out_path}/model")
-    both = ep_train.unionByName(epochs(test_rows, "test"))
+    both = ep_train.unionByName(ep_test)
     preds = M.predict(model, both, keep=["split", "patient", "epoch", "label"])
     # One row per epoch: small next to the samples, and read by every report below.
     with persisted(preds) as p:
