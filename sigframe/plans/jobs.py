@@ -1,6 +1,7 @@
-"""The two batch jobs a user submits, with a command line (query lifecycle A and C).
+"""The batch jobs a user submits, with a command line (query lifecycles A, B and C).
 
     python -m sigframe.plans.jobs preprocess DATA.csv LABELS.csv OUT [--n 3000] [--format csv|parquet]
+    python -m sigframe.plans.jobs preprocess-text DATA.csv LABELS.csv OUT [--n 3000] [--lexicographic]
     python -m sigframe.plans.jobs train PREPROCESSED OUT [--n 3000] [--format csv|parquet]
 
 ``preprocess`` reads the sample and label CSVs, maps stages, drops unknown ones,
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from sigframe.operators import evaluate as V
 from sigframe.operators import model as M
 from sigframe.operators.epochs import assemble_epochs
-from sigframe.operators.prep import preprocess
+from sigframe.operators.prep import label_stages, pair_join, preprocess, tumbling_epoch
 from sigframe.operators.scale import scale_channels
 from sigframe.operators.split import holdout_split
 from sigframe.schemas import EPOCH_SAMPLES, PREPROCESSED, RAW_DATA, RAW_LABELS
 from sigframe.session import checkpoint_dir
-from sigframe.sources.csv import read_csv, write_csv
+from sigframe.sources.csv import read_csv, read_text_split, write_csv, write_text
 from sigframe.sources.persist import persisted
 
 OUT_COLS = [f.name for f in PREPROCESSED.fields]
@@ -76,6 +77,39 @@ def read_preprocessed(spark: SparkSession, path: str, fmt: str = "csv") -> DataF
     return spark.read.parquet(path).select(*OUT_COLS)
 
 
+def text_preprocess_job(spark: SparkSession, data_path: str, labels_path: str, out_path: str,
+                        n: int = EPOCH_SAMPLES, unknown: str = "drop", lexicographic: bool = False,
+                        with_epoch: bool = True, sep: str = ",") -> DataFrame:
+    """The text-lines form of preprocessing: both files are read as lines and
+    split on ``sep`` (every header line dropped), keyed by ``patient_timestep``,
+    joined on that key, reduced to (key, timestep, fpzcz, pzoz, horizontal,
+    condition), given a class id, sorted and written as delimited text without a
+    header. Sorting is by (patient, numeric timestep) unless ``lexicographic``
+    asks for the string key order (P_1, P_10, P_2). The epoch id is appended
+    unless ``with_epoch`` is False. Returns the written rows as a DataFrame."""
+    data = read_text_split(spark, data_path, sep)
+    labels = read_text_split(spark, labels_path, sep)
+    # raw sample columns: patient, timestep, time, c1, c2, c3, c4; labels: patient, timestep, time, condition
+    key = F.concat_ws("_", F.element_at("fields", 1), F.element_at("fields", 2))
+    left = data.select(key.alias("key"), F.col("fields").alias("values"))
+    right = labels.select(key.alias("key"), F.array(F.element_at("fields", 4)).alias("values"))
+    joined = pair_join(left, right)
+    v = F.col("values")
+    rows = joined.select(
+        "key", F.element_at(v, 1).alias("patient"), F.expr("try_cast(element_at(values, 2) AS INT)").alias("timestep"),
+        *[F.expr(f"try_cast(element_at(values, {i}) AS FLOAT)").alias(c)
+          for i, c in ((4, "fpzcz"), (5, "pzoz"), (6, "horizontal"))],
+        F.element_at(v, 8).alias("condition"))
+    rows = label_stages(rows, unknown)
+    if with_epoch:
+        rows = tumbling_epoch(rows, n)
+    order = ["key"] if lexicographic else ["patient", "timestep"]
+    cols = ["key", "timestep", "fpzcz", "pzoz", "horizontal", "condition", "label"] + (["epoch"] if with_epoch else [])
+    out = rows.select(*cols).orderBy(*order)
+    write_text(out, out_path, cols, sep)
+    return out
+
+
 def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int = EPOCH_SAMPLES,
               fmt: str = "csv", k_holdout: int = 8, seed: int = 42, unit: str = "person",
               scaler_mode: str = "scale_only", scope: str = "train", label_rule: str = "mean",
@@ -124,19 +158,27 @@ def main(argv: list[str] | None = None) -> None:
     pre.add_argument("data")
     pre.add_argument("labels")
     pre.add_argument("out")
+    txt = sub.add_parser("preprocess-text")
+    txt.add_argument("data")
+    txt.add_argument("labels")
+    txt.add_argument("out")
+    txt.add_argument("--lexicographic", action="store_true")
     tr = sub.add_parser("train")
     tr.add_argument("preprocessed")
     tr.add_argument("out")
     tr.add_argument("--holdout", type=int, default=8)
     tr.add_argument("--seed", type=int, default=42)
-    for p in (pre, tr):
+    for p in (pre, txt, tr):
         p.add_argument("--n", type=int, default=EPOCH_SAMPLES)
-        p.add_argument("--format", choices=["csv", "parquet"], default="csv")
+        if p is not txt:
+            p.add_argument("--format", choices=["csv", "parquet"], default="csv")
     args = ap.parse_args(argv)
     from sigframe.session import get_session
     spark = get_session()
     if args.cmd == "preprocess":
         preprocess_job(spark, args.data, args.labels, args.out, n=args.n, fmt=args.format)
+    elif args.cmd == "preprocess-text":
+        text_preprocess_job(spark, args.data, args.labels, args.out, n=args.n, lexicographic=args.lexicographic)
     else:
         print(train_job(spark, args.preprocessed, args.out, n=args.n, fmt=args.format,
                         k_holdout=args.holdout, seed=args.seed))

@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sigframe.plans.jobs import preprocess_job, train_job
+from sigframe.plans.jobs import main, preprocess_job, text_preprocess_job, train_job
 from sigframe.session import scratch_path
 from sigframe.sources.catalog import list_files, recording_catalog
 from sigframe.sources.csv import write_csv
@@ -61,3 +61,19 @@ def test_parquet_output_prunes_by_recording(spark):
     assert one.count() == pre.filter(F.col("patient") == "ST7011J0").count() > 0
     acc = train_job(spark, f"{root}/pre", f"{root}/out", n=N, fmt="parquet", k_holdout=1, max_iter=20)
     assert set(acc) == {"train", "test"}
+
+
+def test_text_job_matches_dataframe_job(spark):
+    root = scratch_path(spark, f"sigframe-jobs-{uuid.uuid4().hex}")
+    data, labels = recordings(spark, r=2, e=4, n=N)
+    write_csv(data.repartition(3), f"{root}/data")
+    write_csv(labels.repartition(2), f"{root}/labels")
+    main(["preprocess-text", f"{root}/data", f"{root}/labels", f"{root}/txt", "--n", str(N)])
+    lines = [r["value"].split(",") for r in spark.read.text(f"{root}/txt").collect()]
+    pre = preprocess_job(spark, f"{root}/data", f"{root}/labels", f"{root}/pre", n=N)
+    assert len(lines) == pre.count() > 0
+    assert {(f[0].split("_")[0], int(f[7]), int(f[6])) for f in lines} == \
+        {(r["patient"], r["epoch"], r["label"]) for r in pre.select("patient", "epoch", "label").collect()}
+    lex = text_preprocess_job(spark, f"{root}/data", f"{root}/labels", f"{root}/lex", n=N, lexicographic=True)
+    keys = [r["key"] for r in lex.collect()]
+    assert keys == sorted(keys)
