@@ -94,7 +94,11 @@ def label_join(samples: DataFrame, labels: DataFrame, n: int | None = None,
     epoch = f"CAST(floor(`{tk}` / {int(n)}) AS BIGINT) AS epoch"
     s = samples.selectExpr("*", epoch).repartition(pk, "epoch")
     lab = labels.selectExpr(pk, tk, "label", epoch).repartition(pk, "epoch")
-    return s.join(lab, [pk, "epoch", tk], "inner")
+    # Both sides are already exchanged on (patient, epoch): a sort-merge join
+    # adds no shuffle, while broadcasting the label side would only add work.
+    # Its output is ordered by (patient, epoch, timestep), which a sort-based
+    # epoch aggregation then streams without another sort.
+    return s.join(lab.hint("merge"), [pk, "epoch", tk], "inner")
 
 
 def pair_join(left: DataFrame, right: DataFrame, key: str = "key",

@@ -17,11 +17,16 @@ from pyspark.sql import SparkSession
 #    then join on (a, b) an input partitioned on a alone; joins of this package
 #    keyed by (recording, bucket) guard against that (operators/partitioning.py),
 #    and user joins on a hot prefix key should repartition on the full key.
+#  * useObjectHashAggregateExec=false plans collect_list aggregations (epoch
+#    assembly) as sort-based aggregates: after the label join, whose output is
+#    already ordered by (patient, epoch, timestep), epochs stream through without
+#    the extra sort the hash aggregate falls back to past 128 keys per task.
 RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.execution.useObjectHashAggregateExec": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
