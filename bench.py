@@ -4,7 +4,7 @@ The driver-table adapter output (signal, label, annotation and prediction
 tables) is written once to the shared checkpoint folder first, so the timings
 are those of the library's operators on stored inputs. Each query is run to
 completion with the ``noop`` sink (no collect); the reported time is the
-median of $BENCH_REPEATS (default 3) runs.
+median of $BENCH_REPEATS (default 5) runs.
 
 For comparison the full flagship epoch table (arrays, features, vectors, both
 label rules) is timed against a reference-shaped plan that produces features,
@@ -68,7 +68,7 @@ def reference_shaped_flagship(spark, sf_dir):
                    .withColumn("vectors", array_to_vector("features")))
 
 
-REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
+REPEATS = int(os.environ.get("BENCH_REPEATS", "5"))
 
 
 def run(df) -> None:
