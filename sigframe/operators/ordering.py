@@ -45,7 +45,8 @@ def _order_cols(order, descending):
 
 def _as_number(df: DataFrame, o):
     """The leading order column as a double that preserves its order, or None
-    when its type has no such mapping (then one bucket per key is used)."""
+    when its type has no such mapping (booleans, arrays, structs); then the
+    plain window is used."""
     if not isinstance(o, str):
         return None
     dt = df.schema[o].dataType
