@@ -5,16 +5,19 @@
 recording holding a third of the table would run on one core.
 
 Here one grouped aggregate (partial on every task) first gives each key its row
-count and the range of its leading order column. Keys with at most
-``rows_per_bucket`` rows keep the plain window: their groups are bounded. The
-other, "hot", keys - at most rows / rows_per_bucket of them, so that table has a
-size bound and is broadcast - are cut into buckets of the leading order column
-holding about ``rows_per_bucket`` rows each. Buckets are a pure function of the
-row, so the plan is deterministic and survives recomputation. A grouped count
-per (key, bucket) - about #keys + rows / rows_per_bucket rows - gives every
-bucket its starting offset by a running sum, and ``row_number`` runs inside
-each bounded (key, bucket) group. Rows with an equal leading value always share
-a bucket.
+count and the range of its order columns. Keys with at most ``rows_per_bucket``
+rows keep the plain window: their groups are bounded. Each "hot" key - there
+are at most rows / rows_per_bucket of them, so that table has a size bound and
+is broadcast - is cut into buckets of about ``rows_per_bucket`` rows on the
+first order column that varies inside it. A bucket that is still hot (uneven
+density, or many rows with the same leading value) is cut again the same way,
+on the leading column with a finer width, or on the next order column when
+the leading one is constant inside it; every earlier column is constant in the
+group being cut, so the bucket path orders rows as ``order`` does. Buckets are
+a pure function of the row and the statistics, so the plan is deterministic
+and survives recomputation. A grouped count per (key, bucket path) - about
+#keys + rows / rows_per_bucket rows - gives every bucket its starting offset by
+a running sum, and ``row_number`` runs inside each bounded group.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from sigframe.functions.times import ntz_micros
 from sigframe.operators.partitioning import on_full_key
 
 _B, _N, _OFF, _RN, _K = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key"
-_LO, _W, _V = "_sf_lo", "_sf_w", "_sf_v"
+_LO, _W = "_sf_lo", "_sf_width"
 ROWS_PER_BUCKET = 2_000_000
 # Hot-key statistics are collected and broadcast up to this many keys (a few MB);
 # beyond it they stay a DataFrame and AQE plans the join.
@@ -67,9 +70,35 @@ def _as_number(df: DataFrame, o):
     return None
 
 
+def _hot_groups(work: DataFrame, group: list[str], vs: list[str], rows_per_bucket: int) -> tuple[list, list]:
+    """Statistics of the groups with more than ``rows_per_bucket`` rows that can
+    still be split: per group the first order column that varies inside it (all
+    earlier ones are constant there), its minimum and a width giving buckets of
+    about ``rows_per_bucket`` rows. Returns (rows, schema fields)."""
+    cnt = F.count(F.lit(1))
+    aggs = [cnt.alias(_N)]
+    for j, v in enumerate(vs):
+        aggs += [F.min(v).alias(f"_sf_lo{j}"), F.max(v).alias(f"_sf_hi{j}"), F.count(v).alias(f"_sf_c{j}")]
+    stats = work.groupBy(*group).agg(*aggs).filter(F.col(_N) > rows_per_bucket)
+    # a column varies in the group if it has two values, or NULLs next to values
+    varies = [(F.col(f"_sf_hi{j}") > F.col(f"_sf_lo{j}"))
+              | ((F.col(f"_sf_c{j}") > 0) & (F.col(f"_sf_c{j}") < F.col(_N))) for j in range(len(vs))]
+    col_idx = F.lit(None).cast("int")
+    for j in reversed(range(len(vs))):
+        col_idx = F.when(varies[j], F.lit(j)).otherwise(col_idx)
+    lo = F.lit(None).cast("double")
+    span = F.lit(None).cast("double")
+    for j in reversed(range(len(vs))):
+        lo = F.when(col_idx == j, F.col(f"_sf_lo{j}")).otherwise(lo)
+        span = F.when(col_idx == j, F.col(f"_sf_hi{j}") - F.col(f"_sf_lo{j}")).otherwise(span)
+    hot = stats.select(*group, col_idx.alias("_sf_j"), lo.alias(_LO),
+                       (span * F.lit(float(rows_per_bucket)) / F.col(_N)).alias(_W)).filter(F.col("_sf_j").isNotNull())
+    return hot.limit(MAX_BROADCAST_HOT_KEYS + 1).collect(), hot
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
                   descending: bool = False, rows_per_bucket: int | None = None,
-                  count_out: str | None = None) -> DataFrame:
+                  count_out: str | None = None, max_levels: int = 3) -> DataFrame:
     """Add ``out``: the 0-based position of each row within its ``keys`` group in
     ``order`` (ascending unless ``descending``). ``keys=[]`` numbers the whole table.
     ``count_out`` also adds the size of the row's group (so positions from the end
@@ -77,48 +106,66 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
 
     Equal to ``row_number() - 1`` over the same window. Give ``order`` a total
     order (end with a unique column) for positions that are stable across reruns.
+    Groups are refined up to ``max_levels`` times (see the module notes).
     """
     spark = df.sparkSession
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    v = _as_number(df, order[0])
     within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     plain = df.withColumn(out, (F.row_number().over(within_key.orderBy(*_order_cols(order, descending))) - 1)
                           .cast("long"))
     if count_out:
         plain = plain.withColumn(count_out, F.count(F.lit(1)).over(within_key))
-    if v is None:
+    nums = []
+    for o in order:  # the leading order columns that map to numbers
+        v = _as_number(df, o)
+        if v is None:
+            break
+        nums.append(v)
+    if not nums:
         return plain
-    # Per-key statistics of the leading order column; only keys that need it are split.
-    cnt = F.count(F.lit(1))
-    stats = df.groupBy(*keys).agg(cnt.alias(_N), F.min(v).alias(_LO), F.max(v).alias("_sf_hi"))
-    hot = (stats.filter((F.col(_N) > rows_per_bucket) & (F.col("_sf_hi") > F.col(_LO)))
-                .select(*keys, _LO, ((F.col("_sf_hi") - F.col(_LO)) * F.lit(float(rows_per_bucket))
-                                     / F.col(_N)).alias(_W)))
-    rows = hot.limit(MAX_BROADCAST_HOT_KEYS + 1).collect()
-    if not rows:
-        return plain  # every key group is bounded
-    lc = lambda c: F.col(f"_sf_l.`{c}`")
-    b = df.withColumn(_V, v).alias("_sf_l")
-    if not keys:
-        # one global group: its statistics are two numbers
-        lo, width = F.lit(float(rows[0][_LO])), F.lit(float(rows[0][_W]))
-    else:
-        if len(rows) <= MAX_BROADCAST_HOT_KEYS:
-            hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
-        hc = lambda c: F.col(f"_sf_h.`{c}`")
-        b = b.join(hot.alias("_sf_h"), [lc(k).eqNullSafe(hc(k)) for k in keys], "left")
-        lo, width = hc(_LO), hc(_W)
-    bucket = F.coalesce(F.floor((lc(_V) - lo) / width).cast("long"), F.lit(0).cast("long"))
-    if descending:
-        bucket = -bucket
+    vs = [f"_sf_v{j}" for j in range(len(nums))]
+    work = df.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for v, n in zip(nums, vs)])
     # NULL order values sort first ascending, last descending.
-    sentinel = (2 ** 63 - 1) if descending else -(2 ** 63)
-    bucket = F.when(lc(_V).isNull(), F.lit(sentinel)).otherwise(bucket)
+    sentinel = F.lit((2 ** 63 - 1) if descending else -(2 ** 63))
+    path: list[str] = []
+    for level in range(max_levels):
+        rows, hot = _hot_groups(work, keys + path, vs, rows_per_bucket)
+        if not rows:
+            break
+        b = f"_sf_b{level}"
+        group = keys + path
+        wc = lambda c: F.col(f"_sf_x.`{c}`")
+        if not group:
+            # the whole table is one group: its statistics are three literals
+            r0 = rows[0]
+            lit = {"_sf_j": F.lit(int(r0["_sf_j"])), _LO: F.lit(float(r0[_LO])), _W: F.lit(float(r0[_W]))}
+            hc = lit.__getitem__
+            joined = work.alias("_sf_x")
+        else:
+            if len(rows) <= MAX_BROADCAST_HOT_KEYS:
+                hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
+            hc = lambda c: F.col(f"_sf_h.`{c}`")
+            joined = work.alias("_sf_x").join(hot.alias("_sf_h"), [wc(g).eqNullSafe(hc(g)) for g in group], "left")
+        value = F.lit(None).cast("double")
+        for j in reversed(range(len(vs))):
+            value = F.when(hc("_sf_j") == j, wc(vs[j])).otherwise(value)
+        bucket = F.floor((value - hc(_LO)) / hc(_W)).cast("long")
+        bucket = -bucket if descending else bucket
+        bucket = (F.when(hc("_sf_j").isNull(), F.lit(0).cast("long"))
+                   .when(value.isNull(), sentinel)
+                   .when(hc(_W) > 0, bucket)
+                   .otherwise(F.lit(0).cast("long")))  # one value next to NULLs
+        work = joined.select(*[wc(c).alias(c) for c in work.columns], bucket.alias(b))
+        path.append(b)
+    if not path:
+        return plain  # every key group is bounded
+    cnt = F.count(F.lit(1))
     # One struct key (NULL fields compare equal): the join below and the final
-    # window then share one hash partitioning on (key, bucket).
-    key = F.struct(*[lc(k) for k in keys]) if keys else F.lit(0)
-    b = b.select(*[lc(c).alias(c) for c in df.columns], key.alias(_K), bucket.alias(_B))
-    # (key, bucket) counts: about #keys + rows / rows_per_bucket rows.
+    # window then share one hash partitioning on (key, bucket path).
+    key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
+    bpath = F.struct(*[F.col(p) for p in path])
+    b = work.select(*[F.col(f"`{c}`") for c in df.columns], key.alias(_K), bpath.alias(_B))
+    # (key, bucket path) counts: about #keys + rows / rows_per_bucket rows.
     counts = b.groupBy(_K, _B).agg(cnt.alias(_N))
     before = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
     extra = [F.sum(_N).over(Window.partitionBy(_K)).alias(count_out)] if count_out else []

@@ -63,3 +63,27 @@ def test_nth_in_group_from_both_ends(spark):
     second = {r["k"]: r["t"] for r in nth_in_group(df, "k", ["t"], 1).collect()}
     last = {r["k"]: r["t"] for r in nth_in_group(df, "k", ["t"], 0, from_end=True).collect()}
     assert second == {"a": 3} and last == {"a": 9, "b": 7}
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_hot_group_of_copies(spark, desc):
+    # a third of the rows are copies of one timestamp in one recording
+    rows = [("hot", 0, i) for i in range(300)] + [("hot", 1 + i % 7, 300 + i) for i in range(300)] + \
+           [(f"k{i % 30}", i % 11, 600 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, ts int, event_id int")
+    assert _mismatches(df, ["k"], ["ts", "event_id"], desc, rows_per_bucket=25) == 0
+
+
+def test_global_order_with_ties_and_nulls(spark):
+    rows = [(None if i % 13 == 0 else i % 3, None if i % 7 == 0 else i % 5, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts int, w int, event_id int")
+    for desc in (False, True):
+        assert _mismatches(df, [], ["ts", "w", "event_id"], desc, rows_per_bucket=20) == 0
+
+
+def test_nulls_next_to_one_value_split_correctly(spark):
+    # the second order column holds NULLs and a single value inside a hot group
+    rows = [("hot", 0, None, 0), ("hot", 0, None, 1), ("hot", 0, None, 2), ("hot", 0, 0, 3), ("hot", 0, None, 4)]
+    df = spark.createDataFrame(rows, "k string, v int, w int, event_id int")
+    for desc in (False, True):
+        assert _mismatches(df, ["k"], ["v", "w", "event_id"], desc, rows_per_bucket=4) == 0

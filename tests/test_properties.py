@@ -66,3 +66,29 @@ def test_epoch_assembly_is_brute_force(spark, rows):
         labels = [lab for _, lab in members]
         want[key] = ([float(t * 2) for t, _ in members], int(sum(labels) / len(labels)), labels[0], len(members))
     assert got == want
+
+
+tied = st.lists(st.tuples(st.sampled_from(["hot", "hot", "hot", "x"]), st.integers(0, 2),
+                          st.one_of(st.none(), st.integers(0, 4))), min_size=1, max_size=120)
+
+
+@SETTINGS
+@given(tied, st.booleans())
+def test_ordered_index_with_heavy_ties(spark, rows, desc):
+    df = spark.createDataFrame([(k, v, w, i) for i, (k, v, w) in enumerate(rows)],
+                               "k string, v int, w int, id int")
+    got = {r["id"]: r["i"] for r in ordered_index(df, ["k"], ["v", "w", "id"], out="i", descending=desc,
+                                                   rows_per_bucket=4).collect()}
+
+    def sort_key(r):
+        i, (k, v, w) = r
+        # NULLs first ascending, last descending, as Spark orders them
+        wk = (0, 0) if w is None else (1, w)
+        return (v, wk, i)
+
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        members = sorted(((i, (k, v, w)) for i, (k, v, w) in enumerate(rows) if k == key), key=sort_key,
+                         reverse=desc)
+        want.update({i: pos for pos, (i, _) in enumerate(members)})
+    assert got == want
