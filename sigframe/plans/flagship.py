@@ -3,9 +3,12 @@
 rename/drop/cast -> stage map -> drop unknown stages -> join on (patient,
 timestep) -> epoch id -> per-epoch ordered arrays + both label rules -> vectors.
 
-Plan shape: each input is hash-partitioned once on (patient, epoch); the join
-and the epoch aggregation both run on that partitioning, so there is one
-shuffle per input and no sort for the arrays beyond the in-group sort.
+Plan shape with the settings of ``session.RECOMMENDED_CONF``: each input is
+hash-partitioned once on (patient, epoch), sorted once for the merge join, and
+the sort-based epoch aggregation streams the join's order - one shuffle per
+input and no other sort than the one inside each epoch. In a session without
+those settings the label join is a plain join and the aggregation shuffles
+once more.
 """
 
 from __future__ import annotations
