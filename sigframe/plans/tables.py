@@ -81,13 +81,13 @@ def seconds_expr() -> F.Column:
     return (ntz_micros("ts") - anchor) / F.lit(1e6)
 
 
-_INDEXED: dict[tuple[str, str], DataFrame] = {}
+_INDEXED: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def indexed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their recording id and sample number. The plan is built once
     per session and table folder, so signals and labels share one plan subtree."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
     if key not in _INDEXED:
         _INDEXED[key] = _index_events(spark, sf_dir)
     return _INDEXED[key]
