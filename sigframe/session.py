@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -62,24 +63,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
+    if is_local(spark) or _shared_dir(spark):
+        checkpoint_dir(spark)
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and tasks are one process, so that a local folder is shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def _shared_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder, with its scheme.
 
-    A cluster names a shared folder there and we only read it. When neither
-    that setting nor the context's checkpoint folder is set (a local test
-    session) a scratch folder is created and registered with the context.
+    A cluster names it in ``spark.checkpoint.dir`` and we only read that setting.
+    Where neither it nor the context's folder is set, a local session (tests) gets
+    a temporary folder that goes with the process; on a cluster this is an error,
+    since executors do not share their own disks.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if current and current.startswith("file:"):
-        current = current[len("file:"):]
+    current = _shared_dir(spark)
     if not current:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="sigframe-ckpt-")
+        atexit.register(shutil.rmtree, current, ignore_errors=True)
+        current = f"file:{current}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
@@ -87,4 +100,4 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a materialised table."""
-    return os.path.join(checkpoint_dir(spark), name)
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
