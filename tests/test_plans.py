@@ -6,9 +6,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry_mod
 from sigframe.operators.ordering import ordered_index
 from sigframe.plans.flagship import epochs_from_raw
+from sigframe.plans.queries import QUERIES
 from sigframe.session import scratch_path
 from tests.synthetic import recordings
 
@@ -41,10 +41,10 @@ def test_bucketed_positions_shuffle_on_key_and_bucket(spark):
     assert not re.search(r"Window \[row_number\(\) windowspecdefinition\(k#", plan)
 
 
-@pytest.mark.parametrize("name", sorted(entry_mod.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_join_or_python_rows(spark, name):
     if name.startswith("ml_"):
         pytest.skip("model fitting runs eagerly; its predictions are plain expressions")
-    plan = _plan(entry_mod.queries()[name](spark, "/root/testdata/sf0.001"))
+    plan = _plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert bad not in plan, (name, bad)
