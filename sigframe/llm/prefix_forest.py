@@ -95,16 +95,16 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, trees: int = TREES,
     asks = asks.groupBy("vec_id", "dims").agg(F.min("v").alias("v"))
     size = rows.groupBy("dims").agg(F.max("norm").alias("top"), F.approx_count_distinct("v").alias("n"),
                                     F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("m"))
-    size = size.select("dims", "top", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("int").alias("asked"))
+    size = size.select("dims", "top", F.ceil(F.col("n") / block).cast("long").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("long").alias("asked"))
     nothing = F.expr("cast(null as array<bigint>)")
     dealt = entries.join(size, "dims").select(
-        "dims", "top", F.pmod(F.xxhash64("v"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).cast("long").alias("part"),
+        "dims", "top", F.pmod(F.xxhash64("v"), "blocks").alias("block"), F.explode(F.expr("sequence(0L, asked - 1)")).alias("part"),
         "v", "ids", F.expr("cast(null as bigint)").alias("query_id"))
     asked = asks.join(size, "dims").select(
-        "dims", "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("block"), F.pmod(F.xxhash64("vec_id"), "asked").alias("part"),
+        "dims", "top", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("vec_id"), "asked").alias("part"),
         "v", nothing.alias("ids"), F.col("vec_id").alias("query_id"))
 
-    def answer(key, table: pa.Table) -> pa.Table:
+    def answer(key, table):
         dims = key[0].as_py()
         table = table.combine_chunks()
         x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
