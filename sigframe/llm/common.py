@@ -12,7 +12,7 @@ from sigframe.session import checkpoint_dir
 
 # Characters of text a Python worker handles at a time: an Arrow batch is cut
 # into slices of about this size, so memory does not follow the batch.
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -45,19 +45,6 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 1, 2, 3, 6
 _KIND[list(b" \t\n\r\x0b\x0c")] = 5
 
 
-class _Buckets(dict):
-    """Bucket of a word, kept for words seen before."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = zlib.crc32(word) % BUCKETS
-        if len(self) < 500_000:
-            self[word] = value
-        return value
-
-
-_BUCKETS = _Buckets()
-
-
 def describe(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets, values, statistics) of one text; defined for the empty text too."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -68,7 +55,7 @@ def describe(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.
     own = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n_lines = max(1, len(lines))
-    ids, counts = np.unique(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), return_counts=True)
+    ids, counts = np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS, return_counts=True)
     values = np.sqrt(counts)
     if len(values):
         values = values / np.sqrt(counts.sum())

@@ -31,10 +31,10 @@ THETA = 0.6
 SEED = 11
 SPACE = "▁"
 # Edges of lattices kept by a worker; beyond this it starts anew.
-MAX_EDGES = 5_000_000
+MAX_EDGES = 1_500_000
 # Weight of a character that must be spelled in byte pieces.
 UNKNOWN_WEIGHT = 1e-6
-SLICE = 800_000
+SLICE = 250_000
 
 
 class PieceLattice:

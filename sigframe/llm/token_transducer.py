@@ -29,8 +29,8 @@ from sigframe.llm.common import text_slices
 
 CHUNK_CHARS = 64
 # States and counted words kept by a worker; beyond this it starts anew.
-MAX_STATES = 700_000
-MAX_WORDS = 500_000
+MAX_STATES = 450_000
+MAX_WORDS = 300_000
 MAX_WORD_CHARS = 64
 NEVER = 1 << 60
 
