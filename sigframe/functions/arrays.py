@@ -22,10 +22,11 @@ def argmax(scores: Column | str) -> Column:
 
 
 def one_hot(label: Column | str, n_classes: int) -> Column:
-    """``array<double>`` of length ``n_classes`` with 1.0 at ``label``."""
+    """``array<double>`` of length ``n_classes`` with 1.0 at ``label``; NULL for a label
+    that is NULL or no class."""
     lab = _c(label)
-    return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
-                       lambda i: F.when(i == lab, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return F.when(lab.between(0, n_classes - 1), F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)),
+                       lambda i: F.when(i == lab, F.lit(1.0)).otherwise(F.lit(0.0))))
 
 
 def flatten_channels(*channel_arrays) -> Column:
@@ -37,8 +38,10 @@ def channel_major_to_time_major(flat: Column | str, n_channels: int) -> Column:
     """(channels, n) flattened -> array of n rows of ``n_channels`` values."""
     a = _c(flat)
     n = (F.size(a) / n_channels).cast("int")
+    # sequence(0, -1) would count down: an empty array has no rows
+    steps = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
     return F.transform(
-        F.sequence(F.lit(0), n - 1),
+        steps,
         lambda i: F.transform(F.sequence(F.lit(0), F.lit(n_channels - 1)),
                               lambda j: F.element_at(a, j * n + i + 1)))
 
@@ -63,7 +66,8 @@ def relu(x: Column | str) -> Column:
 
 
 def relu_array(a: Column | str) -> Column:
-    return F.transform(_c(a), lambda x: F.greatest(x, F.lit(0.0).cast("float")))
+    """max(x, 0) element-wise; NULL elements stay NULL (greatest() would skip them)."""
+    return F.transform(_c(a), lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0).cast("float"))))
 
 
 def softmax(scores: Column | str) -> Column:

@@ -14,8 +14,13 @@ def _samples_struct(order: str, channels: list[str]):
     return F.expr(f"struct(`{order}` AS _o, " + ", ".join(f"`{c}`" for c in channels) + ")")
 
 
+def _order_of(df: DataFrame) -> str:
+    """The sample number where there is one: float32 seconds collide from 131,072 s on."""
+    return "timestep" if "timestep" in df.columns else "time"
+
+
 def assemble_epochs(df: DataFrame, keys: tuple[str, ...] = ("patient", "epoch"),
-                    order: str = "time", channels: list[str] | None = None,
+                    order: str | None = None, channels: list[str] | None = None,
                     layout: str = "channel", label_rule: str | None = "both",
                     n: int | None = EPOCH_SAMPLES, require_full: bool = False,
                     vectors: bool = False) -> DataFrame:
@@ -32,6 +37,7 @@ def assemble_epochs(df: DataFrame, keys: tuple[str, ...] = ("patient", "epoch"),
     ``require_full`` keeps epochs of exactly ``n`` samples (D18).
     """
     channels = channels or CHANNELS
+    order = order or _order_of(df)
     keys = list(keys)
     aggs = [F.array_sort(F.collect_list(_samples_struct(order, channels))).alias("_samples"),
             F.count(F.lit(1)).alias("n_samples")]
@@ -71,6 +77,7 @@ def epoch_label_mean(df: DataFrame, keys=("patient", "epoch")) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg("label").cast("int").alias("label"))
 
 
-def epoch_label_first(df: DataFrame, keys=("patient", "epoch"), order: str = "time") -> DataFrame:
+def epoch_label_first(df: DataFrame, keys=("patient", "epoch"), order: str | None = None) -> DataFrame:
     """AG-3: label of the earliest sample of each epoch."""
+    order = order or _order_of(df)
     return df.groupBy(*keys).agg(F.min(F.struct(F.col(order), F.col("label")))["label"].alias("label"))

@@ -11,10 +11,9 @@ join keys instead of forming one hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.operators.ordering import ordered_index
 from sigframe.operators.partitioning import on_full_key
 from sigframe.schemas import CROP_MARGIN_S, EPOCH_SECONDS, SFREQ
 
@@ -80,18 +79,20 @@ def label_samples_by_chunks(samples: DataFrame, ann: DataFrame, chunk: float = E
 
 def annotation_landmarks(ann: DataFrame, key: str = "patient") -> DataFrame:
     """WIN-3 per recording: the second annotation, the last one and the one
-    before the last (ordered by onset, duration, description). One
-    ``ordered_index`` pass with group sizes and one grouped aggregate; no join.
-    Recordings with one annotation get NULL for the missing rows."""
-    pos = ordered_index(ann, [key], ["onset", "duration", "description"], out="_sf_pos", count_out="_sf_cnt")
-    at = F.col("_sf_pos")
-    from_end = F.col("_sf_cnt") - 1 - at
-    return pos.groupBy(key).agg(
-        F.max(F.when(at == 1, F.col("onset"))).alias("second_onset"),
-        F.max(F.when(at == 1, F.col("description"))).alias("second_description"),
-        F.max(F.when(from_end == 0, F.col("onset"))).alias("last_onset"),
-        F.max(F.when(from_end == 0, F.col("description"))).alias("last_description"),
-        F.max(F.when(from_end == 1, F.col("onset"))).alias("before_last_onset"))
+    before the last (ordered by onset, duration, description). Every task keeps two
+    rows per recording from either end before the shuffle. Recordings with one
+    annotation get NULL for the missing rows."""
+    order = ["onset", "duration", "description"]
+    rows = ann.select(key, *order)
+    nth = lambda o: F.row_number().over(Window.partitionBy(key).orderBy(*o)).alias("_sf_nth")
+    first = rows.select("*", nth([F.col(c).asc_nulls_first() for c in order])).filter("_sf_nth <= 2")
+    last = rows.select("*", nth([F.col(c).desc_nulls_last() for c in order])).filter("_sf_nth <= 2")
+    ends = first.withColumn("_sf_nth", -F.col("_sf_nth")).unionByName(last)
+    at = lambda n, c: F.max(F.when(F.col("_sf_nth") == n, F.col(c)))
+    return ends.groupBy(key).agg(
+        at(-2, "onset").alias("second_onset"), at(-2, "description").alias("second_description"),
+        at(1, "onset").alias("last_onset"), at(1, "description").alias("last_description"),
+        at(2, "onset").alias("before_last_onset"))
 
 
 def crop_bounds(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "patient",

@@ -4,20 +4,15 @@
 (PARTITION BY key ORDER BY ...)`` sends every row of a key to one task, so a
 recording holding a third of the table would run on one core.
 
-Here one grouped aggregate (partial on every task) first gives each key its row
-count and the range of its order columns. Keys with at most ``rows_per_bucket``
-rows keep the plain window: their groups are bounded. Each "hot" key - there
-are at most rows / rows_per_bucket of them, so that table has a size bound and
-is broadcast - is cut into buckets of about ``rows_per_bucket`` rows on the
-first order column that varies inside it. A bucket that is still hot (uneven
-density, or many rows with the same leading value) is cut again the same way,
-on the leading column with a finer width, or on the next order column when
-the leading one is constant inside it; every earlier column is constant in the
-group being cut, so the bucket path orders rows as ``order`` does. Buckets are
-a pure function of the row and the statistics, so the plan is deterministic
-and survives recomputation. A grouped count per (key, bucket path) - about
-#keys + rows / rows_per_bucket rows - gives every bucket its starting offset by
-a running sum, and ``row_number`` runs inside each bounded group.
+Here each key's rows are cut into buckets at splitters: the order tuples of
+about one row in ``rows_per_bucket``, picked by hash, so a key of that many rows
+or fewer has few or none. A row's bucket is the number of its key's splitters
+that are not above its order tuple (a binary search over values of their own
+types, so any orderable type and any value is exact). A grouped count per (key,
+bucket) gives every bucket its first position by a running sum, and
+``row_number`` runs inside each bucket. All of it is one lazy plan without jobs
+while it is built, and one path at every size. Rows that are equal in every
+column share a bucket.
 """
 
 from __future__ import annotations
@@ -26,16 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigframe.functions.times import ntz_micros
 from sigframe.operators.partitioning import on_full_key
 
-_B, _N, _OFF, _RN, _K = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key"
-_LO, _W = "_sf_lo", "_sf_width"
+_B, _N, _OFF, _RN, _K, _T, _S = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key", "_sf_tuple", "_sf_splits"
 ROWS_PER_BUCKET = 2_000_000
-# Hot-key statistics are collected and broadcast up to this many keys (a few MB);
-# beyond it they stay a DataFrame and AQE plans the join.
-MAX_BROADCAST_HOT_KEYS = 200_000
-_PREFIX_BYTES = 6
+# Steps of the binary search: enough for two million splitters of one key.
+_STEPS = [1 << b for b in range(20, -1, -1)]
 
 
 def _col(o):
@@ -46,138 +37,61 @@ def _order_cols(order, descending):
     return [(_col(o).desc_nulls_last() if descending else _col(o).asc_nulls_first()) for o in order]
 
 
-def _as_number(df: DataFrame, o):
-    """The leading order column as a double that preserves its order, or None
-    when its type has no such mapping (booleans, arrays, structs); then the
-    plain window is used."""
-    if not isinstance(o, str):
-        return None
-    dt = df.schema[o].dataType
-    if isinstance(dt, T.NumericType):
-        return F.col(o).cast("double")
-    if isinstance(dt, T.TimestampNTZType):
-        return ntz_micros(o).cast("double")
-    if isinstance(dt, T.TimestampType):
-        return F.unix_micros(F.col(o)).cast("double")
-    if isinstance(dt, T.DateType):
-        return F.unix_date(F.col(o)).cast("double")
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        # First 6 bytes, zero-padded: as a 48-bit number their order is the
-        # byte order Spark uses to compare strings, and a double holds it exactly.
-        b = F.col(o) if isinstance(dt, T.BinaryType) else F.encode(F.col(o), "UTF-8")
-        head = F.rpad(F.substring(b, 1, _PREFIX_BYTES), _PREFIX_BYTES, F.unhex(F.lit("00")))
-        return F.conv(F.hex(head), 16, 10).cast("double")
-    return None
-
-
-def _hot_groups(work: DataFrame, group: list[str], vs: list[str], rows_per_bucket: int) -> tuple[list, list]:
-    """Statistics of the groups with more than ``rows_per_bucket`` rows that can
-    still be split: per group the first order column that varies inside it (all
-    earlier ones are constant there), its minimum and a width giving buckets of
-    about ``rows_per_bucket`` rows. Returns (rows, schema fields)."""
-    cnt = F.count(F.lit(1))
-    aggs = [cnt.alias(_N)]
-    for j, v in enumerate(vs):
-        aggs += [F.min(v).alias(f"_sf_lo{j}"), F.max(v).alias(f"_sf_hi{j}"), F.count(v).alias(f"_sf_c{j}")]
-    stats = work.groupBy(*group).agg(*aggs).filter(F.col(_N) > rows_per_bucket)
-    # a column varies in the group if it has two values, or NULLs next to values
-    varies = [(F.col(f"_sf_hi{j}") > F.col(f"_sf_lo{j}"))
-              | ((F.col(f"_sf_c{j}") > 0) & (F.col(f"_sf_c{j}") < F.col(_N))) for j in range(len(vs))]
-    col_idx = F.lit(None).cast("int")
-    for j in reversed(range(len(vs))):
-        col_idx = F.when(varies[j], F.lit(j)).otherwise(col_idx)
-    lo = F.lit(None).cast("double")
-    span = F.lit(None).cast("double")
-    for j in reversed(range(len(vs))):
-        lo = F.when(col_idx == j, F.col(f"_sf_lo{j}")).otherwise(lo)
-        span = F.when(col_idx == j, F.col(f"_sf_hi{j}") - F.col(f"_sf_lo{j}")).otherwise(span)
-    hot = stats.select(*group, col_idx.alias("_sf_j"), lo.alias(_LO),
-                       (span * F.lit(float(rows_per_bucket)) / F.col(_N)).alias(_W)).filter(F.col("_sf_j").isNotNull())
-    return hot.limit(MAX_BROADCAST_HOT_KEYS + 1).collect(), hot
+def _hashable(dt: T.DataType) -> bool:
+    if isinstance(dt, T.ArrayType):
+        return _hashable(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return all(_hashable(f.dataType) for f in dt.fields)
+    return not isinstance(dt, (T.MapType, T.VariantType))
+
+
+def _splitters_below(splits, value):
+    """How many of the sorted ``splits`` are at most ``value`` (binary search)."""
+    return F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), lambda at, step: F.when(
+        (at + step <= F.size(splits)) & (F.get(splits, at + step - 1) <= value), at + step).otherwise(at))
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
                   descending: bool = False, rows_per_bucket: int | None = None,
-                  count_out: str | None = None, max_levels: int = 3) -> DataFrame:
+                  count_out: str | None = None) -> DataFrame:
     """Add ``out``: the 0-based position of each row within its ``keys`` group in
     ``order`` (ascending unless ``descending``). ``keys=[]`` numbers the whole table.
     ``count_out`` also adds the size of the row's group (so positions from the end
     are ``count - 1 - position``).
 
-    Equal to ``row_number() - 1`` over the same window. Give ``order`` a total
-    order (end with a unique column) for positions that are stable across reruns.
-    Groups are refined up to ``max_levels`` times (see the module notes).
+    Equal to ``row_number() - 1`` over the same window: NULLs come first, last if
+    descending, and NaN is the largest number. Rows that tie in ``order`` are told
+    apart by a hash of their columns; give ``order`` a total order (end with a
+    unique column) for positions that do not depend on it.
     """
-    spark = df.sparkSession
     rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
-    within_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    plain = df.withColumn(out, (F.row_number().over(within_key.orderBy(*_order_cols(order, descending))) - 1)
-                          .cast("long"))
-    if count_out:
-        plain = plain.withColumn(count_out, F.count(F.lit(1)).over(within_key))
-    nums = []
-    for o in order:  # the leading order columns that map to numbers
-        v = _as_number(df, o)
-        if v is None:
-            break
-        nums.append(v)
-    if not nums:
-        return plain
-    vs = [f"_sf_v{j}" for j in range(len(nums))]
-    work = df.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for v, n in zip(nums, vs)])
-    # NULL order values sort first ascending, last descending.
-    sentinel = F.lit((2 ** 63 - 1) if descending else -(2 ** 63))
-    path: list[str] = []
-    for level in range(max_levels):
-        rows, hot = _hot_groups(work, keys + path, vs, rows_per_bucket)
-        if not rows:
-            break
-        b = f"_sf_b{level}"
-        group = keys + path
-        wc = lambda c: F.col(f"_sf_x.`{c}`")
-        if not group:
-            # the whole table is one group: its statistics are three literals
-            r0 = rows[0]
-            lit = {"_sf_j": F.lit(int(r0["_sf_j"])), _LO: F.lit(float(r0[_LO])), _W: F.lit(float(r0[_W]))}
-            hc = lit.__getitem__
-            joined = work.alias("_sf_x")
-        else:
-            if len(rows) <= MAX_BROADCAST_HOT_KEYS:
-                hot = F.broadcast(spark.createDataFrame(rows, hot.schema))
-            hc = lambda c: F.col(f"_sf_h.`{c}`")
-            joined = work.alias("_sf_x").join(hot.alias("_sf_h"), [wc(g).eqNullSafe(hc(g)) for g in group], "left")
-        value = F.lit(None).cast("double")
-        for j in reversed(range(len(vs))):
-            value = F.when(hc("_sf_j") == j, wc(vs[j])).otherwise(value)
-        bucket = F.floor((value - hc(_LO)) / hc(_W)).cast("long")
-        bucket = -bucket if descending else bucket
-        bucket = (F.when(hc("_sf_j").isNull(), F.lit(0).cast("long"))
-                   .when(value.isNull(), sentinel)
-                   .when(hc(_W) > 0, bucket)
-                   .otherwise(F.lit(0).cast("long")))  # one value next to NULLs
-        work = joined.select(*[wc(c).alias(c) for c in work.columns], bucket.alias(b))
-        path.append(b)
-    if not path:
-        return plain  # every key group is bounded
-    cnt = F.count(F.lit(1))
-    # One struct key (NULL fields compare equal): the join below and the final
-    # window then share one hash partitioning on (key, bucket path).
+    own = [F.col(f"`{c}`") for c in df.columns]
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)] or [F.lit(0)])
     key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
-    bpath = F.struct(*[F.col(p) for p in path])
-    b = work.select(*[F.col(f"`{c}`") for c in df.columns], key.alias(_K), bpath.alias(_B))
-    # (key, bucket path) counts: about #keys + rows / rows_per_bucket rows.
-    counts = b.groupBy(_K, _B).agg(cnt.alias(_N))
-    before = Window.partitionBy(_K).orderBy(F.col(_B).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    extra = [F.sum(_N).over(Window.partitionBy(_K)).alias(count_out)] if count_out else []
-    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF), *extra)
+    value = F.struct(*[_col(o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
+    work = df.select(*own, key.alias(_K), value.alias(_T))
+    picked = work.select(_K, _T).filter(F.pmod(F.xxhash64(_K, _T), F.lit(rows_per_bucket)) == 0)
+    sample = F.array_sort(F.collect_set(_T)).alias(_S)
+    if keys:
+        work = work.join(picked.groupBy(_K).agg(sample), _K, "left")
+    else:  # one array for the whole table, a tuple per rows_per_bucket rows
+        work = work.withColumn(_S, picked.agg(sample).scalar())
+    bucket = F.when(F.col(_S).isNull(), F.lit(0)).otherwise(_splitters_below(F.col(_S), F.col(_T)))
+    placed = work.select(*own, _K, _T, bucket.alias(_B))
+    # (key, bucket) counts: about #keys + rows / rows_per_bucket rows.
+    counts = placed.groupBy(_K, _B).agg(F.count(F.lit(1)).alias(_N))
+    of_key = Window.partitionBy(_K)
+    before = of_key.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    total = [F.sum(_N).over(of_key).alias(_N)] if count_out or descending else []
+    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF), *total)
     # offsets come out of a window partitioned by the key alone: partition them on
     # (key, bucket) so the big side is never shuffled on the key only
-    joined = b.join(on_full_key(offsets, _K, _B), [_K, _B], "inner")
-    within = Window.partitionBy(_K, _B).orderBy(*_order_cols(order, descending))
-    return (joined.withColumn(_RN, F.row_number().over(within))
-                  .select(*[F.col(f"`{c}`") for c in df.columns],
-                          (F.col(_OFF) + F.col(_RN) - F.lit(1)).alias(out),
-                          *([F.col(count_out)] if count_out else [])))
+    joined = placed.join(on_full_key(offsets, _K, _B), [_K, _B], "inner")
+    # struct order is that of the window: NULL fields first
+    position = F.col(_OFF) + F.row_number().over(Window.partitionBy(_K, _B).orderBy(_T)) - F.lit(1)
+    if descending:
+        position = F.col(_N) - F.lit(1) - position
+    return joined.select(*own, position.cast("long").alias(out), *([F.col(_N).alias(count_out)] if count_out else []))
 
 
 def row_index(df: DataFrame, key: str = "patient", order: list | None = None,
@@ -193,10 +107,10 @@ def every_nth_row(df: DataFrame, n: int, key: str = "patient", order: list | Non
 
 
 def nth_in_group(df: DataFrame, key: str, order: list, n: int, from_end: bool = False) -> DataFrame:
-    """WIN-3: the n-th row (0-based) of each group, counted from the start or the end."""
-    idx = ordered_index(df, [key], order, out="_sf_pos", count_out="_sf_cnt")
-    pos = (F.col("_sf_cnt") - 1 - F.col("_sf_pos")) if from_end else F.col("_sf_pos")
-    return idx.filter(pos == n).drop("_sf_pos", "_sf_cnt")
+    """WIN-3: the n-th row (0-based) of each group, counted from the start or the end.
+    Every task keeps n + 1 rows per group before the shuffle."""
+    w = Window.partitionBy(key).orderBy(*_order_cols(order, from_end))
+    return df.withColumn(_RN, F.row_number().over(w)).filter(F.col(_RN) <= n + 1).filter(F.col(_RN) == n + 1).drop(_RN)
 
 
 def sort_with_ordinal(df: DataFrame, keys: list[str], order: list, out: str = "ord",

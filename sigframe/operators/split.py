@@ -83,9 +83,9 @@ def pick_holdout(df: DataFrame, k: int, seed: int = 42, col: str = "patient",
                  unit: str = "recording", person_len: int = 5) -> DataFrame:
     """SPL-1: k distinct units (recordings or persons) with the smallest hash.
     Returns a DataFrame of at most k ``unit_id`` values (a per-partition top-k
-    then a merge; never the whole id list on one task)."""
+    then a merge; never the whole id list on one task). NULL ids are no unit."""
     unit_col = _c(col) if unit == "recording" else person_of(col, person_len)
-    ids = df.select(unit_col.alias("unit_id")).distinct()
+    ids = df.select(unit_col.alias("unit_id")).filter("unit_id is not null").distinct()
     return ids.orderBy(hash_hex("unit_id", seed), "unit_id").limit(k)
 
 

@@ -168,21 +168,22 @@ def q_text_roundtrip(spark, d):
     IO.write_text(samples(spark, d), path, cols)
     f = IO.read_text_split(spark, path, drop_header=False)
     types = ["string", "int", "float", "float", "float", "float"]
-    return f.select(*[F.element_at("fields", i + 1).cast(t).alias(c) for i, (c, t) in enumerate(zip(cols, types))])
+    return f.select(*[F.element_at("fields", i + 1).try_cast(t).alias(c) for i, (c, t) in enumerate(zip(cols, types))])
 
 
 @query("pair_files_by_prefix", """
-WITH psg AS (SELECT DISTINCT 'ST' || lpad(CAST(user_id AS VARCHAR), 4, '0') || 'J0-PSG.edf' AS name FROM events),
-hyp AS (SELECT DISTINCT 'ST' || lpad(CAST(user_id AS VARCHAR), 4, '0') || 'J' || upper(substr(event_type, 1, 1))
+WITH psg AS (SELECT DISTINCT 'ST' || lpad(CAST(user_id AS VARCHAR), 19, '0') || 'J0-PSG.edf' AS name FROM events),
+hyp AS (SELECT DISTINCT 'ST' || lpad(CAST(user_id AS VARCHAR), 19, '0') || 'J' || upper(substr(event_type, 1, 1))
         || '-Hypnogram.edf' AS name FROM events)
-SELECT substr(p.name, 1, 8) AS recording, p.name AS psg_name, min(h.name) AS hyp_name
-FROM psg p JOIN hyp h ON substr(p.name, 1, 7) = substr(h.name, 1, 7)
+SELECT substr(p.name, 1, 23) AS recording, p.name AS psg_name, min(h.name) AS hyp_name
+FROM psg p JOIN hyp h ON substr(p.name, 1, 22) = substr(h.name, 1, 22)
 GROUP BY p.name""")
 def q_pair_files_by_prefix(spark, d):
     """SRC-5/JN-4/PRJ-7/FN-5: recordings paired with the first hypnogram sharing
-    their 7-character prefix; recording id = first 8 characters."""
+    their prefix, here 'ST', the id's digits and 'J'; the recording id is one longer."""
     psg, hyp = TB.file_catalog(spark, d)
-    return CAT.pair_by_prefix(psg, hyp).select("recording", "psg_name", "hyp_name")
+    prefix = 2 + TB.FILE_ID_DIGITS + 1
+    return CAT.pair_by_prefix(psg, hyp, prefix, prefix + 1).select("recording", "psg_name", "hyp_name")
 
 
 # ---- 2.2 projections ------------------------------------------------------------
@@ -211,6 +212,16 @@ def q_row_index(spark, d):
                        ["fpzcz", "timestep"], out="idx").select("patient", "timestep", "idx")
 
 
+@query("row_index_bucketed", with_views("""SELECT patient, timestep, CAST(row_number() OVER (
+  ORDER BY patient || '-' || lpad(CAST(timestep AS VARCHAR), 12, '0')) - 1 AS BIGINT) AS idx FROM samples""", "samples"))
+def q_row_index_bucketed(spark, d):
+    """PRJ-8: positions in the whole table by a string order, in buckets of about 50 rows
+    that share long prefixes."""
+    rows = samples(spark, d).select("patient", "timestep").withColumn(
+        "name", F.concat_ws("-", "patient", F.lpad(F.col("timestep").cast("string"), 12, "0")))
+    return O.ordered_index(rows, [], ["name"], out="idx", rows_per_bucket=50).drop("name")
+
+
 def _narrow_sql(c):
     return f"""SELECT '{c}' AS column_name, CASE WHEN min({c}) >= -128 AND max({c}) < 128 THEN 'tinyint'
       WHEN min({c}) >= -32768 AND max({c}) < 32768 THEN 'smallint'

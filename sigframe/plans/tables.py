@@ -164,10 +164,14 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "label", ((F.col("label") + shift) % 5).cast("int").alias("y_pred")))
 
 
+# Digits of an id in a file name: those of the longest BIGINT, so none is cut.
+FILE_ID_DIGITS = 19
+
+
 def file_catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(recording files, hypnogram files), each (path, name)."""
     ev = _events(spark, sf_dir)
-    num = F.lpad(F.col("user_id").cast("string"), 4, "0")
+    num = F.lpad(F.col("user_id").cast("string"), FILE_ID_DIGITS, "0")
     psg = (ev.select(F.concat(F.lit("ST"), num, F.lit("J0-PSG.edf")).alias("name")).distinct()
              .withColumn("path", F.concat(F.lit("/recordings/"), F.col("name"))))
     hyp = (ev.select(F.concat(F.lit("ST"), num, F.lit("J"), F.upper(F.substring("event_type", 1, 1)),

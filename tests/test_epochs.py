@@ -74,3 +74,13 @@ def test_shuffled_input_gives_same_epochs(spark):
     a = E.assemble_epochs(_epoch_rows(spark, rows), n=4).orderBy("epoch").collect()
     b = E.assemble_epochs(_epoch_rows(spark, rows[::-1]).repartition(7), n=4).orderBy("epoch").collect()
     assert [tuple(r) for r in a] == [tuple(r) for r in b]
+
+
+def test_epoch_order_survives_float32_seconds(spark):
+    """From 131,072 s on, 0.01 s steps collide in float32: the sample number orders them."""
+    base = 14_000_000
+    rows = [("p", 0, base + i, float(base + i) / 100, float(i % 7), 0.0, 0.0, 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "patient string, epoch int, timestep int, time float, fpzcz float, pzoz float, horizontal float, label int")
+    from sigframe.operators.epochs import assemble_epochs
+    got = assemble_epochs(df.repartition(7), n=200).first()
+    assert list(got["fpzcz"]) == [float(i % 7) for i in range(200)]

@@ -87,3 +87,30 @@ def test_nulls_next_to_one_value_split_correctly(spark):
     df = spark.createDataFrame(rows, "k string, v int, w int, event_id int")
     for desc in (False, True):
         assert _mismatches(df, ["k"], ["v", "w", "event_id"], desc, rows_per_bucket=4) == 0
+
+
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("column", ["name", "big", "dec", "num"])
+def test_values_that_look_alike_as_doubles_or_prefixes(spark, column, desc):
+    """Names sharing eight bytes, BIGINT beyond 2^53, long decimals, NaN, infinities and NULLs."""
+    odd = {0: float("nan"), 1: float("inf"), 2: float("-inf"), 3: None}
+    rows = [(i, f"ST7011J0_{(i * 37) % 600:06d}", 9_007_199_254_740_993 + (i * 37) % 600, float(odd.get(i % 40, (i * 37) % 101)) if odd.get(i % 40, 0) is not None else None)
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "event_id long, name string, big long, num double")
+    df = df.withColumn("dec", F.expr("cast('12345678901234567890.000' as decimal(38,3)) + cast(pmod(event_id * 37, 600) as decimal(10,3)) / 1000"))
+    assert _mismatches(df, [], [column, "event_id"], desc, rows_per_bucket=50) == 0
+
+
+def test_equal_rows_are_numbered_without_gaps(spark):
+    df = spark.createDataFrame([("a", 1)] * 50 + [("a", 2)] * 50, "k string, v long")
+    idx = ordered_index(df, ["k"], ["v"], out="i", rows_per_bucket=5)
+    assert sorted(r["i"] for r in idx.collect()) == list(range(100))
+    assert {r["v"] for r in idx.filter("i < 50").collect()} == {1}
+
+
+def test_building_the_plan_runs_no_job(spark):
+    df = spark.createDataFrame([("a", 1)], "k string, v long")
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    ordered_index(df, ["k"], ["v"], out="i", rows_per_bucket=5)
+    assert len(tracker.getJobIdsForGroup(None)) == before
