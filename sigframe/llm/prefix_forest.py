@@ -43,8 +43,9 @@ def strings(x: np.ndarray, hyper: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(index: np.ndarray, asked: np.ndarray, share: float = SHARE):
-    """For each query the rows of the index to compare. ``index`` and ``asked`` hold hash strings."""
+def candidates(index: np.ndarray, asked: np.ndarray, share: float = SHARE, least: int = K + 1):
+    """For each query the rows of the index to compare, ``least`` different ones at least
+    where there are so many. ``index`` and ``asked`` hold hash strings."""
     n, trees = index.shape
     order = np.argsort(index, axis=0, kind="stable")
     ranked = np.take_along_axis(index, order, axis=0)
@@ -64,9 +65,14 @@ def candidates(index: np.ndarray, asked: np.ndarray, share: float = SHARE):
     for q in range(len(asked)):
         d = depth[q]
         marked[:] = False
-        for t in range(trees):
-            marked[order[low[d, t, q]:high[d, t, q], t]] = True
-        yield np.flatnonzero(marked)
+        while True:
+            for t in range(trees):
+                marked[order[low[d, t, q]:high[d, t, q], t]] = True
+            found = np.flatnonzero(marked)
+            if len(found) >= min(n, least):
+                break
+            d -= 1
+        yield found
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -119,7 +125,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, trees: int = TREES,
             more = np.sqrt(np.maximum(0.0, top * top - (base * base).sum(axis=1)))
             index = strings(np.column_stack((base, more)), hyper)
             asks = strings(np.column_stack((quest, np.zeros(len(quest)))), hyper)
-            for q, (name, found) in enumerate(zip((a for a in asker if a is not None), candidates(index, asks, share))):
+            for q, (name, found) in enumerate(zip((a for a in asker if a is not None), candidates(index, asks, share, k + 1))):
                 score = (base[found] * quest[q]).sum(axis=1)
                 if len(found) > k + 1:  # the k + 1 best entries and all their ties
                     best = score >= -np.partition(-score, k)[k]
