@@ -33,9 +33,9 @@ def _grid(n_classes: int):
 def confusion_matrix(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",
                      by: list[str] | None = None, n_classes: int = N_CLASSES,
                      dense: bool = True) -> DataFrame:
-    """AG-8 long form: (by..., y_true, y_pred, count). ``dense`` adds zero cells
-    for every class pair of each group (the class grid is a literal array
-    exploded once per group, not a join)."""
+    """AG-8 long form: (by..., y_true, y_pred, count). ``dense`` adds zero cells for
+    every pair of ``n_classes`` classes of each group. Pairs with a NULL or any other
+    class keep their own cells, so the counts sum to the number of rows."""
     by = by or []
     counts = (df.groupBy(*by, F.col(y_true).cast("int").alias("y_true"),
                          F.col(y_pred).cast("int").alias("y_pred"))
@@ -43,22 +43,21 @@ def confusion_matrix(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred
     if not dense:
         return counts
     groups = counts.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    grid = groups.select(*by, F.inline(_grid(n_classes)))
-    return (grid.join(counts, [*by, "y_true", "y_pred"], "left")
-                .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
+    zeros = groups.select(*by, F.inline(_grid(n_classes)), F.lit(0).cast("long").alias("count"))
+    return counts.unionByName(zeros).groupBy(*by, "y_true", "y_pred").agg(F.sum("count").alias("count"))
 
 
 def confusion_matrix_wide(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",
                           by: list[str] | None = None, n_classes: int = N_CLASSES) -> DataFrame:
-    """AG-8 wide form: one row per true class, one ``pred_<k>`` column per class.
-    The pivot values are given, so Spark skips the job that would list them."""
+    """AG-8 wide form of the same cells: one row per true class, one ``pred_<k>`` column
+    per class and ``pred_other`` for predictions that are NULL or no class."""
     by = by or []
-    classes = list(range(n_classes))
-    wide = (df.withColumn("_sf_p", F.col(y_pred).cast("int"))
-              .groupBy(*by, F.col(y_true).cast("int").alias("y_true"))
-              .pivot("_sf_p", classes).count())
-    return wide.select(*by, "y_true", *[F.coalesce(F.col(str(k)), F.lit(0)).cast("long")
-                                        .alias(f"pred_{k}") for k in classes])
+    cells = confusion_matrix(df, y_true, y_pred, by, n_classes)
+    known = F.coalesce(F.col("y_pred").between(0, n_classes - 1), F.lit(False))
+    total = lambda cond: F.sum(F.when(cond, F.col("count")).otherwise(0))
+    return cells.groupBy(*by, "y_true").agg(
+        *[total(F.col("y_pred") == k).alias(f"pred_{k}") for k in range(n_classes)],
+        total(~known).alias("pred_other"))
 
 
 def class_report(df: DataFrame, y_true: str = "label", y_pred: str = "y_pred",

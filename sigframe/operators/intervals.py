@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigframe.operators.ordering import ordered_index
 from sigframe.operators.partitioning import on_full_key
 from sigframe.schemas import CROP_MARGIN_S, EPOCH_SECONDS, SFREQ
 
@@ -38,6 +39,15 @@ def epoch_window_seconds(chunk: float = EPOCH_SECONDS, sfreq: float = SFREQ) ->
     return 0.0, chunk - 1.0 / sfreq
 
 
+def epoch_seconds(df: DataFrame, index: str = "timestep", chunk: float = EPOCH_SECONDS,
+                  sfreq: float = SFREQ) -> DataFrame:
+    """FN-17 as columns: ``t_start`` of the sample at ``index`` in seconds, and ``t_end`` of the
+    last sample of an epoch that starts there."""
+    tmin, tmax = epoch_window_seconds(chunk, sfreq)
+    start = F.col(index) / F.lit(float(sfreq))
+    return df.withColumns({"t_start": start + F.lit(tmin), "t_end": start + F.lit(tmax)})
+
+
 def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient",
                   t: str = "t", start: str = "chunk_onset", length: float | None = EPOCH_SECONDS,
                   end: str | None = None, bucket: float | None = None,
@@ -85,14 +95,16 @@ def annotation_landmarks(ann: DataFrame, key: str = "patient") -> DataFrame:
     order = ["onset", "duration", "description"]
     rows = ann.select(key, *order)
     nth = lambda o: F.row_number().over(Window.partitionBy(key).orderBy(*o)).alias("_sf_nth")
-    first = rows.select("*", nth([F.col(c).asc_nulls_first() for c in order])).filter("_sf_nth <= 2")
-    last = rows.select("*", nth([F.col(c).desc_nulls_last() for c in order])).filter("_sf_nth <= 2")
-    ends = first.withColumn("_sf_nth", -F.col("_sf_nth")).unionByName(last)
     at = lambda n, c: F.max(F.when(F.col("_sf_nth") == n, F.col(c)))
-    return ends.groupBy(key).agg(
-        at(-2, "onset").alias("second_onset"), at(-2, "description").alias("second_description"),
-        at(1, "onset").alias("last_onset"), at(1, "description").alias("last_description"),
-        at(2, "onset").alias("before_last_onset"))
+    first = (rows.select("*", nth([F.col(c).asc_nulls_first() for c in order])).filter("_sf_nth <= 2")
+                 .groupBy(key).agg(at(2, "onset").alias("second_onset"),
+                                   at(2, "description").alias("second_description")))
+    last = (rows.select("*", nth([F.col(c).desc_nulls_last() for c in order])).filter("_sf_nth <= 2")
+                .groupBy(F.col(key).alias("_sf_key"))
+                .agg(at(1, "onset").alias("last_onset"), at(1, "description").alias("last_description"),
+                     at(2, "onset").alias("before_last_onset")))
+    # Joined, not united: adaptive plans of Spark 4.1 can fail above a union of two windows on one key.
+    return first.join(last, F.col(key).eqNullSafe(F.col("_sf_key"))).drop("_sf_key")
 
 
 def crop_bounds(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "patient",
@@ -121,3 +133,28 @@ def crop_annotations(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "
     return kept.select(*[c for c in ann.columns if c not in ("onset", "duration")],
                        new_onset.alias("onset"), (new_end - new_onset).alias("duration"),
                        "crop_lo", "crop_hi")
+
+
+def recording_tables(samples: DataFrame, ann: DataFrame, channels: list[str], chunk: float = EPOCH_SECONDS,
+                     margin: float = CROP_MARGIN_S, key: str = "patient", t: str = "t",
+                     ties: tuple[str, ...] = ()) -> DataFrame:
+    """The data-generation chain: annotations cropped to the night, cut into whole chunks,
+    joined to the samples they contain, and the samples kept numbered per recording.
+
+    Returns (key, timestep, time, condition, channels...), with ``timestep`` from 0 in
+    order of ``t`` and then ``ties``, and ``time`` the seconds since the chunk's start. The
+    sample and the label table are selections of it (``sample_table``, ``label_table``).
+    """
+    cropped = crop_annotations(ann, margin, key).drop("crop_lo", "crop_hi")
+    inside = label_samples_by_chunks(samples, cropped, chunk, key, t)
+    inside = inside.withColumn("time", F.col(t) - F.col("chunk_onset"))
+    rows = ordered_index(inside, [key], [t, *ties, "chunk_onset"], out="timestep")
+    return rows.select(key, "timestep", "time", "condition", *channels)
+
+
+def sample_table(rows: DataFrame, channels: list[str], key: str = "patient") -> DataFrame:
+    return rows.select(key, "timestep", "time", *channels)
+
+
+def label_table(rows: DataFrame, key: str = "patient") -> DataFrame:
+    return rows.select(key, "timestep", "time", "condition")

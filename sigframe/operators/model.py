@@ -55,6 +55,38 @@ def save_load(model: PipelineModel, spark, name: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def learning_curve_by_split(train: DataFrame, others: dict[str, DataFrame], n_features: int, n_classes: int,
+                            rounds: int = 5, iterations: int = 5, hidden: tuple = (32,), seed: int = 42,
+                            features: str = "vectors", label: str = "label") -> DataFrame:
+    """ML-7 with a validation side: a perceptron trained in ``rounds`` of ``iterations``, each
+    round going on from the weights of the last, and measured after every round on
+    ``train`` and on each of ``others``.
+
+    Returns (round, split, n, loss, accuracy): loss is the mean of -ln p(label), with p at
+    least 1e-15. The inputs are read once per fit and once per measurement: give stored ones.
+    """
+    sides = {"train": train, **others}
+    cols = [F.col(label), F.col(features)]
+    both = None
+    for name, df in sides.items():
+        part = df.select(*cols, F.lit(name).alias("split"))
+        both = part if both is None else both.unionByName(part)
+    estimator = make_estimator("mlp", features, label, n_features, n_classes, iterations, seed, hidden=hidden)
+    curve, weights = None, None
+    for i in range(rounds):
+        if weights is not None:
+            estimator.setInitialWeights(weights)
+        model = fit(train, estimator)
+        weights = model.stages[-1].weights
+        p = predict(model, both, keep=["split", label])
+        chosen = F.element_at("probs", F.col(label).cast("int") + 1)
+        at = p.select(F.lit(i).alias("round"), "split", (-F.log(F.greatest(chosen, F.lit(1e-15)))).alias("loss"),
+                      (F.col("y_pred") == F.col(label)).cast("int").alias("hit"))
+        curve = at if curve is None else curve.unionByName(at)
+    return curve.groupBy("round", "split").agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("loss"),
+                                               F.avg("hit").alias("accuracy"))
+
+
 def learning_curve(model: PipelineModel, spark) -> DataFrame:
     """ML-7: (iteration, loss) of the last stage's training summary.
     The history has one value per iteration, so it is bounded by maxIter."""

@@ -121,8 +121,13 @@ def sort_with_ordinal(df: DataFrame, keys: list[str], order: list, out: str = "o
     return idx.orderBy(*[F.col(k) for k in keys], *_order_cols(order, descending))
 
 
-def top_n(df: DataFrame, n: int, order: list) -> DataFrame:
-    """LIM-1: first ``n`` rows under a total order (a per-partition top-n, then a merge)."""
-    return df.orderBy(*_order_cols(order, False)).limit(n)
+def top_n(df: DataFrame, n: int, order: list, ordinal: str | None = None) -> DataFrame:
+    """LIM-1: first ``n`` rows under a total order (a per-partition top-n, then a merge),
+    with their place from 0 in the column ``ordinal`` if it is named."""
+    top = df.orderBy(*_order_cols(order, False)).limit(n)
+    if ordinal is None:
+        return top
+    # at most n rows are left: one task numbers them
+    return top.withColumn(ordinal, F.row_number().over(Window.orderBy(*_order_cols(order, False))) - 1)
 
 

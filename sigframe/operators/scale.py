@@ -60,6 +60,14 @@ class ChannelScaler:
         return df.withColumns(exprs)
 
 
+def scale_tagged(df: DataFrame, side: str = "side", cols: list[str] | None = None,
+                 mode: str = "scale_only", scope: str = "train") -> DataFrame:
+    """D9 on one table whose ``side`` column says 'train' or not: statistics of the
+    training rows (of all rows with scope='all'), applied to every row."""
+    fit_on = df if scope == "all" else df.filter(F.col(side) == "train")
+    return ChannelScaler(cols, mode).fit(fit_on).transform(df)
+
+
 def scale_channels(train: DataFrame, others: list[DataFrame] | None = None,
                    cols: list[str] | None = None, mode: str = "scale_only",
                    scope: str = "train") -> list[DataFrame]:

@@ -61,8 +61,7 @@ def hash_split(df: DataFrame, key: Column | str, test_fraction: float = 0.2,
                        .drop("_sf_h", "_sf_k", "_sf_rank")
         return (tagged.filter(F.col("_sf_side") == "train").drop("_sf_side"),
                 tagged.filter(F.col("_sf_side") == "test").drop("_sf_side"))
-    side = hash_side(key, seed, {"train": 1 - test_fraction, "test": test_fraction})
-    tagged = df.withColumn("_sf_side", side)
+    tagged = tag_split(df, key, test_fraction, seed, out="_sf_side")
     return (tagged.filter(F.col("_sf_side") == "train").drop("_sf_side"),
             tagged.filter(F.col("_sf_side") == "test").drop("_sf_side"))
 
@@ -89,6 +88,24 @@ def pick_holdout(df: DataFrame, k: int, seed: int = 42, col: str = "patient",
     return ids.orderBy(hash_hex("unit_id", seed), "unit_id").limit(k)
 
 
+def tag_holdout(df: DataFrame, k: int, seed: int = 42, col: str = "patient", unit: str = "person",
+                person_len: int = 5, out: str = "side") -> DataFrame:
+    """JN-5/D10 in one pass: ``out`` is 'test' on the rows of k held-out units and 'train'
+    on all others (rows without an id included). The id table has at most k rows, so
+    it is broadcast."""
+    ids = F.broadcast(pick_holdout(df, k, seed, col, unit, person_len)).withColumnRenamed("unit_id", "_sf_unit")
+    unit_col = _c(col) if unit == "recording" else person_of(col, person_len)
+    return (df.join(ids, unit_col == F.col("_sf_unit"), "left")
+              .withColumn(out, F.when(F.col("_sf_unit").isNotNull(), "test").otherwise("train"))
+              .drop("_sf_unit"))
+
+
+def tag_split(df: DataFrame, key: Column | str, test_fraction: float = 0.2, seed: int = 42,
+              out: str = "side") -> DataFrame:
+    """SPL-2 in one pass: tag rows train / test by key hash."""
+    return df.withColumn(out, hash_side(key, seed, {"train": 1 - test_fraction, "test": test_fraction}))
+
+
 def holdout_split(df: DataFrame, k: int, seed: int = 42, col: str = "patient",
                   unit: str = "person", person_len: int = 5) -> tuple[DataFrame, DataFrame]:
     """JN-5/D10: (train, test) where test holds every row of k held-out units.

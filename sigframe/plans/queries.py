@@ -14,7 +14,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigframe.functions.arrays import (
@@ -37,6 +37,7 @@ from sigframe.schemas import CHANNELS, RAW_DATA, RAW_LABELS, STAGE_MAP
 from sigframe.session import scratch_path
 from sigframe.sources import catalog as CAT
 from sigframe.sources import csv as IO
+from sigframe.sources.persist import persisted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -340,11 +341,11 @@ def q_every_nth_row(spark, d):
     return O.every_nth_row(samples(spark, d).select("patient", "timestep"), N)
 
 
-CROP_SQL = with_views("""
-SELECT a.patient, a.description, greatest(a.onset, b.crop_lo) AS onset,
+CROP_BODY = """SELECT a.patient, a.description, greatest(a.onset, b.crop_lo) AS onset,
   least(a.onset + a.duration, b.crop_hi) - greatest(a.onset, b.crop_lo) AS duration, b.crop_lo, b.crop_hi
 FROM annotations a JOIN b ON a.patient = b.patient
-WHERE a.onset <= b.crop_hi AND a.onset + a.duration >= b.crop_lo""", "annotations", extra="""
+WHERE a.onset <= b.crop_hi AND a.onset + a.duration >= b.crop_lo"""
+CROP_CTES = """
 pos AS (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY onset, duration, description) AS rn,
                     row_number() OVER (PARTITION BY patient ORDER BY onset DESC, duration DESC, description DESC) AS rd
           FROM annotations),
@@ -352,7 +353,8 @@ b AS (SELECT patient,
         max(CASE WHEN rn = 2 THEN onset END) - 600.0 AS crop_lo,
         CASE WHEN suffix(max(CASE WHEN rd = 1 THEN description END), 'W') THEN max(CASE WHEN rd = 1 THEN onset END)
              ELSE max(CASE WHEN rd = 2 THEN onset END) END + 600.0 AS crop_hi
-      FROM pos GROUP BY patient)""")
+      FROM pos GROUP BY patient)"""
+CROP_SQL = with_views(CROP_BODY, "annotations", extra=CROP_CTES)
 
 
 @query("crop_recording", CROP_SQL)
@@ -380,16 +382,54 @@ def q_interval_join(spark, d):
     return out.select("patient", "event_id", "t", "chunk_onset", "condition")
 
 
+@query("epoch_seconds", with_views("""SELECT patient, timestep, round(timestep / 100.0, 6) AS t_start,
+  round(timestep / 100.0 + 29.99, 6) AS t_end FROM samples""", "samples"))
+def q_epoch_seconds(spark, d):
+    """FN-17: sample number to seconds, and the end of an epoch of 30 s at 100 Hz that starts there."""
+    out = IV.epoch_seconds(samples(spark, d).select("patient", "timestep"))
+    return out.select("patient", "timestep", r("t_start"), r("t_end"))
+
+
+GENERATE_SQL = with_views(f"""
+SELECT patient, row_number() OVER (PARTITION BY patient ORDER BY t, event_id) - 1 AS timestep,
+  round(t - chunk_onset, 6) AS "time", {stage_case('condition')} AS label, fpzcz, horizontal
+FROM (SELECT s.patient, s.event_id, s.t, c.condition, c.onset + c.k * {CHUNK_S} AS chunk_onset,
+        CAST(e.value AS FLOAT) AS fpzcz, CAST(e.event_id % 97 AS FLOAT) AS horizontal
+      FROM event_times s JOIN events e ON s.event_id = e.event_id
+      JOIN (SELECT patient, onset, description AS condition,
+              unnest(range(0, CAST(floor(duration / {CHUNK_S}) AS BIGINT))) AS k FROM cropped) c
+        ON s.patient = c.patient AND s.t >= c.onset + c.k * {CHUNK_S} AND s.t < c.onset + (c.k + 1) * {CHUNK_S})""",
+    "event_times", "annotations", extra=CROP_CTES + f""",
+cropped AS ({CROP_BODY})""")
+
+
+@query("recording_tables", GENERATE_SQL)
+def q_recording_tables(spark, d):
+    """The data-generation chain: crop, chunks, interval join and sample numbers. The sample and
+    the label table are both written and joined back on (patient, timestep)."""
+    channels = ["fpzcz", "horizontal"]
+    rows = IV.recording_tables(TB.timed_samples(spark, d), TB.annotations(spark, d), channels,
+                               chunk=CHUNK_S, ties=("event_id",))
+    path = _scratch(spark, "tables")
+    rows.write.parquet(path + "/rows")
+    stored = spark.read.parquet(path + "/rows")
+    IV.sample_table(stored, channels).write.parquet(path + "/data")
+    IV.label_table(stored).write.parquet(path + "/labels")
+    data, labels = spark.read.parquet(path + "/data"), spark.read.parquet(path + "/labels")
+    both = P.label_join(data, P.label_stages(labels.drop("time"), "keep"))
+    return both.select("patient", "timestep", r("time"), "label", *channels)
+
+
 @query("holdout_semi_anti", with_views(f"""SELECT patient, timestep,
-  CASE WHEN substr(patient, 1, 3) IN (SELECT u FROM (SELECT DISTINCT substr(patient, 1, 3) AS u FROM samples)
-       ORDER BY substr(md5(u || '{SEED}'), 1, 8), u LIMIT {K_HOLDOUT}) THEN 'test' ELSE 'train' END AS side
-  FROM samples""", "samples"))
+  CASE WHEN person IN (SELECT person FROM (SELECT DISTINCT person FROM p)
+       ORDER BY substr(md5(person || '{SEED}'), 1, 8), person LIMIT {K_HOLDOUT}) THEN 'test' ELSE 'train' END AS side
+  FROM p""", "samples", extra="""
+p AS (SELECT *, 'S' || CAST(CAST(substr(patient, 2) AS BIGINT) // 2 AS VARCHAR) AS person FROM samples)"""))
 def q_holdout_semi_anti(spark, d):
-    """JN-5/D10: persons (here the first 3 characters of the id) held out with a
-    broadcast semi join; the rest by the anti join."""
-    train, test = SP.holdout_split(samples(spark, d), K_HOLDOUT, SEED, unit="person", person_len=3)
-    return (train.select("patient", "timestep", F.lit("train").alias("side"))
-                 .unionByName(test.select("patient", "timestep", F.lit("test").alias("side"))))
+    """JN-5/D10: persons (here two recordings each, named by a column) held out in one
+    pass, by a broadcast join with the k chosen ids."""
+    rows = samples(spark, d).withColumn("person", F.expr("concat('S', CAST(substr(patient, 2) AS BIGINT) div 2)"))
+    return SP.tag_holdout(rows, K_HOLDOUT, SEED, col="person", unit="recording").select("patient", "timestep", "side")
 
 
 # ---- 2.5 aggregations -------------------------------------------------------------------
@@ -462,9 +502,10 @@ def q_accuracy(spark, d):
     return V.accuracy(TB.preds(spark, d)).select(r("accuracy", 9), "n")
 
 
-@query("confusion_matrix", with_views("""SELECT g.t AS y_true, g.p AS y_pred, COALESCE(c.n, 0) AS count
+@query("confusion_matrix", with_views("""SELECT COALESCE(g.t, c.t) AS y_true, COALESCE(g.p, c.p) AS y_pred,
+  COALESCE(c.n, 0) AS count
   FROM (SELECT CAST(t AS INTEGER) AS t, CAST(p AS INTEGER) AS p FROM range(5) a(t), range(5) b(p)) g
-  LEFT JOIN (SELECT label AS t, y_pred AS p, COUNT(*) AS n FROM preds GROUP BY 1, 2) c ON g.t = c.t AND g.p = c.p""",
+  FULL JOIN (SELECT label AS t, y_pred AS p, COUNT(*) AS n FROM preds GROUP BY 1, 2) c ON g.t = c.t AND g.p = c.p""",
                                       "preds"))
 def q_confusion_matrix(spark, d):
     """AG-8: dense long confusion matrix."""
@@ -472,10 +513,12 @@ def q_confusion_matrix(spark, d):
 
 
 @query("confusion_matrix_wide", with_views(f"""SELECT label AS y_true,
-  {", ".join(f"COUNT(*) FILTER (WHERE y_pred = {k}) AS pred_{k}" for k in range(N_CLASSES))}
-  FROM preds GROUP BY label""", "preds"))
+  {", ".join(f"COUNT(*) FILTER (WHERE y_pred = {k}) AS pred_{k}" for k in range(N_CLASSES))},
+  COUNT(*) FILTER (WHERE real AND (y_pred IS NULL OR y_pred NOT BETWEEN 0 AND 4)) AS pred_other
+  FROM (SELECT label, y_pred, true AS real FROM preds
+        UNION ALL SELECT CAST(t AS INTEGER), NULL, false FROM range(5) a(t)) GROUP BY label""", "preds"))
 def q_confusion_matrix_wide(spark, d):
-    """AG-8 wide form (pivot)."""
+    """AG-8 wide form."""
     return V.confusion_matrix_wide(TB.preds(spark, d))
 
 
@@ -540,6 +583,20 @@ def q_class_support(spark, d):
     return V.class_support(TB.preds(spark, d))
 
 
+@query("persisted_reports", with_views("""SELECT 'accuracy' AS kind, CAST(NULL AS INTEGER) AS label,
+  round(avg(CASE WHEN label IS NOT DISTINCT FROM y_pred THEN 1.0 ELSE 0.0 END), 9) AS value FROM preds
+  UNION ALL SELECT 'support', label, CAST(COUNT(*) AS DOUBLE) FROM preds GROUP BY label""", "preds"))
+def q_persisted_reports(spark, d):
+    """SNK-4: predictions kept for two reports, both written before they are released."""
+    path = _scratch(spark, "reports")
+    with persisted(TB.preds(spark, d)) as p:
+        V.accuracy(p).select(F.lit("accuracy").alias("kind"), F.lit(None).cast("int").alias("label"),
+                             r("accuracy", 9).alias("value")).write.parquet(path + "/accuracy")
+        V.class_support(p).select(F.lit("support").alias("kind"), "label",
+                                  F.col("support").cast("double").alias("value")).write.parquet(path + "/support")
+    return spark.read.parquet(path + "/accuracy", path + "/support")
+
+
 # ---- 2.6 windows, ordering, limits ---------------------------------------------------------
 
 @query("tumbling_epoch", with_views(f"""SELECT patient, timestep, CAST(floor(timestep / {N}) AS BIGINT) AS epoch
@@ -579,6 +636,16 @@ def q_stage_timeline(spark, d):
         "patient", F.col("y_true").desc(), "epoch")
 
 
+@query("timeline_by_stage", with_views("""SELECT patient, epoch, y_true, y_pred,
+  row_number() OVER (PARTITION BY patient ORDER BY y_true DESC, epoch DESC) - 1 AS ord
+  FROM (SELECT patient, row_number() OVER (PARTITION BY patient ORDER BY timestep) - 1 AS epoch,
+          CAST(label AS VARCHAR) AS y_true, CAST(y_pred AS VARCHAR) AS y_pred FROM preds)""", "preds"))
+def q_timeline_by_stage(spark, d):
+    """SRT-4: the timeline sorted by stage, latest class first, with the order as a column."""
+    timeline = V.stage_timeline(TB.preds(spark, d), order="timestep")
+    return O.sort_with_ordinal(timeline, ["patient"], ["y_true", "epoch"], descending=True)
+
+
 @query("sorted_samples", with_views("""SELECT patient, epoch, "time",
   row_number() OVER (PARTITION BY patient ORDER BY epoch, "time") - 1 AS ord FROM prep""", "prep"))
 def q_sorted_samples(spark, d):
@@ -595,11 +662,12 @@ def q_sorted_lexicographic(spark, d):
     return O.sort_with_ordinal(keyed, [], ["primary_key"])
 
 
-@query("top_n", with_views("""SELECT patient, timestep, fpzcz FROM samples ORDER BY patient, timestep LIMIT 10""",
-                           "samples"))
+@query("top_n", with_views("""SELECT patient, timestep, fpzcz, CAST(row_number() OVER (ORDER BY patient, timestep) - 1
+  AS INTEGER) AS ord FROM samples ORDER BY patient, timestep LIMIT 10""", "samples"))
 def q_top_n(spark, d):
-    """LIM-1: first 10 rows under (patient, timestep)."""
-    return O.top_n(samples(spark, d).select("patient", "timestep", "fpzcz"), 10, ["patient", "timestep"])
+    """LIM-1: first 10 rows under (patient, timestep), with their places."""
+    return O.top_n(samples(spark, d).select("patient", "timestep", "fpzcz"), 10, ["patient", "timestep"],
+                   ordinal="ord")
 
 
 # ---- 2.7 set operations ----------------------------------------------------------------
@@ -665,11 +733,8 @@ st AS (SELECT avg(fpzcz) AS m0, stddev_pop(fpzcz) AS s0, avg(pzoz) AS m1, stddev
 def q_zscore_channels(spark, d):
     """FN-16/D8/D9: z-score with population std fitted on training recordings only
     and applied to the held-out ones."""
-    train, test = SP.holdout_split(samples(spark, d), K_HOLDOUT, SEED, unit="recording")
-    tr, te = S.scale_channels(train, [test], mode="zscore_pop", scope="train")
-    cols = ["patient", "timestep"]
-    return (tr.select(*cols, F.lit("train").alias("side"), *[r(c) for c in CHANNELS])
-              .unionByName(te.select(*cols, F.lit("test").alias("side"), *[r(c) for c in CHANNELS])))
+    tagged = SP.tag_holdout(samples(spark, d), K_HOLDOUT, SEED, unit="recording")
+    return S.scale_tagged(tagged, mode="zscore_pop").select("patient", "timestep", "side", *[r(c) for c in CHANNELS])
 
 
 @query("array_vector_roundtrip", """SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, 1 AS same,
@@ -723,12 +788,11 @@ EPOCH_KEYS_SQL = "SELECT DISTINCT patient || '_' || CAST(epoch AS VARCHAR) AS pr
 
 
 @query("hash_split", with_views(f"""SELECT primary_key, CASE WHEN substr(md5(primary_key || '{SEED}'), 1, 8)
-  < '{SP._threshold(0.8)}' THEN 'train' ELSE 'test' END AS side FROM ({EPOCH_KEYS_SQL})""", "prep"))
+  < 'cccccccd' THEN 'train' ELSE 'test' END AS side FROM ({EPOCH_KEYS_SQL})""", "prep"))
 def q_hash_split(spark, d):
     """SPL-2: 80/20 split of epochs by seeded hash of the epoch key."""
     keys = flagship(spark, d).select("primary_key")
-    train, test = SP.hash_split(keys, "primary_key", 0.2, SEED)
-    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    return SP.tag_split(keys, "primary_key", 0.2, SEED)
 
 
 @query("hash_split_exact", with_views(f"""SELECT primary_key,
@@ -743,8 +807,8 @@ def q_hash_split_exact(spark, d):
 
 
 @query("hash_split_3way", with_views(f"""SELECT primary_key, CASE
-  WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < '{SP._threshold(0.7)}' THEN 'train'
-  WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < '{SP._threshold(0.7 + 0.1)}' THEN 'val'
+  WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < 'b3333333' THEN 'train'
+  WHEN substr(md5(primary_key || '{SEED}'), 1, 8) < 'cccccccd' THEN 'val'
   ELSE 'test' END AS split FROM ({EPOCH_KEYS_SQL})""", "prep"))
 def q_hash_split_3way(spark, d):
     """SPL-3: train / validation / test by the same hash."""
@@ -761,26 +825,28 @@ def _sig_rows(spark, d):
     return prep_rows(spark, d).select("patient", "epoch", "pos", *SIG_COLS)
 
 
-@query("strided_max", with_views(f"""SELECT patient, epoch,
-  CAST(floor((pos + {SIG.same_padding(N, POOL, POOL)[1]}) / {POOL}) AS INTEGER) AS out_pos,
-  max(fpzcz) AS fpzcz, max(pzoz) AS pzoz, max(horizontal) AS horizontal FROM prep GROUP BY 1, 2, 3""", "prep"))
+# 8 samples: pools of 4 without padding give 2 outputs; 5 taps with stride 2 give 4 and pad 1 on the left.
+@query("strided_max", with_views("""SELECT g.patient, g.epoch, g.out_pos, max(fpzcz) AS fpzcz, max(pzoz) AS pzoz,
+  max(horizontal) AS horizontal
+  FROM (SELECT patient, epoch, CAST(o AS INTEGER) AS out_pos
+        FROM (SELECT DISTINCT patient, epoch FROM prep), range(2) t(o)) g
+  LEFT JOIN prep s ON s.patient = g.patient AND s.epoch = g.epoch AND s.pos // 4 = g.out_pos
+  GROUP BY 1, 2, 3""", "prep"))
 def q_strided_max(spark, d):
     """SIG-1: max pooling, pool = stride = 4 over 8-sample epochs."""
     return SIG.strided_max(_sig_rows(spark, d), SIG_COLS, POOL, N)
 
 
-def _fir_sql():
-    out_len, pad = SIG.same_padding(N, len(FIR_TAPS), FIR_STRIDE)
-    taps = ", ".join(f"({j}, {w}::DOUBLE)" for j, w in enumerate(FIR_TAPS))
-    i = f"(pos + {pad} - j)"
-    return with_views(f"""SELECT patient, epoch, CAST({i} / {FIR_STRIDE} AS INTEGER) AS out_pos,
-  round(sum(fpzcz * w), 6) AS fpzcz, round(sum(pzoz * w), 6) AS pzoz, round(sum(horizontal * w), 6) AS horizontal
-  FROM prep, (VALUES {taps}) t(j, w)
-  WHERE {i} >= 0 AND {i} % {FIR_STRIDE} = 0 AND {i} / {FIR_STRIDE} <= {out_len - 1}
+_FIR_SQL = with_views("""SELECT g.patient, g.epoch, g.out_pos, round(COALESCE(sum(fpzcz * w), 0), 6) AS fpzcz,
+  round(COALESCE(sum(pzoz * w), 0), 6) AS pzoz, round(COALESCE(sum(horizontal * w), 0), 6) AS horizontal
+  FROM (SELECT patient, epoch, CAST(o AS INTEGER) AS out_pos, j, w
+        FROM (SELECT DISTINCT patient, epoch FROM prep), range(4) t(o),
+             (VALUES (0, 0.25::DOUBLE), (1, 0.5), (2, 1.0), (3, 0.5), (4, 0.25)) k(j, w)) g
+  LEFT JOIN prep s ON s.patient = g.patient AND s.epoch = g.epoch AND s.pos = g.out_pos * 2 + j - 1
   GROUP BY 1, 2, 3""", "prep")
 
 
-@query("strided_fir", _fir_sql())
+@query("strided_fir", _FIR_SQL)
 def q_strided_fir(spark, d):
     """SIG-2: FIR filter with 5 taps, stride 2, 'same' padding."""
     out = SIG.strided_fir(_sig_rows(spark, d), SIG_COLS, FIR_TAPS, FIR_STRIDE, N)
@@ -807,55 +873,88 @@ def q_row_layernorm(spark, d):
     return out.select("patient", "timestep", *[r(c + "_ln") for c in SIG_COLS])
 
 
-# ---- 2.10 machine learning (no SQL oracle) --------------------------------------------------
+# ---- 2.10 machine learning -----------------------------------------------------------------
+# Fitted numbers are not SQL: the oracles state what must hold of them on every row.
+
+N_ML_CLASSES, N_ML_FEATURES = 10, 64
+ML_SIDE_SQL = f"""SELECT vec_id, label, CASE WHEN substr(md5(CAST(vec_id AS VARCHAR) || '{SEED}'), 1, 8)
+  < 'cccccccd' THEN 'train' ELSE 'test' END AS side FROM embeddings"""
+
 
 def _ml_data(spark, d):
     e = TB.embeddings(spark, d).select("vec_id", "label", array_to_vector("embedding").alias("vectors"))
-    return SP.hash_split(e, "vec_id", 0.2, SEED)
+    return SP.tag_split(e, "vec_id", 0.2, SEED)
+
+
+def _train_side(tagged):
+    return tagged.filter("side = 'train'")
+
 
+def _flag(cond):
+    return F.coalesce(cond, F.lit(False)).cast("int")
 
-@query("ml_stage_fit")
+
+def _is_class(c):
+    return _flag(F.col(c).between(0, N_ML_CLASSES - 1))
+
+
+@query("ml_stage_fit", f"SELECT vec_id, label, side, 1 AS is_class FROM ({ML_SIDE_SQL})")
 def q_ml_stage_fit(spark, d):
-    """ML-1: a Spark ML pipeline fitted on the training split and applied to it."""
-    train, _ = _ml_data(spark, d)
-    model = M.fit(train, M.make_estimator("logistic", max_iter=20))
-    return M.predict(model, train, keep=["vec_id", "label"]).select("vec_id", "label", "y_pred")
+    """ML-1: a Spark ML pipeline fitted on the training side and applied to both sides; every
+    row gets one of the classes."""
+    rows = _ml_data(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("logistic", max_iter=20))
+    p = M.predict(model, rows, keep=["vec_id", "label", "side"])
+    return p.select("vec_id", "label", "side", _is_class("y_pred").alias("is_class"))
 
 
-@query("ml_train_predict")
+@query("ml_train_predict", f"""SELECT vec_id, label, 1 AS is_class, 1 AS is_argmax, CAST(1 AS DOUBLE) AS p_sum
+  FROM ({ML_SIDE_SQL}) WHERE side = 'test'""")
 def q_ml_train_predict(spark, d):
-    """ML-2/ML-3: train a multinomial classifier, predict the test split with
-    probabilities; argmax gives y_pred."""
-    train, test = _ml_data(spark, d)
-    model = M.fit(train, M.make_estimator("logistic", max_iter=20))
-    p = M.predict(model, test, keep=["vec_id", "label"])
-    return p.select("vec_id", "label", "y_pred", r(F.array_max("probs"), 6).alias("p_max"),
+    """ML-2/ML-3: train a multinomial classifier, predict the test side with
+    probabilities that sum to 1; argmax gives y_pred."""
+    rows = _ml_data(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("logistic", max_iter=20))
+    p = M.predict(model, rows.filter("side = 'test'"), keep=["vec_id", "label"])
+    return p.select("vec_id", "label", _is_class("y_pred").alias("is_class"),
+                    _flag(F.element_at("probs", F.col("y_pred") + 1) == F.array_max("probs")).alias("is_argmax"),
                     r(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6).alias("p_sum"))
 
 
-@query("ml_accuracy_by_split")
+@query("ml_accuracy_by_split", f"SELECT side AS split, COUNT(*) AS n, 1 AS in_range FROM ({ML_SIDE_SQL}) GROUP BY side")
 def q_ml_accuracy_by_split(spark, d):
-    """ML-4: train and test accuracy of one model, one grouped job."""
-    train, test = _ml_data(spark, d)
-    model = M.fit(train, M.make_estimator("mlp", n_features=64, n_classes=10, max_iter=30))
-    both = (train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test"))))
-    return V.accuracy(M.predict(model, both, keep=["split", "label"]), by=["split"])
+    """ML-4: train and test accuracy of one model, one grouped job; each lies in 0..1."""
+    rows = _ml_data(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("mlp", n_features=N_ML_FEATURES, n_classes=N_ML_CLASSES, max_iter=30))
+    acc = V.accuracy(M.predict(model, rows, keep=["side", "label"]), by=["side"])
+    return acc.select(F.col("side").alias("split"), "n", _flag(F.col("accuracy").between(0, 1)).alias("in_range"))
 
 
-@query("ml_save_load")
+@query("ml_save_load", "SELECT vec_id, 1 AS same FROM embeddings")
 def q_ml_save_load(spark, d):
-    """ML-6: predictions are equal after the model is saved and loaded."""
-    train, test = _ml_data(spark, d)
-    model = M.fit(train, M.make_estimator("logistic", max_iter=10))
+    """ML-6: predictions of all rows are equal after the model is saved and loaded."""
+    rows = _ml_data(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("logistic", max_iter=10))
     again = M.save_load(model, spark, f"sigframe-model-{uuid.uuid4().hex}")
-    a = M.predict(model, test, keep=["vec_id"]).select("vec_id", "y_pred")
-    b = M.predict(again, test, keep=["vec_id"]).select("vec_id", F.col("y_pred").alias("y_pred_reloaded"))
-    return a.join(b, "vec_id").withColumn("same", (F.col("y_pred") == F.col("y_pred_reloaded")).cast("int"))
+    a = M.predict(model, rows, keep=["vec_id"]).select("vec_id", "y_pred")
+    b = M.predict(again, rows, keep=["vec_id"]).select("vec_id", F.col("y_pred").alias("y_pred_reloaded"))
+    return a.join(b, "vec_id").select("vec_id", _flag(F.col("y_pred") == F.col("y_pred_reloaded")).alias("same"))
 
 
-@query("ml_learning_curve")
+@query("ml_learning_curve", f"""SELECT CAST(i AS INTEGER) AS round, split, n, 1 AS not_worse, 1 AS in_range
+  FROM range(5) t(i), (SELECT split, COUNT(*) AS n FROM (
+    SELECT CASE WHEN h < 'b3333333' THEN 'train' ELSE 'val' END AS split
+    FROM (SELECT substr(md5(CAST(vec_id AS VARCHAR) || '{SEED}'), 1, 8) AS h FROM embeddings)
+    WHERE h < 'cccccccd') GROUP BY split)""")
 def q_ml_learning_curve(spark, d):
-    """ML-7: (iteration, loss) of the training run."""
-    train, _ = _ml_data(spark, d)
-    model = M.fit(train, M.make_estimator("logistic", max_iter=15))
-    return M.learning_curve(model, spark)
+    """ML-7: loss and accuracy after each round on the training and the validation side. The
+    training loss never rises; all accuracies lie in 0..1 and all losses are numbers."""
+    e = TB.embeddings(spark, d).select("vec_id", "label", array_to_vector("embedding").alias("vectors"))
+    tagged = SP.hash_split_3way(e, "vec_id", 0.1, 0.2, SEED)
+    curve = M.learning_curve_by_split(tagged.filter("split = 'train'"), {"val": tagged.filter("split = 'val'")},
+                                      N_ML_FEATURES, N_ML_CLASSES, rounds=5)
+    # ten rows: the curve's own split is the window's key
+    before = F.lag("loss").over(Window.partitionBy("split").orderBy("round"))
+    falls = (F.col("split") == "val") | before.isNull() | (F.col("loss") <= before + 1e-9)
+    numbers = F.col("accuracy").between(0, 1) & ~F.isnan("loss") & (F.col("loss") >= 0)
+    return curve.select("round", "split", "n", _flag(falls).alias("not_worse"), _flag(numbers).alias("in_range"))

@@ -150,6 +150,14 @@ def event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", seconds_expr().alias("t"))
 
 
+def timed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples on the annotation clock, not numbered yet: (patient, event_id, t, channels)."""
+    return _events(spark, sf_dir).select(
+        F.concat(F.lit("P"), F.col("user_id").cast("string")).alias("patient"),
+        "event_id", seconds_expr().alias("t"), F.col("value").cast("float").alias("fpzcz"),
+        (F.col("event_id") % 97).cast("float").alias("horizontal"))
+
+
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = _stored(spark, "preds", sf_dir)
     if stored is not None:

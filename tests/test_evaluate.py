@@ -64,3 +64,17 @@ def test_stage_timeline(spark):
                                "patient string, epoch long, label int, y_pred int")
     got = sorted(tuple(r) for r in V.stage_timeline(df).collect())
     assert got == [("A", 0, "0", "1"), ("A", 1, "2", "2"), ("B", 0, "4", "4")]
+
+
+def test_confusion_matrix_keeps_every_row(spark):
+    rows = [("A", 0, 0), ("A", -1, 2), ("A", 7, None), ("B", None, 1), ("B", 3, 9)]
+    df = spark.createDataFrame(rows, "patient string, label int, y_pred int")
+    for by in ([], ["patient"]):
+        cells = V.confusion_matrix(df, by=by).collect()
+        assert sum(r["count"] for r in cells) == len(rows)
+        assert sum(r["count"] == 0 for r in cells) == (24 if not by else 24 + 25)
+        wide = V.confusion_matrix_wide(df, by=by).collect()
+        names = [f"pred_{k}" for k in range(5)] + ["pred_other"]
+        assert sum(r[c] for r in wide for c in names) == len(rows)
+        assert sum(r["pred_other"] for r in wide) == 2
+        assert {r["y_true"] for r in wide} == {None, -1, 0, 1, 2, 3, 4, 7}

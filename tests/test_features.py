@@ -1,5 +1,7 @@
 """Strided signal features (SIG-1..SIG-4)."""
 
+import pytest
+
 from sigframe.operators import features as SIG
 
 ROWS = "patient string, epoch long, pos int, x double"
@@ -43,3 +45,19 @@ def test_layernorm_row(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0)], "a double, b double, c double")
     r = SIG.row_layernorm(df, ["a", "b", "c"]).first()
     assert abs(r["a_ln"] + 1.2247) < 1e-3 and abs(r["b_ln"]) < 1e-12
+
+
+def test_strided_outputs_are_dense(spark):
+    df = spark.createDataFrame([("P", 0, 0, 5.0), ("P", 1, 9, 2.0)], ROWS)
+    got = {(r["epoch"], r["out_pos"]): r["x"] for r in SIG.strided_max(df, ["x"], pool=4, length=10).collect()}
+    assert got == {(0, 0): 5.0, (0, 1): None, (0, 2): None, (1, 0): None, (1, 1): None, (1, 2): 2.0}
+    got = {(r["epoch"], r["out_pos"]): r["x"] for r in SIG.strided_fir(df, ["x"], [1.0], 4, 10).collect()}
+    assert got == {(0, 0): 5.0, (0, 1): 0.0, (0, 2): 0.0, (1, 0): 0.0, (1, 1): 0.0, (1, 2): 0.0}
+
+
+@pytest.mark.parametrize("pos", [-1, 4, None])
+def test_position_outside_the_epoch_is_an_error(spark, pos):
+    df = spark.createDataFrame([("P", 0, pos, 1.0)], ROWS)
+    for out in (SIG.strided_max(df, ["x"], 2, 4), SIG.strided_fir(df, ["x"], [1.0], 2, 4)):
+        with pytest.raises(Exception, match="position outside"):
+            out.collect()

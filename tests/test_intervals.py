@@ -64,3 +64,26 @@ def test_recording_with_one_annotation_vanishes(spark):
     ann = spark.createDataFrame([("Q", 0.0, 10.0, "Sleep stage W")], ANN)
     assert IV.crop_annotations(ann).count() == 0
     assert IV.crop_bounds(ann).filter(F.col("crop_lo").isNotNull()).count() == 0
+
+
+def test_recording_tables(spark):
+    """Only samples inside chunks of the cropped annotations are labelled and numbered."""
+    ann = spark.createDataFrame([("P", 0.0, 1000.0, "W"), ("P", 1000.0, 60.0, "1"), ("P", 1060.0, 45.0, "2"),
+                                 ("P", 1105.0, 5000.0, "W")],
+                                "patient string, onset double, duration double, description string")
+    samples = spark.createDataFrame([("P", float(t), float(t) / 2) for t in range(0, 6200, 5)],
+                                    "patient string, t double, x double")
+    got = IV.recording_tables(samples, ann, ["x"], chunk=30.0).orderBy("timestep").collect()
+    # cropped: 400..1000 W, 1000..1060 1, 1060..1105 2 (one whole chunk), 1105..1705 W
+    want = []
+    for lo, hi, name in ((400, 1000, "W"), (1000, 1060, "1"), (1060, 1090, "2"), (1105, 1705, "W")):
+        want += [(t, name, (t - lo) % 30) for t in range(0, 6200, 5) if lo <= t < hi]
+    assert [r["timestep"] for r in got] == list(range(len(want)))
+    assert [(2 * r["x"], r["condition"], r["time"]) for r in got] == want
+
+
+def test_epoch_seconds(spark):
+    df = spark.createDataFrame([(0,), (250,), (None,)], "timestep int")
+    got = [(r["t_start"], r["t_end"]) for r in IV.epoch_seconds(df).orderBy(F.col("timestep").asc_nulls_last()).collect()]
+    assert [got[0], got[2]] == [(0.0, 29.99), (None, None)]
+    assert got[1][0] == 2.5 and abs(got[1][1] - 32.49) < 1e-9

@@ -54,3 +54,16 @@ def test_mlp_on_embeddings(spark):
     p = M.predict(model, e, keep=["vec_id"])
     assert p.count() == e.count()
     assert p.filter(F.abs(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-6).count() == 0
+
+
+def test_learning_curve_has_a_validation_side(spark):
+    rows = [(i % 2, [float(i % 2) + (i % 7) / 20, float(i % 5) / 5]) for i in range(200)]
+    df = spark.createDataFrame(rows, "label int, x array<double>").select(
+        "label", array_to_vector("x").alias("vectors"), F.monotonically_increasing_id().alias("i"))
+    tagged = df.withColumn("val", F.col("i") % 4 == 0)
+    curve = M.learning_curve_by_split(tagged.filter("not val"), {"val": tagged.filter("val")}, 2, 2,
+                                      rounds=4, iterations=4, hidden=(4,)).orderBy("split", "round").collect()
+    assert [(r["split"], r["round"]) for r in curve] == [(s, i) for s in ("train", "val") for i in range(4)]
+    train = [r["loss"] for r in curve if r["split"] == "train"]
+    assert all(b <= a + 1e-9 for a, b in zip(train, train[1:]))
+    assert curve[3]["accuracy"] == curve[7]["accuracy"] == 1.0

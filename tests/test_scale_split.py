@@ -82,3 +82,22 @@ def test_exact_split_size(spark):
             assert not kt & {r["k"] for r in train.collect()}
         finally:
             O.ROWS_PER_BUCKET = old
+
+
+def test_tags_agree_with_pairs(spark):
+    rows = [(f"ST7{p:02d}{n}", i, float(p + i)) for p in range(10) for n in (1, 2) for i in range(3)] + [(None, 0, 1.0)]
+    df = spark.createDataFrame(rows, "patient string, i int, fpzcz double")
+    tagged = SP.tag_holdout(df, 3, 7).cache()
+    train, test = SP.holdout_split(df, 3, 7)
+    for side, want in (("train", train), ("test", test)):
+        got = tagged.filter(f"side = '{side}'").drop("side")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {r["patient"][:5] for r in test.collect()} == {r["patient"][:5] for r in tagged.filter("side = 'test'").collect()}
+    assert len({r["patient"][:5] for r in test.collect()}) == 3
+    whole = {r["side"]: r["n"] for r in SP.tag_split(df, "i", 0.5, 1).groupBy("side").agg(F.count("*").alias("n")).collect()}
+    assert sum(whole.values()) == len(rows)
+
+
+def test_scale_tagged_fits_on_training_rows(spark):
+    df = spark.createDataFrame([("train", 1.0), ("train", 3.0), ("test", 7.0)], "side string, x double")
+    assert [r["x"] for r in S.scale_tagged(df, cols=["x"], mode="zscore_pop").orderBy("x").collect()] == [-1.0, 1.0, 5.0]
