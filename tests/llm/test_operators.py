@@ -224,6 +224,29 @@ def test_latent_decontamination(spark):
     assert latent_decontam.report(docs, bench.filter("false")).filter("contaminated").collect() == []
 
 
+def test_search_confirms_every_pair_that_passes_the_word_rule():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 4000, n).astype(np.int32) ** 2 for n in (1, 2, 15, 17, 20, 24, 31, 32, 33, 47, 59, 90)]
+    texts, verbatim = [np.empty(0, np.int32)], set()
+    for i, item in enumerate(items):
+        for replaced in (0, 0, 0, 0.3, 0.4, 0.4):
+            copy = np.where(rng.random(len(item)) < replaced, rng.integers(0, 4000, len(item)).astype(np.int32) ** 2, item)
+            texts.append(np.concatenate([rng.integers(0, 4000, rng.integers(0, 70)).astype(np.int32) ** 2, copy, rng.integers(0, 4000, rng.integers(0, 70)).astype(np.int32) ** 2]))
+            verbatim |= {(len(texts) - 1, i)} if not replaced else set()
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    # a latent space that knows nothing
+    search = latent_decontam.Search(list(range(len(items))), items, np.zeros((latent_decontam.FEATURES, 4), np.float32), rng.random(latent_decontam.FEATURES))
+    want = {}
+    for row, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - latent_decontam.HALF), latent_decontam.HALF):
+            for i in range(len(items)):
+                share, answer = search.confirmed(i, text, at) if len(text) else (0, 0)
+                if share >= 0.8 or (share >= 0.6 and answer >= 0.6):
+                    want[row, i] = max(share, want.get((row, i), 0))
+    assert verbatim < set(want)
+    assert {k: v[1] for k, v in search.hits(np.concatenate(texts), offsets).items()} == want
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(50):
