@@ -77,7 +77,7 @@ FAMILIES = (
 # How a name is stated, the confidence of that, in order of priority.
 # {name}: the family's expression, {ver}: an optional version.
 LICENSE = r"(?: public)?(?: licen[sc]e)"
-VERSION = r"(?:(?: version| v)?(?: v?\d{1,2}){1,3})"
+VERSION = r"(?:(?: version| v)?(?: v?\d{1,2}){1,3}|v?\d{1,2}(?: \d{1,2}){0,2})"  # the second is glued to the name
 FORMS = (
     (r"spdx licen[sc]e identifier {name}{ver}?(?: or later| only)?", 1.0),
     (r"(?:is |are |be )?licen[sc]ed (?:to you )?under (?:the )?(?:terms of (?:the )?)?{name}{lic}?{ver}?", 0.95),
@@ -87,19 +87,59 @@ FORMS = (
     (r"{name}{lic}", 0.6),
     (r"licen[sc]e {name}{ver}?", 0.5),
 )
-# Most words a detection can have: the longest form around the longest name.
-MAX_WORDS = 24
+# Label, words of the license's own text, keyword. They come before the forms.
+BODIES = (
+    ("mit", r"to permit persons to whom the software is furnished to do so subject to the following conditions", "furnished"),
+    ("mit-0", r"to permit persons to whom the software is furnished to do so the software is provided as is", "furnished"),
+    ("isc", r"permission to use copy modify(?: and)?(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that", "hereby"),
+    ("0bsd", r"permission to use copy modify(?: and)?(?: or)? distribute this software for any purpose with or without fee is hereby granted the software", "hereby"),
+    ("bsd-4", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"),
+    ("bsd-3", r"neither the names? of(?: [^ ]+){1,8} nor the names? of(?: [^ ]+){1,4} may be used to endorse or promote products derived", "endorse"),
+    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("apache", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed"),
+    ("zlib", r"provided as is without any express or implied warranty in no event will the authors be held liable", "liable"),
+    ("boost", r"free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "licen"),
+    ("ofl", r"permission is hereby granted free of charge to any person obtaining a copy of the font software", "hereby"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck"),
+    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "dedicated"),
+)
+BODY_CONFIDENCE = 0.9
+# Label, a name that means a license by itself with a version that it has, keyword.
+# Names that are also those of programs or plain words (apache, openssl, zlib, mit) are left out.
+_OR = r"(?: or later| only)?"
+VERSIONED = (
+    ("agpl", r"(?:gnu )?agpl(?: ?v ?| version | )?[13](?: 0)?" + _OR, "agpl"),
+    ("lgpl", r"(?:gnu )?lgpl(?: ?v ?| version | )?(?:2 [01]|3 0|[23])" + _OR, "lgpl"),
+    ("gpl", r"(?:gnu )?gpl(?: ?v ?| version | )?[123](?: 0)?" + _OR, "gpl"),
+    ("mpl", r"mpl(?: ?v ?| version | )?(?:1 [01]|2 0|2)", "mpl"),
+    ("epl", r"epl(?: ?v ?| version | )?[12] 0", "epl"),
+    ("eupl", r"eupl(?: ?v ?| version | )?1 [012]", "eupl"),
+    ("cddl", r"cddl(?: ?v ?| version | )?1 [01]", "cddl"),
+    ("ofl", r"ofl(?: ?v ?| version | )?1 [01]", "ofl"),
+    ("odbl", r"odbl(?: ?v ?| version | )?1 0", "odbl"),
+    *((f"cc-by{x}", f"cc by{x.replace('-', ' ')}(?: ?v ?| version | )?(?:[1-4] 0|2 [15])", "cc by") for x in ("-nc-nd", "-nc-sa", "-nc", "-nd", "-sa", "")),
+    ("cc0", r"cc0(?: ?v ?| version | )?1 0", "cc0"),
+)
+VERSIONED_CONFIDENCE = 0.55
+# Most words a detection can have: the longest form around the longest name, the longest body.
+MAX_WORDS = 32
 
 # Texts without any of these hold no base phrase and nothing that a rule finds.
-GATE = ("licen", "cc", "spdx", "dedicated", "released", "distributed", "published", "available", "placed")
+GATE = ("licen", "cc", "spdx", "dedicated", "released", "distributed", "published", "available", "placed",
+        *dict.fromkeys(k for _, _, k in BODIES), *(k for k in ("gpl", "mpl", "epl", "eupl", "cddl", "ofl", "odbl")))
 
 
 def rules() -> list[dict]:
-    """The rules in order: every form of every family, forms first; then the base phrases."""
-    out = [{"label": label, "kw": keyword, "prio": prio, "conf": conf, "base": False,
+    """The rules in order: bodies; every form of every family, forms first; names with a
+    version; then the base phrases."""
+    own = lambda rows, prio, conf: [{"label": label, "kw": keyword, "prio": prio, "conf": conf, "base": False, "re": words} for label, words, keyword in rows]
+    out = own(BODIES, 0, BODY_CONFIDENCE)
+    out += [{"label": label, "kw": keyword, "prio": prio, "conf": conf, "base": False,
             "re": form.replace("{name}", name).replace("{lic}", LICENSE).replace("{ver}", VERSION)}
-           for prio, (form, conf) in enumerate(FORMS) for label, name, keyword in FAMILIES]
-    out += [{"label": label, "kw": phrase, "prio": len(FORMS), "conf": 0.5, "base": True, "re": phrase} for phrase, label in BASE_PHRASES]
+           for prio, (form, conf) in enumerate(FORMS, 1) for label, name, keyword in FAMILIES]
+    out += own(VERSIONED, len(FORMS) + 1, VERSIONED_CONFIDENCE)
+    out += [{"label": label, "kw": phrase, "prio": len(FORMS) + 2, "conf": 0.5, "base": True, "re": phrase} for phrase, label in BASE_PHRASES]
     return [r | {"id": i, "re": f"(?<= )({r['re']})(?= )"} for i, r in enumerate(out)]
 
 

@@ -112,6 +112,22 @@ def test_license_containment(spark):
     assert row["labels"] == "apache,lgpl" and row["detections"] == ["lgpl:2:14", "apache:15:17"]
 
 
+def test_license_versions_and_bodies(spark):
+    rows = [
+        ("licensed under the GPLv3", "gpl"), ("GPLv2 or later", "gpl"), ("LGPLv2.1", "lgpl"), ("see AGPLv3+", "agpl"), ("GPL3", "gpl"),
+        ("SPDX-License-Identifier: GPL-3.0-only", "gpl"), ("CC BY-SA 4.0", "cc-by,cc-by-sa"), ("(MPL 2.0)", "mpl"),
+        ("... to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:", "mit"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that", "isc"),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+         "Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this", "bsd,bsd-3"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"),
+        ("openssl 1.1.1, apache 2.4, mit 2 Kindern, a simple example, gpl", ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in license_rules.digest(license_rules.scan(docs)).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = secret_links.digest(secret_links.scan(docs)).collect()
