@@ -30,7 +30,8 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 # The same words before lower-casing.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-# Label, regular expression of the name in words, keyword.
+# Label, regular expression of the name in words, keyword: whatever the expression
+# matches holds it, or one of several divided by |.
 FAMILIES = (
     ("agpl", r"(?:gnu )?affero general public", "affero"),
     ("agpl", r"(?:gnu )?agpl", "agpl"),
@@ -40,37 +41,37 @@ FAMILIES = (
     ("gpl", r"(?:gnu )?gpl", "gpl"),
     ("gfdl", r"(?:gnu )?free documentation", "free documentation"),
     ("apache", r"apache(?: software)?", "apache"),
-    ("mit", r"(?:mit|expat)", "licen"),
+    ("mit", r"(?:mit|expat)", " mit| expat"),
     ("mit-0", r"mit (?:no attribution|0)", "mit"),
     ("bsd-2", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", "bsd"),
     ("bsd-3", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)", "bsd"),
     ("bsd-4", r"(?:bsd 4 clause|4 clause bsd|original bsd)", "bsd"),
-    ("bsd", r"(?:bsd|berkeley software distribution)", "bsd"),
-    ("isc", r"(?:isc|internet software consortium)", "licen"),
-    ("mpl", r"(?:mozilla public|mpl)", "licen"),
-    ("epl", r"(?:eclipse public|epl)", "licen"),
-    ("cddl", r"(?:common development and distribution|cddl)", "licen"),
+    ("bsd", r"(?:bsd|berkeley software distribution)", "bsd|berkeley"),
+    ("isc", r"(?:isc|internet software consortium)", " isc|internet software"),
+    ("mpl", r"(?:mozilla public|mpl)", "mozilla| mpl"),
+    ("epl", r"(?:eclipse public|epl)", "eclipse| epl"),
+    ("cddl", r"(?:common development and distribution|cddl)", "common development|cddl"),
     ("cpl", r"common public", "common public"),
-    ("eupl", r"(?:european union public|eupl)", "licen"),
+    ("eupl", r"(?:european union public|eupl)", "european union|eupl"),
     ("artistic", r"artistic", "artistic"),
     ("zlib", r"zlib(?: libpng)?", "zlib"),
-    ("boost", r"(?:boost software|bsl 1 0)", "licen"),
-    ("python", r"(?:python software foundation|psf)", "licen"),
+    ("boost", r"(?:boost software|bsl 1 0)", "boost|bsl"),
+    ("python", r"(?:python software foundation|psf)", "python software|psf"),
     ("unlicense", r"unlicense", "unlicense"),
-    ("wtfpl", r"wtfpl", "licen"),
+    ("wtfpl", r"wtfpl", "wtfpl"),
     ("openssl", r"openssl", "openssl"),
-    ("ofl", r"(?:sil open font|ofl)", "licen"),
-    ("ms-pl", r"(?:microsoft public|ms pl)", "licen"),
-    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "licen"),
-    ("odbl", r"(?:open database|odbl)", "licen"),
-    ("odc-by", r"(?:open data commons attribution|odc by)", "licen"),
-    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "c"),
-    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "c"),
-    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "c"),
-    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "c"),
-    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "c"),
-    ("cc-by", r"(?:cc by|creative commons attribution)", "c"),
-    ("cc0", r"(?:cc0|cc 0|creative commons zero)", "c"),
+    ("ofl", r"(?:sil open font|ofl)", "sil open| ofl"),
+    ("ms-pl", r"(?:microsoft public|ms pl)", "microsoft|ms pl"),
+    ("ms-rl", r"(?:microsoft reciprocal|ms rl)", "microsoft|ms rl"),
+    ("odbl", r"(?:open database|odbl)", "open database|odbl"),
+    ("odc-by", r"(?:open data commons attribution|odc by)", "open data|odc by"),
+    ("cc-by-nc-nd", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)", "cc by|creative commons"),
+    ("cc-by-nc-sa", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)", "cc by|creative commons"),
+    ("cc-by-nc", r"(?:cc by nc|creative commons attribution non ?commercial)", "cc by|creative commons"),
+    ("cc-by-nd", r"(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)", "cc by|creative commons"),
+    ("cc-by-sa", r"(?:cc by sa|creative commons attribution share ?alike)", "cc by|creative commons"),
+    ("cc-by", r"(?:cc by|creative commons attribution)", "cc by|creative commons"),
+    ("cc0", r"(?:cc0|cc 0|creative commons zero)", "cc0|cc 0|creative commons"),
     ("public-domain", r"public domain(?: dedication)?", "public domain"),
 )
 
@@ -140,10 +141,10 @@ def rules() -> list[dict]:
            for prio, (form, conf) in enumerate(FORMS, 1) for label, name, keyword in FAMILIES]
     out += own(VERSIONED, len(FORMS) + 1, VERSIONED_CONFIDENCE)
     out += [{"label": label, "kw": phrase, "prio": len(FORMS) + 2, "conf": 0.5, "base": True, "re": phrase} for phrase, label in BASE_PHRASES]
-    return [r | {"id": i, "re": f"(?<= )({r['re']})(?= )"} for i, r in enumerate(out)]
+    return [r | {"id": i, "kw": r["kw"].split("|"), "re": f"(?<= )({r['re']})(?= )"} for i, r in enumerate(out)]
 
 
-RULE_TYPE = "array<struct<id:int,label:string,kw:string,prio:int,conf:double,base:boolean,re:string>>"
+RULE_TYPE = "array<struct<id:int,label:string,kw:array<string>,prio:int,conf:double,base:boolean,re:string>>"
 
 
 def _spans(words: Column, rule: Column) -> Column:
@@ -168,7 +169,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gate = let(low, lambda t: F.exists(F.array(*[F.lit(k) for k in GATE]), lambda k: F.contains(t, k)))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, NOT_WORD + "+", " ")), F.lit(" "))
     spans = F.when(gate, let(joined, lambda w: F.flatten(F.transform(
-        F.filter(listed, lambda r: F.contains(w, r["kw"])), lambda r: _spans(w, r)))))
+        F.filter(listed, lambda r: F.exists(r["kw"], lambda k: F.contains(w, k))), lambda r: _spans(w, r)))))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), spans.alias("spans"),
                     F.monotonically_increasing_id().alias("rid"))

@@ -128,6 +128,19 @@ def test_license_versions_and_bodies(spark):
     assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
 
 
+def test_license_keywords_lose_nothing(spark, monkeypatch):
+    names = ["MIT", "Expat", "ISC", "Internet Software Consortium", "MPL 2.0", "Mozilla Public", "EPL", "Eclipse Public", "CDDL", "EUPL", "Boost Software", "BSL-1.0", "PSF",
+             "WTFPL", "SIL Open Font", "OFL", "MS-PL", "Microsoft Reciprocal", "ODbL", "Open Data Commons Attribution", "Berkeley Software Distribution", "FreeBSD",
+             "CC0", "CC-BY-NC", "Creative Commons Attribution Noncommercial", "zlib/libpng", "Affero General Public", "Free Documentation", "public domain", "gplv3"]
+    forms = ["Released under the {}", "distributed under {}", "published under the {}.", "{} license", "licensed under {}", "SPDX-License-Identifier: {}", "{}"]
+    docs = spark.createDataFrame([(i, f.format(n)) for i, (f, n) in enumerate((f, n) for f in forms for n in names)], "doc_id long, text string")
+    run = lambda: {r["doc_id"]: (r["labels"], tuple(r["detections"])) for r in license_rules.digest(license_rules.scan(docs)).collect()}
+    gated, rules = run(), license_rules.rules()
+    monkeypatch.setattr(license_rules, "rules", lambda: [r | {"kw": [""] if isinstance(r["kw"], list) else ""} for r in rules])
+    monkeypatch.setattr(license_rules, "GATE", ("",))
+    assert run() == gated and all(gated[i][0] for i in range(len(names)))
+
+
 def test_secrets(docs, empty):
     assign = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
     got = secret_links.digest(secret_links.scan(docs)).collect()
