@@ -31,7 +31,7 @@ WEAK_KINDS = (
     ("user", r"""(?i:(user(?:_?name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""", 2, 3, "identifier"),
     ("endpoint", r"""(?:https?|ftp|postgres|mysql|redis|mongodb|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+""", 0, 10, "endpoint"),
     ("host", r"""(?i:(host(?:name)?|server|endpoint|bucket|region))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._:/-]+)""", 2, 3, "endpoint"),
-    ("blob", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0-9A-Z+/_-]*+[a-z])[A-Za-z0-9+/_-]{28,64}+(?![A-Za-z0-9+/_=-])", 0, 28, "secret"),
+    ("blob", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])(?=[0-9A-Z+/_-]*+[a-z])[A-Za-z0-9+/_-]{28,}+={0,2}+(?![A-Za-z0-9+/_=-])", 0, 28, "secret"),
 )
 KINDS = tuple((name, number < len(BASE_KINDS), number, role) for number, (name, _, _, _, role) in enumerate(BASE_KINDS + WEAK_KINDS))
 
