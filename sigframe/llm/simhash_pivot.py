@@ -55,8 +55,8 @@ def fingerprint_of(text: str, k: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp) with one row per input row.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with one row per input row, with ``hashed`` also th, the XXH64 of the whole text.
 
     A-Z are lower-cased, words are runs without ASCII white space, shingles are k
     words joined by a space with repeats; with fewer words the whole sequence is
@@ -68,9 +68,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for first, texts in text_slices(batch.column(1)):
                 for i, text in enumerate(texts):
                     out[first + i] = fingerprint_of(text, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            rest = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *rest], ["doc_id", "fp", "th"][:2 + len(rest)])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    if hashed:
+        return docs.select(*columns, F.xxhash64(text_col).alias("th")).mapInArrow(run, "doc_id long, fp long, th long")
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp long")
 
 
 def pivots(n: int = N_PIVOTS) -> np.ndarray:
@@ -186,6 +190,15 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, n_pivots: int =
                  .select("combo", "key", "pair", "fp").mapInArrow(run, "u long, v long"))
 
 
+def _rooted(docs: DataFrame, k: int, max_distance: int, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints, (fp, least, root)): the smallest id of every fingerprint and its component's root."""
+    prints = cut(fingerprints(docs, k=k, hashed=hashed))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(groups.select("fp"), max_distance))
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return prints, cut(rooted)
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id), one row per input row.
 
@@ -194,11 +207,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int =
     (a component of null ids only has a null id). Repeated rows share a
     fingerprint and so a component; an empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, k=k))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(groups.select("fp"), max_distance))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
+    prints, rooted = _rooted(docs, k, max_distance, hashed=False)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(mapped, "fp").select("doc_id", "fp", "component_id")
@@ -208,15 +217,29 @@ def fingerprint_hex(column: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(column))), 16, "0")
 
 
-def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """The documents with the smallest id of their component, all columns kept.
+def keep_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """One document of every component, all columns kept: the one of the smallest id and,
+    where that id has several texts in the component, of the smallest hash of the text.
 
-    Of repeated rows with that id one stays (the smallest text, then any equal
-    row). Documents without an id stay, since nothing names them.
+    Two texts of one id are two documents. Of repeated rows (id and text) any one stays.
+    Documents without an id stay, since nothing names them.
     """
-    lead = fresh(docs, "__leader")
-    leaders = near_duplicates(docs, k, max_distance).filter("doc_id = component_id").select(F.col("doc_id").alias(lead)).distinct()
-    kept = docs.join(leaders, docs["doc_id"] == leaders[lead], "left_semi")
-    nth = fresh(docs, "__nth")
-    first = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter(F.col(nth) == 1).drop(nth)
+    prints, rooted = _rooted(docs, k, max_distance)
+    th, lead, lead_th, nth = (fresh(docs, n) for n in ("__own_text", "__leader", "__leader_text", "__nth"))
+    named = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th"))
+    least = prints.groupBy("fp").agg(F.min(named).alias("least"))  # few rows a print before the components meet
+    leaders = (least.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("least").alias("least"))
+               .filter("least is not null").select(F.col("least.doc_id").alias(lead), F.col("least.th").alias(lead_th)))
+    keyed = docs.withColumn(th, F.xxhash64("text"))
+    kept = keyed.join(leaders, (keyed["doc_id"] == leaders[lead]) & (keyed[th] == leaders[lead_th]), "left_semi")
+    first = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", th).orderBy("text"))).filter(F.col(nth) == 1).drop(nth, th)
     return first.unionByName(docs.filter(docs["doc_id"].isNull()))
+
+
+def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``keep_components``, but one row per id (the smallest text), for callers to whom an id
+    is one document: other texts of that id are lost."""
+    kept = keep_components(docs, k, max_distance)
+    nth = fresh(docs, "__nth")
+    named = kept.filter(kept["doc_id"].isNotNull()).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return named.filter(F.col(nth) == 1).drop(nth).unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -211,6 +211,16 @@ def test_simhash(docs, empty):
     assert len({r["doc_id"] for r in kept}) == len(kept) and set(kept[0].asDict()) == set(docs.columns)
 
 
+def test_every_component_keeps_one_document(spark):
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(map(str, rng.integers(0, 10**6, 60))) for _ in range(4))
+    rows = [(1, "z" + a), (2, "z" + a), (2, b), (3, b), (2, c), (2, c), (4, "z " + d), (0, "a " + c), (0, "b"), (None, a)]
+    got = simhash_pivot.keep_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ids = {r["component_id"] for r in simhash_pivot.near_duplicates(spark.createDataFrame([(1, c), (2, "a " + c)], "doc_id long, text string")).collect()}
+    want = [(1, "z" + a), (2, b), (4, "z " + d), (0, "a " + c), (0, "b"), (None, a)] + ([] if len(ids) == 1 else [(2, c)])
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("chunk", [2048, 20])
 def test_pivot_links_find_every_component(spark, chunk):
     rng = np.random.default_rng(3)
