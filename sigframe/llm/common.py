@@ -50,3 +50,20 @@ def text_slices(texts: pa.Array, budget: int = SLICE_CHARS) -> Iterator[tuple[in
             start, part, size = i + 1, [], 0
     if part:
         yield start, part
+
+
+# Keys that hold more than one row in this many are few enough to broadcast.
+HOT_KEYS = 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has each ``key`` once and in ``size`` its number
+    of rows in ``big``. Keys with more than a thousandth of the rows (at most ``HOT_KEYS``, so a
+    bounded table) are broadcast and their rows stay where they are; the others are shuffled.
+    Both inputs are read twice and should be stored."""
+    total = F.lit(big.count())
+    hot = small.filter(F.col(size) * HOT_KEYS > total).drop(size)
+    rest = small.filter(F.col(size) * HOT_KEYS <= total).drop(size)
+    here = big.join(F.broadcast(hot), key)
+    away = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return here.unionByName(away)

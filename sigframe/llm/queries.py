@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigframe.llm import (
-    fm_quality, latent_decontam, license_rules, line_windows, piece_sampling, prefix_forest,
-    secret_links, simhash_pivot, surrogates, token_transducer,
+    conversation_trie, fm_quality, latent_decontam, license_rules, line_windows, ngram_join, piece_sampling,
+    prefix_forest, secret_links, simhash_pivot, spectrum_whitening, surrogates, token_transducer,
 )
 from sigframe.llm.common import table
 
@@ -66,8 +66,24 @@ def op10_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over the rebuilt conversations, with the figures of its subtree."""
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 85 % of the 4-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's leading 16 whitened components."""
+    return spectrum_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_pii_surrogates, op2_license_rules, op3_line_windows, op4_secret_links, op5_latent_decontamination,
-    op6_simhash_pivots, op7_fm_quality, op8_token_transducer, op9_piece_sampling, op10_prefix_forest)}
+    op6_simhash_pivots, op7_fm_quality, op8_token_transducer, op9_piece_sampling, op10_prefix_forest, op11_prefix_trie,
+    op12_ngram_join, op13_spectrum_whitening)}
 
 ORACLES: dict[str, str] = {}
