@@ -10,8 +10,9 @@
    list within reach of its first member's length are offered to that member. Every class
    verifies the offer it meets most often. In a group of near copies this finds nearly all
    links, one per class, instead of one per pair.
-4. The classes so linked are one label. Pairs of different labels that share a list pass
-   the length and the positional filter, the suffix filter (a bound from the profiles, the
+4. The classes so linked are one label. While long lists hold several labels, their members
+   are offered to a few of the list's most common label, each time others. What is left is
+   whole: all pairs of different labels that share a list pass the length and the positional filter, the suffix filter (a bound from the profiles, the
    set cut into ranges as by probes of its suffix), and are then verified on whole sets.
    Pairs of one label cannot change a component and are never formed.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigframe.llm.common import spread_join, text_slices
@@ -42,6 +43,9 @@ PARTS = 16  # rows the frequency table is summed in
 RANGES = 64
 BLOCK = 1024  # members of a list offered to one of them
 SEEN = 200_000  # classes a task remembers, so that copies are posted once by it
+LONG = 64  # members of a list from which on its labels are first brought together by offers
+PIVOTS = 4
+ROUNDS = 6
 BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
 
@@ -290,6 +294,41 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int = WOR
     return _stored(both.select("u", "v", "m_u", "m_v").mapInArrow(compare, "u long, v long"), "links")
 
 
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists whose members have several labels, with the most common one and the list's length."""
+    marked = _stored(met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "token", "cls", "n", "pos", F.coalesce("root", "cls").alias("label")), "labels")
+    several = (marked.groupBy("token", "label").agg(F.count("*").alias("n"))
+               .groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"), F.sum("n").alias("members"))
+               .filter("labels > 1").select("token", F.col("most.label").alias("major"), "members"))
+    return _stored(marked.join(several, "token"), "mixed")
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """(u, v) of the pairs (a_cls, a_n, a_pos, cls, n, pos) that pass the length and the positional
+    filter. The latter holds where a shingle is the first that both prefixes share: what both
+    sets have from there on must suffice."""
+    total = F.col("a_n") + F.col("n")
+    return (pairs.filter(F.lit(100) * F.least("a_n", "n") >= F.lit(PERCENT) * F.greatest("a_n", "n"))
+            .filter(F.lit(100 + PERCENT) * F.least(F.col("a_n") - F.col("a_pos"), F.col("n") - F.col("pos")) >= F.lit(PERCENT) * total)
+            .select(F.least("a_cls", "cls").alias("u"), F.greatest("a_cls", "cls").alias("v")))
+
+
+def _offers(mixed: DataFrame, nth: int) -> DataFrame:
+    """(u, v): every class of another than the most common label with the ``PIVOTS`` members of
+    that label it meets most often; each list names ``PIVOTS`` of them, others in every round."""
+    draw = lambda i: F.xxhash64("cls", F.lit(nth * PIVOTS + i)).alias("draw")
+    pivots = mixed.filter("label = major").groupBy("token").agg(*(F.min(F.struct(draw(i), "cls", "n", "pos")).alias(f"p{i}") for i in range(PIVOTS)))
+    met = mixed.filter("label != major").join(pivots, "token").select(
+        F.col("cls").alias("a_cls"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
+    # the class is known again by its being one end of the pair
+    votes = _near(met.select("a_cls", "a_n", "a_pos", "p.cls", "p.n", "p.pos")).groupBy("u", "v").agg(F.count("*").alias("votes"))
+    ends = votes.select("u", "v", "votes", F.explode(F.array("u", "v")).alias("end")).join(
+        mixed.filter("label != major").select(F.col("cls").alias("end")).distinct(), "end", "left_semi")
+    best = Window.partitionBy("end").orderBy(F.desc("votes"), "u", "v")  # a class has few pivots: at most those of its prefix
+    return ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("u", "v").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
@@ -309,27 +348,25 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
 
     # first the offer that a class meets most often
     votes = met.filter("anchor != cls").groupBy("cls", "anchor").agg(F.count("*").alias("n"))
-    first = _stored(votes.groupBy("cls").agg(F.max(F.struct("n", "anchor")).alias("best")).select(
+    tried = _stored(votes.groupBy("cls").agg(F.max(F.struct("n", "anchor")).alias("best")).select(
         F.least("cls", "best.anchor").alias("u"), F.greatest("cls", "best.anchor").alias("v")).distinct(), "offers")
-    links = verified(first, classes, docs, k)
-    labels = components(links)
-
+    links = verified(tried, classes, docs, k)
+    # then, in long lists of several labels, offers to members of the most common label
+    for nth in range(ROUNDS):
+        mixed = _mixed(met, components(links))
+        offers = _stored(_offers(mixed.filter(F.col("members") > LONG), nth).join(tried, ["u", "v"], "left_anti"), "offers")
+        if offers.isEmpty():
+            break
+        more = verified(offers, classes, docs, k)
+        tried, links = tried.unionByName(offers), links.unionByName(more)
+        if more.isEmpty():
+            break
+    else:
+        mixed = _mixed(met, components(links))
     # then whatever shares a list across labels
-    marked = met.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "token", "cls", "n", "pos", F.coalesce("root", "cls").alias("label"))
-    marked = _stored(marked, "labels")
-    mixed = (marked.groupBy("token", "label").agg(F.count("*").alias("n"))
-             .groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("labels"))
-             .filter("labels > 1").select("token", F.col("most.label").alias("major")))
-    mixed = _stored(marked.join(mixed, "token"), "mixed")
     a = mixed.filter("label != major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "label")))
-    total = F.col("a_n") + F.col("n")
-    crossing = (a.join(mixed, "token").filter("a_label != label").filter("label = major or a_cls < cls")
-                .filter(F.lit(100) * F.least("a_n", "n") >= F.lit(PERCENT) * F.greatest("a_n", "n"))
-                .filter(F.lit(100 + PERCENT) * F.least(F.col("a_n") - F.col("a_pos"), F.col("n") - F.col("pos")) >= F.lit(PERCENT) * total)
-                .select(F.least("a_cls", "cls").alias("u"), F.greatest("a_cls", "cls").alias("v")).distinct())
-    more = verified(crossing.join(first, ["u", "v"], "left_anti"), classes, docs, k)
-    roots = components(links.unionByName(more))
+    crossing = _near(a.join(mixed, "token").filter("a_label != label").filter("label = major or a_cls < cls")).distinct()
+    roots = components(links.unionByName(verified(crossing.join(tried, ["u", "v"], "left_anti"), classes, docs, k)))
 
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
     named = _stored(named, "roots")
