@@ -4,29 +4,36 @@
 (PARTITION BY key ORDER BY ...)`` sends every row of a key to one task, so a
 recording holding a third of the table would run on one core.
 
-Here each key's rows are cut into buckets at splitters: the order tuples of
-about one row in ``rows_per_bucket``, picked by hash, so a key of that many rows
-or fewer has few or none. A row's bucket is the number of its key's splitters
-that are not above its order tuple (a binary search over values of their own
-types, so any orderable type and any value is exact). A grouped count per (key,
-bucket) gives every bucket its first position by a running sum, and
-``row_number`` runs inside each bucket. All of it is one lazy plan without jobs
-while it is built, and one path at every size. Rows that are equal in every
-column share a bucket.
+Here the whole table is cut into ranges of (key, order) tuples. A sketch of
+bounded size gives their borders: about ``SAMPLES`` rows a range are picked by a
+hash, and of those the one of least hash in each of ``SLOTS`` slots is kept, an
+aggregate that merges partial results. A row's range is the number of borders not
+above its tuple (a binary search over values of their own types, so any orderable
+type and any value is exact). One exchange on (key, range) and a ``row_number``
+inside give local positions, which are stored. Only a range's first and last key
+can go on in another range, so what must be added to local positions is a table of
+at most two rows a range, small enough to broadcast whatever the input.
+
+The input is read twice, by the sketch and by the exchange, both while the plan is
+built; the result is a scan of the stored rows. A table too small for a border is
+one range: then nothing is stored and the plan is the plain window. Rows that are
+equal in every column share a range.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigframe.operators.partitioning import on_full_key
+from sigframe.session import scratch_path
 
 _B, _N, _OFF, _RN, _K, _T, _S = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key", "_sf_tuple", "_sf_splits"
 ROWS_PER_BUCKET = 2_000_000
-# Steps of the binary search: enough for two million splitters of one key.
-_STEPS = [1 << b for b in range(20, -1, -1)]
+SAMPLES = 8
+SLOTS = 1 << 16
 
 
 def _col(o):
@@ -45,10 +52,34 @@ def _hashable(dt: T.DataType) -> bool:
     return not isinstance(dt, (T.MapType, T.VariantType))
 
 
-def _splitters_below(splits, value):
-    """How many of the sorted ``splits`` are at most ``value`` (binary search)."""
-    return F.aggregate(F.array(*[F.lit(s) for s in _STEPS]), F.lit(0), lambda at, step: F.when(
-        (at + step <= F.size(splits)) & (F.get(splits, at + step - 1) <= value), at + step).otherwise(at))
+def _splitters_below(splits, count: int, value):
+    """How many of the ``count`` sorted ``splits`` are at most ``value`` (binary search)."""
+    steps = [1 << b for b in range(count.bit_length() - 1, -1, -1)]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, step: F.when(
+        (at + step <= count) & (F.get(splits, at + step - 1) <= value), at + step).otherwise(at))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"sigframe-{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def quantile_sketch(work: DataFrame, column: str, rows_per_bucket: int) -> DataFrame:
+    """One row with ``_sf_splits``: sorted values of ``column`` about ``rows_per_bucket`` rows
+    apart, at most ``SLOTS / SAMPLES`` of them. Equal rows are picked alike, so a value is
+    picked with the odds of its rows being so many apart."""
+    h = F.xxhash64(column)
+    picked = work.select(F.col(column), h.alias("_sf_h")).filter(F.pmod("_sf_h", F.lit(max(1, rows_per_bucket // SAMPLES))) == 0)
+    kept = picked.groupBy(F.pmod(F.xxhash64("_sf_h"), F.lit(SLOTS)).alias("_sf_slot")).agg(F.min(F.struct("_sf_h", column)).alias("_sf_least"))
+    ranked = F.array_sort(F.collect_set(f"_sf_least.{column}"))
+    return kept.agg(ranked.alias(_S)).select(F.filter(_S, lambda x, i: (i + 1) % SAMPLES == 0).alias(_S))
+
+
+def _placed(work: DataFrame, splits: DataFrame, count: int) -> DataFrame:
+    """``work`` with the range of every row, dealt by (key, range)."""
+    ready = work.withColumn(_S, splits.scalar())  # no sub-query inside the search
+    return ready.withColumn(_B, _splitters_below(F.col(_S), count, F.col(_T))).drop(_S).repartition(_K, _B)
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
@@ -68,30 +99,30 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     own = [F.col(f"`{c}`") for c in df.columns]
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)] or [F.lit(0)])
     key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
-    value = F.struct(*[_col(o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
+    value = F.struct(key.alias("k"), *[_col(o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
     work = df.select(*own, key.alias(_K), value.alias(_T))
-    picked = work.select(_K, _T).filter(F.pmod(F.xxhash64(_K, _T), F.lit(rows_per_bucket)) == 0)
-    sample = F.array_sort(F.collect_set(_T)).alias(_S)
-    if keys:
-        work = work.join(picked.groupBy(_K).agg(sample), _K, "left")
-    else:  # one array for the whole table, a tuple per rows_per_bucket rows
-        work = work.withColumn(_S, picked.agg(sample).scalar())
-    bucket = F.when(F.col(_S).isNull(), F.lit(0)).otherwise(_splitters_below(F.col(_S), F.col(_T)))
-    placed = work.select(*own, _K, _T, bucket.alias(_B))
-    # (key, bucket) counts: about #keys + rows / rows_per_bucket rows.
-    counts = placed.groupBy(_K, _B).agg(F.count(F.lit(1)).alias(_N))
-    of_key = Window.partitionBy(_K)
-    before = of_key.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    total = [F.sum(_N).over(of_key).alias(_N)] if count_out or descending else []
-    offsets = counts.select(_K, _B, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF), *total)
-    # offsets come out of a window partitioned by the key alone: partition them on
-    # (key, bucket) so the big side is never shuffled on the key only
-    joined = placed.join(on_full_key(offsets, _K, _B), [_K, _B], "inner")
+    splits = _stored(quantile_sketch(work, _T, rows_per_bucket), "splits")
+    count = splits.select(F.size(_S)).first()[0]
     # struct order is that of the window: NULL fields first
-    position = F.col(_OFF) + F.row_number().over(Window.partitionBy(_K, _B).orderBy(_T)) - F.lit(1)
-    if descending:
-        position = F.col(_N) - F.lit(1) - position
-    return joined.select(*own, position.cast("long").alias(out), *([F.col(_N).alias(count_out)] if count_out else []))
+    nth = F.col(_T).desc() if descending else F.col(_T).asc()
+    if not count:
+        whole = Window.partitionBy(_K)
+        return work.select(*own, (F.row_number().over(whole.orderBy(nth)) - F.lit(1)).cast("long").alias(out),
+                           *([F.count(F.lit(1)).over(whole).alias(count_out)] if count_out else []))
+    here = Window.partitionBy(_K, _B)
+    local = _stored(_placed(work, splits, count).select(
+        *own, _B, F.row_number().over(here.orderBy(nth)).cast("long").alias(_RN),
+        *([F.count(F.lit(1)).over(here).alias(_N)] if count_out else [])), "positions").withColumn(_K, key)
+    # at most two rows a range: its first and its last key, where they lie in other ranges too
+    of_key = Window.partitionBy(_K)
+    before = of_key.orderBy(F.col(_B).desc() if descending else F.col(_B)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = local.groupBy(_K, _B).agg(F.max(_RN).alias("_sf_rows"))
+    carry = _stored(counts.select(_K, _B, F.coalesce(F.sum("_sf_rows").over(before), F.lit(0)).alias(_OFF),
+                                  F.sum("_sf_rows").over(of_key).alias("_sf_total"), F.count(F.lit(1)).over(of_key).alias("_sf_ranges"))
+                    .filter("_sf_ranges > 1").select(_K, _B, _OFF, "_sf_total"), "carry")
+    joined = local.join(F.broadcast(carry), [_K, _B], "left")
+    position = F.col(_RN) - F.lit(1) + F.coalesce(_OFF, F.lit(0))
+    return joined.select(*own, position.cast("long").alias(out), *([F.coalesce("_sf_total", _N).alias(count_out)] if count_out else []))
 
 
 def row_index(df: DataFrame, key: str = "patient", order: list | None = None,

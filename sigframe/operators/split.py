@@ -8,9 +8,13 @@ way as the numbers they spell.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigframe.operators.ordering import _hashable, ordered_index
+
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
@@ -46,19 +50,11 @@ def hash_split(df: DataFrame, key: Column | str, test_fraction: float = 0.2,
 
     By default the test side holds the rows whose hash falls below the
     fraction: about ``test_fraction`` of the rows, no sort, no count. With
-    ``exact`` the rows are ranked by (hash, key) and exactly
-    floor(test_fraction * rows + 0.5) go to test; the ranking is ``ordered_index``,
-    which spreads the work over hash ranges instead of one task.
+    ``exact`` exactly floor(test_fraction * rows + 0.5) rows go to test, those of
+    the smallest hashes (``tag_split_exact``).
     """
     if exact:
-        from sigframe.operators.ordering import ordered_index
-        # scalar subquery: the test size is computed when the query runs
-        n_test = df.agg(F.floor(F.count(F.lit(1)) * F.lit(float(test_fraction)) + F.lit(0.5))).scalar()
-        ranked = ordered_index(df.withColumn("_sf_h", F.md5(F.concat(_c(key).cast("string"), F.lit(str(seed)))))
-                                 .withColumn("_sf_k", _c(key).cast("string")),
-                               [], ["_sf_h", "_sf_k"], out="_sf_rank")
-        tagged = ranked.withColumn("_sf_side", F.when(F.col("_sf_rank") < n_test, "test").otherwise("train")) \
-                       .drop("_sf_h", "_sf_k", "_sf_rank")
+        tagged = tag_split_exact(df, key, test_fraction, seed, out="_sf_side")
         return (tagged.filter(F.col("_sf_side") == "train").drop("_sf_side"),
                 tagged.filter(F.col("_sf_side") == "test").drop("_sf_side"))
     tagged = tag_split(df, key, test_fraction, seed, out="_sf_side")
@@ -66,6 +62,48 @@ def hash_split(df: DataFrame, key: Column | str, test_fraction: float = 0.2,
             tagged.filter(F.col("_sf_side") == "test").drop("_sf_side"))
 
 
+DIGITS = 4  # hexadecimal digits looked at in one pass: a histogram of at most 65,536 bins
+
+
+def tag_split_exact(df: DataFrame, key: Column | str, test_fraction: float = 0.2,
+                    seed: int = 42, out: str = "side") -> DataFrame:
+    """SPL-2 of exact size by distributed selection: ``out`` is 'test' on the
+    floor(test_fraction * rows + 0.5) rows whose md5(key || seed) is smallest.
+
+    A histogram of the first digits of the hash names the one bin that holds the
+    cut; only that bin is counted by its next digits, and so on until a bin's edge
+    is the cut. Nothing is sorted or ranked, and the driver sees counts of bins
+    alone. Rows of one key differ by a hash of their columns; only if rows equal in
+    every column lie across the cut are those rows numbered. A NULL key comes first.
+    """
+    tie = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)] or [F.lit(0)])), 16, "0")
+    own = F.coalesce(F.md5(F.concat(_c(key).cast("string"), F.lit(str(seed)))), F.lit("0" * 32))
+    digits = F.concat(own, F.lower(tie))
+    left, prefix, length = None, "", 48
+    while len(prefix) < length:
+        bin_of = F.substring("_sf_d", len(prefix) + 1, DIGITS)
+        rows = df.select(digits.alias("_sf_d")).filter(F.col("_sf_d").startswith(prefix))
+        bins = sorted((r["bin"], r["count"]) for r in rows.groupBy(bin_of.alias("bin")).count().collect())
+        if left is None:
+            left = math.floor(sum(n for _, n in bins) * float(test_fraction) + 0.5)
+        for name, n in bins:
+            if left < n:
+                prefix += name
+                break
+            left -= n
+        else:
+            prefix += "g"  # sorts after every digit: all rows seen are test
+            break
+        if not left:
+            break
+    side = F.when(digits < F.lit(prefix), F.lit("test")).otherwise(F.lit("train"))
+    if len(prefix) < length or not left:
+        return df.withColumn(out, side)
+    equal = ordered_index(df.filter(digits == F.lit(prefix)), [], [F.lit(0)], out="_sf_rank")
+    equal = equal.withColumn(out, F.when(F.col("_sf_rank") < left, "test").otherwise("train")).drop("_sf_rank")
+    return df.filter(digits != F.lit(prefix)).withColumn(out, side).unionByName(equal)
+
+
 def hash_split_3way(df: DataFrame, key: Column | str, val_fraction: float = 0.1,
                     test_fraction: float = 0.2, seed: int = 42, out: str = "split") -> DataFrame:
     """SPL-3: tag rows train / val / test by key hash."""

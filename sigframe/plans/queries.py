@@ -800,10 +800,8 @@ def q_hash_split(spark, d):
   FROM (SELECT primary_key, row_number() OVER (ORDER BY md5(primary_key || '{SEED}'), primary_key) AS rn
         FROM ({EPOCH_KEYS_SQL}))""", "prep"))
 def q_hash_split_exact(spark, d):
-    """SPL-2 exact: exactly 20 % of the epochs in test, ranked by seeded hash."""
-    keys = flagship(spark, d).select("primary_key")
-    train, test = SP.hash_split(keys, "primary_key", 0.2, SEED, exact=True)
-    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+    """SPL-2 exact: exactly 20 % of the epochs in test, those of the smallest seeded hashes."""
+    return SP.tag_split_exact(flagship(spark, d).select("primary_key"), "primary_key", 0.2, SEED)
 
 
 @query("hash_split_3way", with_views(f"""SELECT primary_key, CASE

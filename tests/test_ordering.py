@@ -1,12 +1,12 @@
-"""ordered_index equals row_number() on both of its plans (plain window for small
-inputs, bucketed for large ones; the bucketed plan is forced here with a small
-rows_per_bucket)."""
+"""ordered_index equals row_number(), for tables of one range and (forced here with a small
+rows_per_bucket) of many."""
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigframe.operators.ordering import ordered_index
+from sigframe.operators import ordering
+from sigframe.operators.ordering import ordered_index, quantile_sketch
 
 
 @pytest.fixture(scope="module")
@@ -108,9 +108,24 @@ def test_equal_rows_are_numbered_without_gaps(spark):
     assert {r["v"] for r in idx.filter("i < 50").collect()} == {1}
 
 
-def test_building_the_plan_runs_no_job(spark):
-    df = spark.createDataFrame([("a", 1)], "k string, v long")
-    tracker = spark.sparkContext.statusTracker()
-    before = len(tracker.getJobIdsForGroup(None))
-    ordered_index(df, ["k"], ["v"], out="i", rows_per_bucket=5)
-    assert len(tracker.getJobIdsForGroup(None)) == before
+def test_sketch_is_bounded_and_merges(spark, monkeypatch):
+    """Borders lie about ``rows_per_bucket`` rows apart, and never number more than the slots allow."""
+    df = spark.range(20000).selectExpr("struct(id as k) as t")
+    borders = quantile_sketch(df.repartition(7), "t", 1000).first()[0]
+    assert borders == quantile_sketch(df.coalesce(1), "t", 1000).first()[0]  # however the rows are dealt
+    at = [b["k"] for b in borders]
+    assert at == sorted(at) and 10 <= len(at) <= 30 and max(b - a for a, b in zip([0, *at], [*at, 20000])) < 4000
+    monkeypatch.setattr(ordering, "SLOTS", 64)
+    few = [b["k"] for b in quantile_sketch(df, "t", 8).first()[0]]
+    assert len(few) == 64 // ordering.SAMPLES and max(b - a for a, b in zip([0, *few], [*few, 20000])) < 10000
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_a_key_over_many_ranges_and_many_keys_in_one(spark, desc):
+    rows = [("big", i % 977, i) for i in range(2000)] + [(f"k{i % 300:03d}", i, 2000 + i) for i in range(900)] + [(None, i, 3000 + i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, ts int, event_id int")
+    got = ordered_index(df, ["k"], ["ts", "event_id"], out="i", descending=desc, rows_per_bucket=100, count_out="n")
+    o = [F.col(c).desc() if desc else F.col(c) for c in ("ts", "event_id")]
+    want = df.select("event_id", (F.row_number().over(Window.partitionBy("k").orderBy(*o)) - 1).alias("i"), F.count("*").over(Window.partitionBy("k")).alias("n"))
+    key = lambda d: {r["event_id"]: (r["i"], r["n"]) for r in d.collect()}
+    assert key(got) == key(want)

@@ -6,7 +6,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from sigframe.operators.ordering import ordered_index
+from sigframe.operators import ordering
+from sigframe.operators.ordering import ordered_index, quantile_sketch
+from sigframe.operators.split import tag_split_exact
 from sigframe.plans.flagship import epochs_from_raw
 from sigframe.plans.queries import QUERIES
 from sigframe.session import scratch_path
@@ -31,14 +33,41 @@ def test_flagship_one_exchange_per_input(spark):
     assert "SortMergeJoin" in plan and "SortAggregate" in plan and "Broadcast" not in plan
 
 
-def test_bucketed_positions_shuffle_on_key_and_bucket(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _hot(spark):
+    root = scratch_path(spark, f"sigframe-plan-{uuid.uuid4().hex}")
     ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
-    df = ev.select(F.when(F.col("user_id") < 50, F.lit(-1)).otherwise(F.col("user_id")).alias("k"), "ts", "event_id")
-    plan = _plan(ordered_index(df, ["k"], ["ts", "event_id"], out="i", rows_per_bucket=400))
-    big = [cols for cols in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan) if "_sf_bucket" in cols]
-    assert big and all("_sf_key" in c for c in big)
-    # nothing that holds all rows of a key is ever exchanged on the key alone
-    assert not re.search(r"Window \[row_number\(\) windowspecdefinition\(k#", plan)
+    ev.select(F.when(F.col("user_id") < 50, F.lit(-1)).otherwise(F.col("user_id")).alias("k"), "ts", "event_id").write.parquet(root)
+    return spark.read.parquet(root)
+
+
+def test_positions_read_stored_rows_without_an_exchange(spark, no_broadcast):
+    """With joins as at size: no row is exchanged on the key alone, and the index is a scan of
+    stored positions and of the few that go on in another range."""
+    df = _hot(spark)
+    plan = _plan(ordered_index(df, ["k"], ["ts", "event_id"], out="i", rows_per_bucket=400, count_out="n"))
+    assert plan.count("FileScan") == 2 and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    work = df.select("*", F.struct("k").alias(ordering._K), F.struct(F.struct("k").alias("k"), "ts", "event_id").alias(ordering._T))
+    splits = quantile_sketch(work, ordering._T, 400)
+    plan = _plan(ordering._placed(work, splits, splits.select(F.size(ordering._S)).first()[0]))
+    assert re.findall(r"Exchange hashpartitioning\((\S+?)#\d+, (\S+?)#", plan)[0] == (ordering._K, ordering._B)
+
+
+def test_positions_of_positions_do_not_multiply_scans(spark, no_broadcast):
+    first = ordered_index(_hot(spark), ["k"], ["ts", "event_id"], out="i", rows_per_bucket=400)
+    assert _plan(ordered_index(first, ["k"], ["i"], out="j", rows_per_bucket=400)).count("FileScan") == 2
+
+
+def test_exact_split_neither_sorts_nor_exchanges(spark):
+    plan = _plan(tag_split_exact(_hot(spark), "event_id", 0.2, 42))
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan and plan.count("FileScan") == 1
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from sigframe.operators import scale as S
@@ -101,3 +102,21 @@ def test_tags_agree_with_pairs(spark):
 def test_scale_tagged_fits_on_training_rows(spark):
     df = spark.createDataFrame([("train", 1.0), ("train", 3.0), ("test", 7.0)], "side string, x double")
     assert [r["x"] for r in S.scale_tagged(df, cols=["x"], mode="zscore_pop").orderBy("x").collect()] == [-1.0, 1.0, 5.0]
+
+
+@pytest.mark.parametrize("fraction", [0.0, 0.2, 0.5, 0.777, 1.0])
+def test_exact_split_is_the_smallest_hashes(spark, fraction):
+    keys = [f"r{i}" for i in range(997)] + ["r1"] * 5 + [None] * 3
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, v int").repartition(6)
+    got = {r["v"]: r["side"] for r in SP.tag_split_exact(df, "k", fraction, 7).collect()}
+    n = int(len(keys) * fraction + 0.5)
+    assert sum(s == "test" for s in got.values()) == n and len(got) == len(keys)
+    h = [hashlib.md5(f"{k}7".encode()).hexdigest() if k else "0" * 32 for k in keys]
+    inside = [h[v] for v, s in got.items() if s == "test"]
+    assert all(a <= b for a in [max(inside, default="")] for b in [h[v] for v, s in got.items() if s == "train"])
+
+
+def test_exact_split_of_equal_rows_and_of_none(spark):
+    same = spark.createDataFrame([("a", 1)] * 10, "k string, v int")
+    assert sorted(r["side"] for r in SP.tag_split_exact(same, "k", 0.25, 1).collect()) == ["test"] * 3 + ["train"] * 7
+    assert SP.tag_split_exact(same.limit(0), "k", 0.25, 1).collect() == []
