@@ -6,14 +6,15 @@
    values come from a distributed randomised SVD: every passage is added, with a random
    sign, to one of ``SKETCH`` rows; the sum over all passages has a fixed size, keeps
    their row space, and is decomposed on the driver.
-3. Passages of the documents and of the benchmark meet by cosine in the latent space,
-   each dimension divided by its singular value, so that what all passages of a
-   language share does not make them alike.
+3. Every passage of the documents meets every passage of the benchmark by cosine in the
+   latent space, each dimension divided by its singular value, so that what all passages
+   of a language share does not make them alike. Pairs of high cosine are candidates.
 4. A passage is also a candidate when the words around it hold as many of an item's
-   rarest words as any confirmed pair must (a count, exact), so that no item is lost by
-   the place of its windows or by the latent space.
+   rarest words as a pair must that is not alike in the latent space (a count, exact), so
+   that no copy is lost by the place of its windows or by the latent space.
 5. A candidate is confirmed on words: the longest common subsequence of the whole item
-   with the document around the passage, and the item's answer (its last words).
+   with the document around the passage, and the item's answer (its last words). A
+   latent candidate may have a shorter subsequence: clauses in another order, words replaced.
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ HALF = 16  # a passage is two halves
 FEATURES = 4096
 SKETCH = 128
 RANK = 64
-COSINE = 0.42
-# Shares of an item's words that the common subsequence must have: with the answer, or without.
+# From this cosine on a passage is a candidate of the latent search (unrelated ones of one
+# language seldom pass 0.55, measured).
+COSINE = 0.65
+# Shares of an item's words that the common subsequence must have: with the answer and a latent
+# candidate, with the answer, or by itself.
+LCS_ALIKE = 0.35
 LCS_WITH_ANSWER = 0.6
 LCS_ALONE = 0.8
 ANSWER_WORDS = 5
@@ -104,10 +109,15 @@ class Passages:
     def sums(self, table: np.ndarray, features: np.ndarray) -> np.ndarray:
         """The sum of the table's rows over the words of every passage."""
         halves = np.empty((len(self.begin), table.shape[1]), np.float32)
+        table = np.concatenate((table, np.zeros((1, table.shape[1]), table.dtype)))  # the row of a missing word
+        place = np.arange(HALF)
         for at in range(0, len(self.begin), 2048):
-            begin = self.begin[at:at + 2048]
-            stop = begin[-1] + self.sizes[min(at + 2048, len(self.begin)) - 1]
-            halves[at:at + 2048] = np.add.reduceat(table[features[begin[0]:stop]], begin - begin[0], axis=0)
+            begin, sizes = self.begin[at:at + 2048, None], self.sizes[at:at + 2048, None]
+            words = np.where(place < sizes, features[np.minimum(begin + place, len(features) - 1)], len(table) - 1)
+            total = table.take(words[:, 0], axis=0)
+            for i in range(1, HALF):  # a word of every half at a time: far faster than sums over runs
+                total += table.take(words[:, i], axis=0)
+            halves[at:at + 2048] = total
         out = halves[self.first]
         two = self.second >= 0
         out[two] += halves[self.second[two]]
@@ -242,40 +252,42 @@ class Search:
         both = np.unique(q * len(self.items) + np.repeat(item, n))
         return both // len(self.items), both % len(self.items)
 
-    def confirmed(self, item: int, words: np.ndarray, at: int) -> tuple[float, float]:
+    def confirmed(self, item: int, words: np.ndarray, at: int, least: float = LCS_WITH_ANSWER) -> tuple[float, float]:
         """(share of the item, share of its answer) that the words around ``at`` have in order;
-        the answer's is 0 where the item's is too small for it to matter."""
+        the answer's is 0 where the item's is below ``least`` and it cannot matter."""
         own = self.items[item]
         near = words[max(0, at - len(own)):at + 2 * HALF + len(own)]
         share, answer = common(own, near) / len(own), own[-ANSWER_WORDS:]
-        return share, common(answer, near) / len(answer) if share >= LCS_WITH_ANSWER else 0.0
+        return share, common(answer, near) / len(answer) if share >= least else 0.0
+
+    def alike(self, latent: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, item) of every pair whose latent cosine is ``COSINE`` or more."""
+        for at in range(0, len(latent), 1024):
+            cosine = latent[at:at + 1024] @ self.latent
+            near = np.flatnonzero(cosine.max(axis=1) >= COSINE)
+            passage, which = np.nonzero(cosine[near] >= COSINE)
+            yield from sorted({(int(near[p]) + at, int(self.owner[w])) for p, w in zip(passage.tolist(), which.tolist())})
 
     def hits(self, words: np.ndarray, offsets: np.ndarray) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """(row, item) to cosine, share and answer share of the confirmed pairs, the cosine and
-        the share the largest of their candidates."""
-        out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        """(row, item) to cosine, share and answer share of the confirmed pairs: the largest
+        cosine of any passage of the row, the largest share of a candidate."""
+        out: dict[tuple[int, int], tuple[float, float]] = {}
         if not len(words):
-            return out
-        f, p = _features(words), Passages(offsets)
-        latent = _unit(p.sums(self.table, f))
-        for q, i in zip(*(x.tolist() for x in self.near(words, offsets, p))):
+            return {}
+        p = Passages(offsets)
+        latent = _unit(p.sums(self.table, _features(words)))
+
+        def confirm(q: int, i: int, least: float) -> None:
             row = int(p.row[q])
-            share, answer = self.confirmed(i, words[offsets[row]:offsets[row + 1]], int(p.begin[p.first[q]] - offsets[row]))
-            if share >= LCS_ALONE or (share >= LCS_WITH_ANSWER and answer >= ANSWER_SHARE):
-                c = float((latent[q] @ self.latent[:, self.owner == i]).max())
-                best = out.get((row, i), (c, 0.0, 0.0))
-                out[row, i] = (max(c, best[0]), *max((share, answer), best[1:]))
-        # The common subsequence of a passage that is alike in the latent space but was not counted
-        # is too short, so only the cosine of confirmed pairs is still to be found.
-        known = np.array([row * len(self.items) + i for row, i in out], np.int64)
-        for at in range(0, len(latent) if out else 0, 4096):
-            cosine = latent[at:at + 4096] @ self.latent
-            passage, which = np.nonzero(cosine >= COSINE)
-            code = p.row[passage + at] * len(self.items) + self.owner[which]
-            for n in np.flatnonzero(np.isin(code, known)).tolist():
-                pair = divmod(int(code[n]), len(self.items))
-                out[pair] = (max(float(cosine[passage[n], which[n]]), out[pair][0]), *out[pair][1:])
-        return out
+            share, answer = self.confirmed(i, words[offsets[row]:offsets[row + 1]], int(p.begin[p.first[q]] - offsets[row]), least)
+            if share >= LCS_ALONE or (share >= least and answer >= ANSWER_SHARE):
+                out[row, i] = max((share, answer), out.get((row, i), (0.0, 0.0)))
+
+        for q, i in self.alike(latent):  # what is alike as a whole may have its words in another order
+            confirm(q, i, LCS_ALIKE)
+        for q, i in zip(*(x.tolist() for x in self.near(words, offsets, p))):
+            confirm(q, i, LCS_WITH_ANSWER)
+        return {(row, i): (float((latent[p.row == row] @ self.latent[:, self.owner == i]).max()), *shares) for (row, i), shares in out.items()}
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) -> tuple[DataFrame, DataFrame]:

@@ -273,6 +273,42 @@ def test_latent_decontamination(spark):
     assert latent_decontam.report(docs, bench.filter("false")).filter("contaminated").collect() == []
 
 
+def test_paraphrases_are_found_by_the_latent_search_alone(spark, monkeypatch):
+    """Clauses in another order keep too short a subsequence for the count of words; without
+    the latent table they are lost, and copies are not. Odd rows keep their place."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    rng = np.random.default_rng(3)
+    corpus = [r["text"].split() for r in table.limit(300).collect() if r["text"] and len(r["text"].split()) > 300]
+    items = [(r["item_id"], r["text"].split()) for r in bench.orderBy("item_id").collect() if len(r["text"].split()) >= 24]
+    planted, copies = {}, {}
+    for n, (name, words) in enumerate(items):
+        a, b = len(words) // 3, 2 * len(words) // 3
+        mixed = words[b:] + words[a:b] + words[:a]
+        host = corpus[int(rng.integers(len(corpus)))]
+        k = int(rng.integers(40, 200))
+        planted[10_000 + n] = (name, " ".join(host[:k] + mixed + host[k:k + 90]))
+        copies[20_000 + n] = (name, " ".join(host[:k] + words + host[k:k + 90]))
+    long = " ".join(corpus[0] * 400)
+    odd = [(None, "of no one"), (30_000, None), (30_000, ""), (30_001, long + " " + " ".join(items[0][1])), (30_001, "another text of the id"), (30_002, long)]
+    rows = [(i, t, "x", 1) for i, (_, t) in {**planted, **copies}.items()] + [(i, t, "x", 1) for i, t in odd]
+    docs = table.selectExpr("doc_id", "text", "'x' as items", "1 as cosine").unionByName(spark.createDataFrame(rows, "doc_id long, text string, items string, cosine int"))
+    found = latent_decontam.report(docs, bench)
+    assert found.columns == ["doc_id", "contaminated", "item_ids", "cosine", "share"] and found.count() == docs.count()
+    got = [(r["doc_id"], set(r["item_ids"])) for r in found.filter("doc_id >= 10000").collect()]
+    caught = lambda got, plants: sum(plants[d][0] in ids for d, ids in got if d in plants)
+    assert caught(got, copies) == len(copies) and caught(got, planted) >= 0.75 * len(planted)
+    by_id = {}
+    for d, ids in got:
+        by_id.setdefault(d, []).append(ids)
+    assert sorted(map(len, by_id[30_001]))[0] == 0 and {items[0][0]} in by_id[30_001] and by_id[30_000] == [set(), set()]
+    clean = latent_decontam.clean(docs, bench)
+    assert clean.columns == docs.columns and clean.filter("doc_id = 30001").count() == 1
+    monkeypatch.setattr(latent_decontam, "fit", lambda tokens: (np.zeros((latent_decontam.FEATURES, 4), np.float32), np.ones(latent_decontam.FEATURES)))
+    blind = [(r["doc_id"], set(r["item_ids"])) for r in latent_decontam.report(docs, bench).filter("doc_id >= 10000").collect()]
+    assert caught(blind, copies) == len(copies) and caught(blind, planted) <= 0.2 * len(planted)
+
+
 def test_search_confirms_every_pair_that_passes_the_word_rule():
     rng = np.random.default_rng(5)
     items = [rng.integers(0, 4000, n).astype(np.int32) ** 2 for n in (1, 2, 15, 17, 20, 24, 31, 32, 33, 47, 59, 90)]
@@ -283,7 +319,7 @@ def test_search_confirms_every_pair_that_passes_the_word_rule():
             texts.append(np.concatenate([rng.integers(0, 4000, rng.integers(0, 70)).astype(np.int32) ** 2, copy, rng.integers(0, 4000, rng.integers(0, 70)).astype(np.int32) ** 2]))
             verbatim |= {(len(texts) - 1, i)} if not replaced else set()
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    # a latent space that knows nothing
+    # a latent space that knows nothing: then no pair is alike
     search = latent_decontam.Search(list(range(len(items))), items, np.zeros((latent_decontam.FEATURES, 4), np.float32), rng.random(latent_decontam.FEATURES))
     want = {}
     for row, text in enumerate(texts):
