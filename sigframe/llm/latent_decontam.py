@@ -106,6 +106,18 @@ class Passages:
         self.second = np.where(lone[self.first], -1, self.first + 1)
         self.row = row[self.first]
 
+    def distinct(self, features: np.ndarray) -> np.ndarray:
+        """In how many halves each feature is."""
+        place, out = np.arange(HALF), np.zeros(FEATURES, np.int64)
+        features = features.astype(np.int16)
+        for at in range(0, len(self.begin), 4096):
+            begin, sizes = self.begin[at:at + 4096, None], self.sizes[at:at + 4096, None]
+            words = np.sort(np.where(place < sizes, features[np.minimum(begin + place, len(features) - 1)], np.int16(-1)), axis=1)
+            new = words >= 0
+            new[:, 1:] &= words[:, 1:] != words[:, :-1]
+            out += np.bincount(words[new], minlength=FEATURES)
+        return out
+
     def sums(self, table: np.ndarray, features: np.ndarray) -> np.ndarray:
         """The sum of the table's rows over the words of every passage."""
         halves = np.empty((len(self.begin), table.shape[1]), np.float32)
@@ -163,7 +175,7 @@ def fit(tokens: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
                     continue
                 of_half = np.repeat(np.arange(len(p.begin)), p.sizes)
                 n_halves += len(p.begin)
-                seen += np.bincount(np.unique(of_half * FEATURES + f) & (FEATURES - 1), minlength=FEATURES)
+                seen += p.distinct(f)
                 code = _mix(keys[first + p.row] + _mix(p.begin[p.first].astype(np.uint64) - offsets[p.row].astype(np.uint64)))
                 bucket, sign = (code >> np.uint64(40)).astype(np.int64) % SKETCH, np.where(code >> np.uint64(63), 1.0, -1.0)
                 for half in (p.first, p.second):  # each half adds to the passages it belongs to
