@@ -44,8 +44,8 @@ RANGES = 64
 BLOCK = 1024  # members of a list offered to one of them
 SEEN = 200_000  # classes a task remembers, so that copies are posted once by it
 LONG = 64  # members of a list from which on its labels are first brought together by offers
-PIVOTS = 4
-ROUNDS = 6
+PIVOTS = 8
+ROUNDS = 1
 BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\t-\r ]")
 
@@ -305,13 +305,12 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _near(pairs: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (a_cls, a_n, a_pos, cls, n, pos) that pass the length and the positional
-    filter. The latter holds where a shingle is the first that both prefixes share: what both
-    sets have from there on must suffice."""
+    """The pairs (a_cls, a_n, a_pos, cls, n, pos) that pass the length and the positional filter.
+    The latter holds where a shingle is the first that both prefixes share: what both sets
+    have from there on must suffice."""
     total = F.col("a_n") + F.col("n")
     return (pairs.filter(F.lit(100) * F.least("a_n", "n") >= F.lit(PERCENT) * F.greatest("a_n", "n"))
-            .filter(F.lit(100 + PERCENT) * F.least(F.col("a_n") - F.col("a_pos"), F.col("n") - F.col("pos")) >= F.lit(PERCENT) * total)
-            .select(F.least("a_cls", "cls").alias("u"), F.greatest("a_cls", "cls").alias("v")))
+            .filter(F.lit(100 + PERCENT) * F.least(F.col("a_n") - F.col("a_pos"), F.col("n") - F.col("pos")) >= F.lit(PERCENT) * total))
 
 
 def _offers(mixed: DataFrame, nth: int) -> DataFrame:
@@ -321,12 +320,10 @@ def _offers(mixed: DataFrame, nth: int) -> DataFrame:
     pivots = mixed.filter("label = major").groupBy("token").agg(*(F.min(F.struct(draw(i), "cls", "n", "pos")).alias(f"p{i}") for i in range(PIVOTS)))
     met = mixed.filter("label != major").join(pivots, "token").select(
         F.col("cls").alias("a_cls"), F.col("n").alias("a_n"), F.col("pos").alias("a_pos"), F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).alias("p"))
-    # the class is known again by its being one end of the pair
-    votes = _near(met.select("a_cls", "a_n", "a_pos", "p.cls", "p.n", "p.pos")).groupBy("u", "v").agg(F.count("*").alias("votes"))
-    ends = votes.select("u", "v", "votes", F.explode(F.array("u", "v")).alias("end")).join(
-        mixed.filter("label != major").select(F.col("cls").alias("end")).distinct(), "end", "left_semi")
-    best = Window.partitionBy("end").orderBy(F.desc("votes"), "u", "v")  # a class has few pivots: at most those of its prefix
-    return ends.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS).select("u", "v").distinct()
+    votes = _near(met.select("a_cls", "a_n", "a_pos", "p.cls", "p.n", "p.pos")).groupBy("a_cls", "cls").agg(F.count("*").alias("votes"))
+    best = Window.partitionBy("a_cls").orderBy(F.desc("votes"), "cls")  # at most PIVOTS for each shingle of its prefix
+    chosen = votes.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PIVOTS)
+    return chosen.select(F.least("a_cls", "cls").alias("u"), F.greatest("a_cls", "cls").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
@@ -365,7 +362,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
         mixed = _mixed(met, components(links))
     # then whatever shares a list across labels
     a = mixed.filter("label != major").select("token", *(F.col(c).alias(f"a_{c}") for c in ("cls", "n", "pos", "label")))
-    crossing = _near(a.join(mixed, "token").filter("a_label != label").filter("label = major or a_cls < cls")).distinct()
+    crossing = _near(a.join(mixed, "token").filter("a_label != label").filter("label = major or a_cls < cls")).select(
+        F.least("a_cls", "cls").alias("u"), F.greatest("a_cls", "cls").alias("v")).distinct()
     roots = components(links.unionByName(verified(crossing.join(tried, ["u", "v"], "left_anti"), classes, docs, k)))
 
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"))
