@@ -78,6 +78,59 @@ def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient"
     return out.select(*keep)
 
 
+FANOUT = 16
+
+
+def dyadic_cover(intervals: DataFrame, start: str, end: str, unit: float, levels: int, fanout: int = FANOUT) -> DataFrame:
+    """One row per interval and node (``_sf_level``, ``_sf_node``) of a tree over time whose
+    leaves are ``unit`` long and whose nodes have ``fanout`` children: the fewest nodes that
+    cover [start, end), at most 2 (fanout - 1) a level, so their number grows with the
+    logarithm of the length. Empty intervals have none."""
+    first = F.floor(F.col(start) / F.lit(unit))
+    stop = F.ceil(F.col(end) / F.lit(unit))  # one past the last leaf
+    runs = []
+    for level in range(levels):
+        size, up = fanout ** level, fanout ** (level + 1)
+        lo, hi = F.ceil(first / F.lit(size)), F.floor(stop / F.lit(size))  # the level's nodes inside
+        above, beyond = F.ceil(first / F.lit(up)) * fanout, F.floor(stop / F.lit(up)) * fanout  # those in nodes one level up
+        if level == levels - 1:
+            parts = [(lo, hi)]
+        else:
+            whole = above < beyond
+            parts = [(lo, F.when(whole, above).otherwise(hi)), (F.when(whole, beyond).otherwise(hi), hi)]
+        for a, b in parts:
+            nodes = F.when(a < b, F.sequence(a.cast("long"), b.cast("long") - 1)).otherwise(F.array().cast("array<bigint>"))
+            runs.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(nodes)).alias("_sf_level"), nodes.alias("_sf_node")))
+    pairs = [F.col(f"_sf_run{i}") for i in range(len(runs))]
+    named = intervals.filter(F.col(start) < F.col(end)).select("*", *[x.cast("array<struct<_sf_level:int,_sf_node:bigint>>").alias(f"_sf_run{i}") for i, x in enumerate(runs)])
+    return named.select(*[F.col(f"`{c}`") for c in intervals.columns], F.inline(F.concat(*pairs)))
+
+
+def interval_join_any(samples: DataFrame, intervals: DataFrame, key: str = "patient", t: str = "t",
+                      start: str = "start", end: str = "end", unit: float = 1.0, longest: float | None = None) -> DataFrame:
+    """JN-3 for intervals of any length: each sample with every interval [start, end) of its
+    recording that contains ``t``.
+
+    Intervals are cut into the nodes of a tree over time (``dyadic_cover``), a sample is in
+    one node of each level, and both meet by (recording, level, node). ``longest`` is the
+    length of the longest interval (looked up if not given); it sets the levels, one for
+    each power of ``FANOUT`` units. Intervals longer than it are still joined, in more nodes.
+    """
+    if longest is None:
+        longest = intervals.agg(F.max(F.col(end) - F.col(start))).first()[0] or unit
+    levels = 1
+    while unit * FANOUT ** levels <= longest:
+        levels += 1
+    cover = dyadic_cover(intervals, start, end, unit, levels)
+    leaf = F.floor(F.col(t) / F.lit(unit))
+    nodes = F.array(*[F.struct(F.lit(n).alias("_sf_level"), F.floor(leaf / F.lit(FANOUT ** n)).alias("_sf_node")) for n in range(levels)])
+    placed = samples.select("*", F.inline(nodes))
+    s, i = (on_full_key(d, key, "_sf_level", "_sf_node").alias(n) for d, n in ((placed, "s"), (cover, "i")))
+    both = s.join(i, [F.col(f"s.{c}") == F.col(f"i.{c}") for c in (key, "_sf_level", "_sf_node")] + [
+        F.col(f"s.{t}") >= F.col(f"i.{start}"), F.col(f"s.{t}") < F.col(f"i.{end}")])
+    return both.select(*[F.col(f"s.{c}") for c in samples.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in samples.columns])
+
+
 def label_samples_by_chunks(samples: DataFrame, ann: DataFrame, chunk: float = EPOCH_SECONDS,
                             key: str = "patient", t: str = "t") -> DataFrame:
     """Annotation-based epoching as a join: every sample inside a full chunk of an

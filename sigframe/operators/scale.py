@@ -22,6 +22,52 @@ def scaler_stats(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*aggs)
 
 
+def moments(df: DataFrame, by: str = "patient", cols: list[str] | None = None) -> DataFrame:
+    """One row per ``by`` with n, mean and the sum of squared deviations (``_m2``) of each column,
+    NULLs left out. Store it once: the statistics of any set of recordings follow from it."""
+    aggs = []
+    for c in cols or CHANNELS:
+        x = F.col(c).cast("double")
+        aggs += [F.count(c).alias(f"{c}_n"), F.avg(x).alias(f"{c}_mean"), (F.var_pop(x) * F.count(c)).alias(f"{c}_m2")]
+    return df.groupBy(by).agg(*aggs)
+
+
+def merge_moments(parts: DataFrame, by: list[str] | None = None, cols: list[str] | None = None) -> DataFrame:
+    """Moments of all rows of ``parts`` together (of each group of ``by``), by the parallel rule
+    m2 = sum(m2) + sum(n (mean - all mean)^2), which does not subtract large numbers."""
+    by, cols = by or [], cols or CHANNELS
+    means = parts.groupBy(*by).agg(*[F.sum(F.col(f"{c}_n") * F.col(f"{c}_mean")).alias(f"_sf_{c}_sum") for c in cols],
+                                   *[F.sum(f"{c}_n").alias(f"_sf_{c}_n") for c in cols])
+    means = means.select(*by, *[(F.col(f"_sf_{c}_sum") / F.nullif(F.col(f"_sf_{c}_n"), F.lit(0))).alias(f"_sf_{c}_mean") for c in cols])
+    if by:
+        both = parts.join(means, by)
+    else:
+        both = parts.withColumn("_sf_all", means.select(F.struct(*means.columns)).scalar()).select("*", "_sf_all.*")
+    out = []
+    for c in cols:
+        apart = F.col(f"{c}_mean") - F.col(f"_sf_{c}_mean")
+        out += [F.sum(f"{c}_n").alias(f"{c}_n"), F.max(f"_sf_{c}_mean").alias(f"{c}_mean"),
+                F.sum(F.col(f"{c}_m2") + F.col(f"{c}_n") * apart * apart).alias(f"{c}_m2")]
+    return both.groupBy(*by).agg(*out)
+
+
+def leave_one_out(parts: DataFrame, by: str = "patient", cols: list[str] | None = None) -> DataFrame:
+    """For each row of ``parts`` the n, mean and population std of all other rows together, from
+    the stored moments alone: no pass over samples whatever is held out."""
+    cols = cols or CHANNELS
+    total = merge_moments(parts, cols=cols)
+    rows = parts.withColumn("_sf_all", total.select(F.struct(*total.columns)).scalar())
+    out = []
+    for c in cols:
+        n, mean, m2 = (F.col(f"{c}_{x}") for x in ("n", "mean", "m2"))
+        all_n, all_mean, all_m2 = (F.col(f"_sf_all.{c}_{x}") for x in ("n", "mean", "m2"))
+        rest = F.nullif(all_n - n, F.lit(0))
+        apart = F.coalesce(mean, all_mean) - all_mean
+        left = F.greatest(all_m2 - F.coalesce(m2, F.lit(0.0)) - n * apart * apart * all_n / rest, F.lit(0.0))
+        out += [(all_n - n).alias(f"{c}_n"), (all_mean - n * apart / rest).alias(f"{c}_mean"), F.sqrt(left / rest).alias(f"{c}_std_pop")]
+    return rows.select(by, *out)
+
+
 class ChannelScaler:
     """Fit on one DataFrame (the training rows), apply to any other.
 

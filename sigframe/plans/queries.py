@@ -357,6 +357,26 @@ b AS (SELECT patient,
 CROP_SQL = with_views(CROP_BODY, "annotations", extra=CROP_CTES)
 
 
+# Gaps between every 1st, 5th and 25th event: lengths from seconds to days in one table.
+_MIXED_SQL = """SELECT patient, k, onset AS start, "end" FROM (
+  SELECT patient, k, onset, lead(onset, k) OVER (PARTITION BY patient, k ORDER BY timestep) AS "end"
+  FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY onset, duration, description) - 1 AS timestep FROM annotations), (VALUES (1), (5), (25)) t(k))
+  WHERE "end" IS NOT NULL"""
+
+
+@query("interval_join_any", with_views("""SELECT e.patient, e.event_id, m.k, count(*) AS n, round(sum(m."end" - m.start), 3) AS seconds
+  FROM event_times e JOIN mixed m ON e.patient = m.patient AND e.t >= m.start AND e.t < m."end" GROUP BY 1, 2, 3""",
+                                       "event_times", "annotations", extra=f"mixed AS ({_MIXED_SQL})"))
+def q_interval_join_any(spark, d):
+    """JN-3 with intervals from seconds to days: each sample's intervals by the nodes of a tree over time."""
+    ann = O.ordered_index(TB.annotations(spark, d), ["patient"], ["onset", "duration", "description"], out="timestep").select("patient", "timestep", "onset")
+    ends = ann.select("patient", F.col("timestep").alias("_at"), F.col("onset").alias("end"))
+    starts = ann.select("patient", "timestep", F.col("onset").alias("start"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(25))).alias("k"))
+    mixed = starts.withColumn("_at", F.col("timestep") + F.col("k")).join(ends, ["patient", "_at"]).select("patient", "k", "start", "end")
+    both = IV.interval_join_any(TB.event_times(spark, d), mixed, unit=60.0, longest=30 * 86400.0)
+    return both.groupBy("patient", "event_id", "k").agg(F.count("*").alias("n"), r(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
+
+
 @query("crop_recording", CROP_SQL)
 def q_crop_recording(spark, d):
     """FLT-7: annotations cropped to [2nd onset - 10 min, last wake onset + 10 min]."""
@@ -492,6 +512,20 @@ def q_scaler_stats(spark, d):
     return st.select("n", *[r(c) for c in st.columns if c != "n"])
 
 
+def _apart_sql(c):
+    return f"""count(s.{c}) AS {c}_n, round(avg(s.{c}), 6) AS {c}_mean, round(stddev_pop(s.{c}), 6) AS {c}_std_pop"""
+
+
+@query("scaler_leave_one_out", with_views(f"""SELECT p.patient, {", ".join(_apart_sql(c) for c in CHANNELS)}
+  FROM (SELECT DISTINCT patient FROM samples) p JOIN samples s ON s.patient <> p.patient GROUP BY p.patient""", "samples"))
+def q_scaler_leave_one_out(spark, d):
+    """AG-6/FN-16/SPL-1: the scaler of all other recordings for each one, from a stored table of moments."""
+    path = _scratch(spark, "moments")
+    S.moments(samples(spark, d)).write.parquet(path)
+    out = S.leave_one_out(spark.read.parquet(path))
+    return out.select("patient", *[c if c.endswith("_n") else r(c) for c in out.columns[1:]])
+
+
 PREDS_SQL = with_views("SELECT * FROM preds", "preds")
 
 

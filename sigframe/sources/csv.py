@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,19 +42,22 @@ def read_csv_inferred(spark: SparkSession, path: str, header: bool = True, sep:
 
 def read_text_split(spark: SparkSession, path: str, sep: str = ",", drop_header: bool = True,
                     header_line: str | None = None) -> DataFrame:
-    """SRC-3/FN-3: lines split on ``sep`` into ``fields`` (no quoting rules).
+    """SRC-3/FN-3: lines split on the characters ``sep`` into ``fields`` (no quoting rules).
 
     As in a split-lines job, every line equal to the header line is dropped, not
-    just the first one. The header is read with a one-line job unless given.
+    just the first one. Without ``header_line`` each file's header is its own first
+    line, taken from its first block (one row a file) inside the same plan.
     """
     lines = spark.read.text(path)
-    if drop_header:
-        if header_line is None:
-            first = lines.limit(1).collect()
-            header_line = first[0]["value"] if first else None
-        if header_line is not None:
-            lines = lines.filter(F.col("value") != F.lit(header_line))
-    return lines.select(F.split(F.col("value"), sep).alias("fields"))
+    if drop_header and header_line is not None:
+        lines = lines.filter(F.col("value") != F.lit(header_line))
+    elif drop_header:
+        placed = lines.select("value", F.col("_metadata.file_path").alias("_sf_file"), F.col("_metadata.file_block_start").alias("_sf_block"))
+        # ids rise with the lines of a block
+        first = (placed.filter("_sf_block = 0").select("_sf_file", "value", F.monotonically_increasing_id().alias("_sf_line"))
+                 .groupBy("_sf_file").agg(F.min_by("value", "_sf_line").alias("_sf_header")))
+        lines = placed.join(first, "_sf_file").filter(F.col("value") != F.col("_sf_header")).select("value")
+    return lines.select(F.split(F.col("value"), re.escape(sep)).alias("fields"))
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",",
