@@ -364,7 +364,7 @@ _MIXED_SQL = """SELECT patient, k, onset AS start, "end" FROM (
   WHERE "end" IS NOT NULL"""
 
 
-@query("interval_join_any", with_views("""SELECT e.patient, e.event_id, m.k, count(*) AS n, round(sum(m."end" - m.start), 3) AS seconds
+@query("interval_join_any", with_views("""SELECT e.patient, e.event_id, m.k, count(*) AS n, min(m.start) AS first_start, max(m."end") AS last_end
   FROM event_times e JOIN mixed m ON e.patient = m.patient AND e.t >= m.start AND e.t < m."end" GROUP BY 1, 2, 3""",
                                        "event_times", "annotations", extra=f"mixed AS ({_MIXED_SQL})"))
 def q_interval_join_any(spark, d):
@@ -374,7 +374,7 @@ def q_interval_join_any(spark, d):
     starts = ann.select("patient", "timestep", F.col("onset").alias("start"), F.explode(F.array(F.lit(1), F.lit(5), F.lit(25))).alias("k"))
     mixed = starts.withColumn("_at", F.col("timestep") + F.col("k")).join(ends, ["patient", "_at"]).select("patient", "k", "start", "end")
     both = IV.interval_join_any(TB.event_times(spark, d), mixed, unit=60.0, longest=30 * 86400.0)
-    return both.groupBy("patient", "event_id", "k").agg(F.count("*").alias("n"), r(F.sum(F.col("end") - F.col("start")), 3).alias("seconds"))
+    return both.groupBy("patient", "event_id", "k").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
 
 
 @query("crop_recording", CROP_SQL)
