@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,28 +126,48 @@ def keep_known_stages(df: DataFrame, mapping: dict | None = None,
     return df.join(F.broadcast(dim), condition, "inner")
 
 
-def narrow_types(df: DataFrame) -> DataFrame:
-    """PRJ-9: integers to the smallest signed type that holds their range,
-    doubles to float. One aggregate pass finds the ranges."""
+def _range_columns(df: DataFrame) -> tuple[list[str], list]:
+    """The integer columns, and the aggregates that give their ranges."""
     int_types = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     ints = [f.name for f in df.schema.fields if isinstance(f.dataType, int_types)]
+    aggs = [F.min(F.col(f"`{c}`")).alias(f"min_{i}") for i, c in enumerate(ints)] + \
+           [F.max(F.col(f"`{c}`")).alias(f"max_{i}") for i, c in enumerate(ints)]
+    return ints, aggs
+
+
+def _narrowed(df: DataFrame, ints: list[str], ranges: dict) -> DataFrame:
+    """``df`` with integers in the smallest type that holds their range, doubles as float."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    casts = {c: F.col(c).cast("float") for c in floats}
-    if ints:
-        aggs = [F.min(c).alias(f"min_{i}") for i, c in enumerate(ints)] + \
-               [F.max(c).alias(f"max_{i}") for i, c in enumerate(ints)]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(ints):
-            lo, hi = row[f"min_{i}"], row[f"max_{i}"]
-            if lo is None:
-                continue
-            for name, bits in (("byte", 8), ("short", 16), ("int", 32), ("long", 64)):
-                if -(2 ** (bits - 1)) <= lo and hi < 2 ** (bits - 1):
-                    casts[c] = F.col(c).cast(name)
-                    break
+    casts = {c: F.col(f"`{c}`").cast("float") for c in floats}
+    for i, c in enumerate(ints):
+        lo, hi = ranges.get(f"min_{i}"), ranges.get(f"max_{i}")
+        if lo is None:
+            continue
+        for name, bits in (("byte", 8), ("short", 16), ("int", 32), ("long", 64)):
+            if -(2 ** (bits - 1)) <= lo and hi < 2 ** (bits - 1):
+                casts[c] = F.col(f"`{c}`").cast(name)
+                break
     return df.withColumns(casts)
 
 
+def narrow_types(df: DataFrame) -> DataFrame:
+    """PRJ-9: integers to the smallest signed type that holds their range,
+    doubles to float. One aggregate pass finds the ranges."""
+    ints, aggs = _range_columns(df)
+    return _narrowed(df, ints, df.agg(*aggs).first().asDict() if ints else {})
+
+
+def store_narrow(df: DataFrame, path: str) -> DataFrame:
+    """PRJ-9 on the way to storage: the input is written as Parquet to ``path`` and its ranges are
+    observed by the same pass, so it is computed once. Returns the stored rows in the narrow
+    types; a column without values keeps its type. Ranges of a task that ran twice count once
+    or twice alike, being minima and maxima."""
+    ints, aggs = _range_columns(df)
+    seen = Observation()
+    (df.observe(seen, *aggs) if ints else df).write.mode("overwrite").parquet(path)
+    return _narrowed(df.sparkSession.read.schema(df.schema).parquet(path), ints, seen.get if ints else {})
+
+
 def preprocess(raw_data: DataFrame, raw_labels: DataFrame, n: int = EPOCH_SAMPLES,
                unknown: str = "drop", strict: bool = False, with_key: bool = True,
                co_partition: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """The batch jobs a user submits, with a command line (query lifecycles A, B and C).
 
+    python -m sigframe.plans.jobs generate SAMPLES.csv ANNOTATIONS.csv OUT [--disjoint]
     python -m sigframe.plans.jobs preprocess DATA.csv LABELS.csv OUT [--n 3000] [--format csv|parquet]
     python -m sigframe.plans.jobs preprocess-text DATA.csv LABELS.csv OUT [--n 3000] [--lexicographic]
     python -m sigframe.plans.jobs train PREPROCESSED OUT [--n 3000] [--format csv|parquet]
@@ -18,14 +19,18 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigframe.operators import evaluate as V
 from sigframe.operators import model as M
 from sigframe.operators.epochs import assemble_epochs
+from sigframe.operators.intervals import recording_tables
 from sigframe.operators.prep import label_stages, pair_join, preprocess, tumbling_epoch
 from sigframe.operators.scale import scale_channels
 from sigframe.operators.split import holdout_split
-from sigframe.schemas import EPOCH_SAMPLES, PREPROCESSED, RAW_DATA, RAW_LABELS
+from sigframe.operators.sweep import disjoint_annotations
+from sigframe.schemas import (ANNOTATIONS, CROP_MARGIN_S, EPOCH_SAMPLES, EPOCH_SECONDS, N_CLASSES, PREPROCESSED,
+                              RAW_CHANNELS, RAW_DATA, RAW_DROPPED, RAW_LABELS)
 from sigframe.session import checkpoint_dir
 from sigframe.sources.csv import read_csv, read_text_split, write_csv, write_text
 from sigframe.sources.persist import persisted
@@ -86,17 +91,18 @@ def text_preprocess_job(spark: SparkSession, data_path: str, labels_path: str, o
     condition), given a class id, sorted and written as delimited text without a
     header. Sorting is by (patient, numeric timestep) unless ``lexicographic``
     asks for the string key order (P_1, P_10, P_2). The epoch id is appended
-    unless ``with_epoch`` is False. Returns the written rows as a DataFrame."""
+    unless ``with_epoch`` is False. Returns the written rows, read from the files."""
     data = read_text_split(spark, data_path, sep)
     labels = read_text_split(spark, labels_path, sep)
     # raw sample columns: patient, timestep, time, c1, c2, c3, c4; labels: patient, timestep, time, condition
-    key = F.concat_ws("_", F.element_at("fields", 1), F.element_at("fields", 2))
+    # Joined on both fields: as one text, recording A_1 at 2 and recording A at 1_2 are the same.
+    key = F.struct(F.element_at("fields", 1).alias("patient"), F.element_at("fields", 2).alias("timestep"))
     left = data.select(key.alias("key"), F.col("fields").alias("values"))
     right = labels.select(key.alias("key"), F.array(F.element_at("fields", 4)).alias("values"))
     joined = pair_join(left, right)
     v = F.col("values")
     rows = joined.select(
-        "key", F.element_at(v, 1).alias("patient"), F.expr("try_cast(element_at(values, 2) AS INT)").alias("timestep"),
+        F.concat_ws("_", "key.patient", "key.timestep").alias("key"), F.element_at(v, 1).alias("patient"), F.expr("try_cast(element_at(values, 2) AS INT)").alias("timestep"),
         *[F.expr(f"try_cast(element_at(values, {i}) AS FLOAT)").alias(c)
           for i, c in ((4, "fpzcz"), (5, "pzoz"), (6, "horizontal"))],
         F.element_at(v, 8).alias("condition"))
@@ -105,20 +111,33 @@ def text_preprocess_job(spark: SparkSession, data_path: str, labels_path: str, o
         rows = tumbling_epoch(rows, n)
     order = ["key"] if lexicographic else ["patient", "timestep"]
     cols = ["key", "timestep", "fpzcz", "pzoz", "horizontal", "condition", "label"] + (["epoch"] if with_epoch else [])
-    out = rows.select(*cols).orderBy(*order)
-    write_text(out, out_path, cols, sep)
-    return out
+    write_text(rows.orderBy(*order), out_path, cols, sep)
+    types = {"timestep": "int", "fpzcz": "float", "pzoz": "float", "horizontal": "float", "label": "int", "epoch": "bigint"}
+    written = read_text_split(spark, out_path, sep, drop_header=False)
+    return written.select(*[F.get("fields", F.lit(i)).try_cast(types.get(c, "string")).alias(c) for i, c in enumerate(cols)])
 
 
 def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int = EPOCH_SAMPLES,
               fmt: str = "csv", k_holdout: int = 8, seed: int = 42, unit: str = "person",
               scaler_mode: str = "scale_only", scope: str = "train", label_rule: str = "mean",
-              max_iter: int = 100, estimator: str = "logistic") -> dict:
+              max_iter: int = 100, estimator: str = "logistic", k_validation: int = 0, rounds: int = 0) -> dict:
     """Preprocessed table -> model and evaluation tables under ``out_path``.
-    Returns {split: accuracy}."""
+    Returns {split: accuracy}.
+
+    ``k_validation`` holds out that many more persons (or recordings) as split 'val'. With
+    ``rounds`` a perceptron is trained in rounds of ``max_iter`` that are kept under
+    ``out_path``/rounds, so a job that was stopped goes on there; the model is that of the
+    round with the smallest validation loss (of the last round without a validation side),
+    and the curve is written to ``learning_curve``. ``timeline`` holds the true and predicted
+    stage of every epoch of the held-out recordings, numbered by recording.
+    """
     rows = read_preprocessed(spark, preprocessed_path, fmt)
     train_rows, test_rows = holdout_split(rows, k_holdout, seed, unit=unit)
-    train_rows, test_rows = scale_channels(train_rows, [test_rows], mode=scaler_mode, scope=scope)
+    held = {"test": test_rows}
+    if k_validation:
+        train_rows, held["val"] = holdout_split(train_rows, k_validation, seed + 1, unit=unit)
+    train_rows, *scaled = scale_channels(train_rows, list(held.values()), mode=scaler_mode, scope=scope)
+    held = dict(zip(held, scaled))
     label = "label_mean" if label_rule == "mean" else "label_first"
 
     def epochs(df, split):
@@ -131,11 +150,19 @@ def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int
     # a lost executor never re-runs the join and the grouping.
     checkpoint_dir(spark)
     ep_train = epochs(train_rows, "train").checkpoint(eager=True)
-    ep_test = epochs(test_rows, "test").checkpoint(eager=True)
+    ep_held = {name: epochs(df, name).checkpoint(eager=True) for name, df in held.items()}
     n_features = 3 * n
-    model = M.fit(ep_train, M.make_estimator(estimator, n_features=n_features, max_iter=max_iter, seed=seed))
+    if rounds:
+        path = f"{out_path}/rounds"
+        curve = M.train_rounds(ep_train, ep_held, path, n_features, N_CLASSES, rounds, max_iter, seed=seed)
+        _write(curve.orderBy("round", "split"), f"{out_path}/learning_curve", fmt)
+        model = M.load_round(path, M.best_round(curve) if k_validation else rounds - 1)
+    else:
+        model = M.fit(ep_train, M.make_estimator(estimator, n_features=n_features, max_iter=max_iter, seed=seed))
     model.write().overwrite().save(f"{out_path}/model")
-    both = ep_train.unionByName(ep_test)
+    both = ep_train
+    for ep in ep_held.values():
+        both = both.unionByName(ep)
     preds = M.predict(model, both, keep=["split", "patient", "epoch", "label"])
     # One row per epoch: small next to the samples, and read by every report below.
     with persisted(preds) as p:
@@ -148,40 +175,78 @@ def train_job(spark: SparkSession, preprocessed_path: str, out_path: str, n: int
         _write(V.confusion_matrix(p, by=["split"]), f"{out_path}/confusion_matrix", fmt)
         _write(V.class_report(p.filter(F.col("split") == "test"), by=["patient"]),
                f"{out_path}/class_report_by_recording", fmt)
+        _write(V.stage_timeline(p.filter(F.col("split") == "test")), f"{out_path}/timeline", fmt)
         return {r["split"]: r["accuracy"] for r in acc.collect()}
 
 
+def generate_job(spark: SparkSession, samples_path: str, annotations_path: str, out_path: str,
+                 fmt: str = "csv", chunk: float = EPOCH_SECONDS, margin: float = CROP_MARGIN_S,
+                 disjoint: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Timed samples (patient, t in seconds, channels) and annotations (patient, onset, duration,
+    description) -> the raw tables of ``preprocess`` at ``out_path``/data and ``out_path``/labels:
+    annotations cropped to the night, cut into whole chunks and joined to the samples they
+    contain. ``disjoint`` makes overlapping annotations disjoint first
+    (``operators.sweep``); without it a sample has a row for every annotation that holds it.
+    Returns the written tables."""
+    channels = [*RAW_CHANNELS, *RAW_DROPPED]
+    timed = T.StructType([T.StructField("patient", T.StringType()), T.StructField("t", T.DoubleType()),
+                          *[T.StructField(c, T.FloatType()) for c in channels]])
+    ann = read_csv(spark, annotations_path, ANNOTATIONS)
+    if disjoint:
+        ann = disjoint_annotations(ann)
+    rows = recording_tables(read_csv(spark, samples_path, timed), ann, channels, chunk, margin)
+    _write(rows.drop("condition"), f"{out_path}/data", fmt)
+    _write(rows.drop(*channels), f"{out_path}/labels", fmt)
+    if fmt == "csv":
+        return read_csv(spark, f"{out_path}/data", RAW_DATA), read_csv(spark, f"{out_path}/labels", RAW_LABELS)
+    return spark.read.parquet(f"{out_path}/data"), spark.read.parquet(f"{out_path}/labels")
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="sigframe.plans.jobs")
     sub = ap.add_subparsers(dest="cmd", required=True)
-    pre = sub.add_parser("preprocess")
-    pre.add_argument("data")
-    pre.add_argument("labels")
-    pre.add_argument("out")
-    txt = sub.add_parser("preprocess-text")
-    txt.add_argument("data")
-    txt.add_argument("labels")
-    txt.add_argument("out")
+    commands = {name: sub.add_parser(name) for name in ("generate", "preprocess", "preprocess-text", "train")}
+    paths = {"generate": ("samples", "annotations"), "train": ("preprocessed",)}
+    for name, p in commands.items():
+        for arg in (*paths.get(name, ("data", "labels")), "out"):
+            p.add_argument(arg)
+        if name != "generate":
+            p.add_argument("--n", type=int, default=EPOCH_SAMPLES)
+        if name != "preprocess-text":
+            p.add_argument("--format", choices=["csv", "parquet"], default="csv")
+    gen, pre, txt, tr = commands.values()
+    gen.add_argument("--chunk", type=float, default=EPOCH_SECONDS)
+    gen.add_argument("--margin", type=float, default=CROP_MARGIN_S)
+    gen.add_argument("--disjoint", action="store_true")
+    for p in (pre, txt):
+        p.add_argument("--unknown", choices=["drop", "keep", "error"], default="drop")
+        p.add_argument("--sep", default=",")
+    pre.add_argument("--strict", action="store_true")
+    pre.add_argument("--single-file", action="store_true")
     txt.add_argument("--lexicographic", action="store_true")
-    tr = sub.add_parser("train")
-    tr.add_argument("preprocessed")
-    tr.add_argument("out")
+    txt.add_argument("--no-epoch", action="store_true")
     tr.add_argument("--holdout", type=int, default=8)
+    tr.add_argument("--validation", type=int, default=0)
     tr.add_argument("--seed", type=int, default=42)
-    for p in (pre, txt, tr):
-        p.add_argument("--n", type=int, default=EPOCH_SAMPLES)
-        if p is not txt:
-            p.add_argument("--format", choices=["csv", "parquet"], default="csv")
-    args = ap.parse_args(argv)
+    tr.add_argument("--unit", choices=["person", "recording"], default="person")
+    tr.add_argument("--scaler", choices=["scale_only", "zscore_pop"], default="scale_only")
+    tr.add_argument("--scope", choices=["train", "all"], default="train")
+    tr.add_argument("--label-rule", choices=["mean", "first"], default="mean")
+    tr.add_argument("--max-iter", type=int, default=100)
+    tr.add_argument("--estimator", choices=["logistic", "mlp"], default="logistic")
+    tr.add_argument("--rounds", type=int, default=0)
+    a = ap.parse_args(argv)
     from sigframe.session import get_session
     spark = get_session()
-    if args.cmd == "preprocess":
-        preprocess_job(spark, args.data, args.labels, args.out, n=args.n, fmt=args.format)
-    elif args.cmd == "preprocess-text":
-        text_preprocess_job(spark, args.data, args.labels, args.out, n=args.n, lexicographic=args.lexicographic)
+    if a.cmd == "generate":
+        generate_job(spark, a.samples, a.annotations, a.out, a.format, a.chunk, a.margin, a.disjoint)
+    elif a.cmd == "preprocess":
+        preprocess_job(spark, a.data, a.labels, a.out, a.n, a.format, a.unknown, a.strict, a.sep, a.single_file)
+    elif a.cmd == "preprocess-text":
+        text_preprocess_job(spark, a.data, a.labels, a.out, a.n, a.unknown, a.lexicographic, not a.no_epoch, a.sep)
     else:
-        print(train_job(spark, args.preprocessed, args.out, n=args.n, fmt=args.format,
-                        k_holdout=args.holdout, seed=args.seed))
+        print(train_job(spark, a.preprocessed, a.out, a.n, a.format, a.holdout, a.seed, a.unit, a.scaler, a.scope,
+                        a.label_rule, a.max_iter, a.estimator, a.validation, a.rounds))
 
 
 if __name__ == "__main__":

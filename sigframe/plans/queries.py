@@ -21,6 +21,7 @@ from sigframe.functions.arrays import (
     argmax, channel_major_to_time_major, one_hot, relu_array, softmax, time_major_to_channel_major,
 )
 from sigframe.functions.keys import composite_key
+from sigframe.operators import array_features as AF
 from sigframe.operators import epochs as E
 from sigframe.operators import evaluate as V
 from sigframe.operators import features as SIG
@@ -30,11 +31,13 @@ from sigframe.operators import ordering as O
 from sigframe.operators import prep as P
 from sigframe.operators import scale as S
 from sigframe.operators import split as SP
+from sigframe.operators import sweep as SW
 from sigframe.plans import tables as TB
 from sigframe.plans.flagship import epoch_digest, epochs_from_raw
 from sigframe.plans.oracle import CHUNK_S, N, stage_case, with_views
-from sigframe.schemas import CHANNELS, RAW_DATA, RAW_LABELS, STAGE_MAP
+from sigframe.schemas import CHANNELS, RAW_CHANNELS, RAW_DATA, RAW_LABELS, STAGE_MAP
 from sigframe.session import scratch_path
+from sigframe.sources import bucketed as BK
 from sigframe.sources import catalog as CAT
 from sigframe.sources import csv as IO
 from sigframe.sources.persist import persisted
@@ -136,28 +139,29 @@ def q_csv_typed_scan(spark, d):
     return IO.read_csv(spark, path, RAW_LABELS, sep=";")
 
 
-@query("csv_infer_scan", with_views("""SELECT patient, timestep, "time", "EEG Fpz-Cz" AS fpzcz
-  FROM signals""", "signals"))
+@query("csv_infer_scan", with_views("""SELECT patient, timestep, "time", "EEG Fpz-Cz" AS fpzcz, "EEG Pz-Oz" AS pzoz,
+  "EOG horizontal" AS horizontal, "EMG submental" AS submental FROM signals""", "signals"))
 def q_csv_infer_scan(spark, d):
     """SRC-4: schema inferred from the file; numbers come back as int / double."""
     path = _scratch(spark, "csvinfer")
-    IO.write_csv(TB.signals_raw(spark, d).select("patient", "timestep", "time", "EEG Fpz-Cz"), path)
+    IO.write_csv(TB.signals_raw(spark, d), path)
     df = IO.read_csv_inferred(spark, path)
+    names = {"time": "time", **RAW_CHANNELS, "EMG submental": "submental"}
     return df.select("patient", F.col("timestep").cast("int").alias("timestep"),
-                     F.col("time").cast("float").alias("time"),
-                     F.col("`EEG Fpz-Cz`").cast("float").alias("fpzcz"))
+                     *[F.col(f"`{c}`").cast("float").alias(n) for c, n in names.items()])
 
 
-@query("text_split_scan", with_views("SELECT patient, timestep, condition FROM labels_raw WHERE condition IS NOT NULL",
-                                     "labels_raw"))
+@query("text_split_scan", with_views("""SELECT patient, timestep, "time", condition FROM labels_raw
+  WHERE condition IS NOT NULL""", "labels_raw"))
 def q_text_split_scan(spark, d):
     """SRC-3/FN-3: a CSV read as text lines, header lines dropped, split on ','."""
     path = _scratch(spark, "textsplit")
-    IO.write_csv(TB.labels_raw(spark, d).select("patient", "timestep", "condition"), path)
-    f = IO.read_text_split(spark, path, header_line="patient,timestep,condition")
+    IO.write_csv(TB.labels_raw(spark, d), path)
+    f = IO.read_text_split(spark, path)
     return f.select(F.element_at("fields", 1).alias("patient"),
                     F.element_at("fields", 2).cast("int").alias("timestep"),
-                    F.element_at("fields", 3).alias("condition"))
+                    F.element_at("fields", 3).cast("float").alias("time"),
+                    F.element_at("fields", 4).alias("condition"))
 
 
 @query("text_roundtrip", SAMPLES_SQL)
@@ -236,8 +240,11 @@ def _narrow_sql(c):
 def q_narrow_types(spark, d):
     """PRJ-9: integer columns to the smallest type holding their range, doubles to
     float; reported as (column, new type, min, max)."""
-    nt = P.narrow_types(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "value"))
-    cols = ["event_id", "user_id", "value"]
+    return _type_report(P.narrow_types(spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "value")))
+
+
+def _type_report(nt):
+    cols = nt.columns
     agg = nt.agg(*[F.first(F.expr(f"typeof({c})")).alias(f"t_{c}") for c in cols],
                  *[F.min(c).cast("double").alias(f"lo_{c}") for c in cols],
                  *[F.max(c).cast("double").alias(f"hi_{c}") for c in cols])
@@ -247,6 +254,13 @@ def q_narrow_types(spark, d):
     return agg.select(F.inline(rows))
 
 
+@query("narrow_types_stored", ORACLES["narrow_types"])
+def q_narrow_types_stored(spark, d):
+    """PRJ-9 with the ranges observed by the pass that stores the rows."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "value")
+    return _type_report(P.store_narrow(events, _scratch(spark, "narrow")))
+
+
 def _pair_inputs(spark, d):
     s = samples(spark, d).select(composite_key("patient", "timestep").alias("key"),
                                  F.array("fpzcz", "pzoz", "horizontal").alias("values"))
@@ -377,6 +391,38 @@ def q_interval_join_any(spark, d):
     return both.groupBy("patient", "event_id", "k").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("end").alias("last_end"))
 
 
+# Annotations stretched to two and a half times their length, so that most overlap the next ones.
+_SWEEP_CTES = """long AS (SELECT DISTINCT patient, onset, onset + duration * 2.5 AS "end", description FROM annotations WHERE onset < onset + duration * 2.5),
+pts AS (SELECT patient, onset AS t FROM long UNION SELECT patient, "end" FROM long),
+seg AS (SELECT *, lead(t) OVER (PARTITION BY patient ORDER BY t) AS u, row_number() OVER (PARTITION BY patient ORDER BY t) AS i FROM pts),
+won AS (SELECT * FROM (SELECT s.patient, s.t, s.u, s.i, l.onset, l."end", l.description, row_number() OVER (
+          PARTITION BY s.patient, s.t ORDER BY l.onset DESC, l."end", l.description DESC NULLS LAST) AS place
+        FROM seg s JOIN long l ON s.patient = l.patient AND s.t >= l.onset AND s.t < l."end" WHERE s.u IS NOT NULL) WHERE place = 1),
+runs AS (SELECT *, i - row_number() OVER (PARTITION BY patient, onset, "end", description ORDER BY i) AS run FROM won)"""
+
+
+def _long_annotations(spark, d):
+    return TB.annotations(spark, d).withColumn("duration", F.col("duration") * 2.5)
+
+
+@query("disjoint_intervals", with_views("""SELECT patient, min(t) AS onset, max(u) AS "end", onset AS of_start, "end" AS of_end, description
+  FROM runs GROUP BY patient, onset, "end", description, run""", "annotations", extra=_SWEEP_CTES))
+def q_disjoint_intervals(spark, d):
+    """WIN-2/JN-3 on overlapping annotations: the pieces that each of them owns."""
+    ann = _long_annotations(spark, d).select("patient", "onset", (F.col("onset") + F.col("duration")).alias("end"), "description")
+    return SW.disjoint_intervals(ann, longest=30 * 86400.0)
+
+
+@query("label_overlapping", with_views("""SELECT e.patient, e.event_id, w.description AS condition FROM event_times e
+  JOIN won w ON e.patient = w.patient AND e.t >= w.t AND e.t < w.u""", "event_times", "annotations", extra=_SWEEP_CTES))
+def q_label_overlapping(spark, d):
+    """JN-3 with overlapping annotations made disjoint first: a sample has one label."""
+    pieces = SW.disjoint_annotations(_long_annotations(spark, d), longest=30 * 86400.0)
+    iv = pieces.select("patient", F.col("onset").alias("start"), (F.col("onset") + F.col("duration")).alias("end"), F.col("description").alias("condition"))
+    both = IV.interval_join_any(TB.event_times(spark, d), iv, unit=60.0, longest=30 * 86400.0)
+    return both.select("patient", "event_id", "condition")
+
+
 @query("crop_recording", CROP_SQL)
 def q_crop_recording(spark, d):
     """FLT-7: annotations cropped to [2nd onset - 10 min, last wake onset + 10 min]."""
@@ -393,6 +439,20 @@ def q_label_join(spark, d):
         "patient", "timestep", "time", "fpzcz", "pzoz", "horizontal", "label")
 
 
+@query("bucketed_epochs", with_views("""SELECT patient, epoch, COUNT(*) AS n_samples, CAST(trunc(avg(label)) AS INTEGER) AS label_mean,
+  arg_min(label, timestep) AS label_first, arg_min(fpzcz, timestep) AS fpzcz_first, arg_max(horizontal, timestep) AS horizontal_last
+  FROM prep GROUP BY patient, epoch""", "prep"))
+def q_bucketed_epochs(spark, d):
+    """SNK-1 with JN-1 and AG-1: samples and labels stored in buckets of (patient, epoch), joined
+    and assembled without an exchange."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    smp, lab = BK.store_samples(samples(spark, d), P.label_stages(labels_typed(spark, d), "drop"),
+                                f"sigframe_{uuid.uuid4().hex}", _scratch(spark, "buckets"), buckets, N)
+    ep = E.assemble_epochs(BK.stored_label_join(smp, lab), order="timestep", n=N)
+    return ep.select("patient", "epoch", "n_samples", "label_mean", "label_first", F.element_at("fpzcz", 1).alias("fpzcz_first"),
+                     F.element_at("horizontal", -1).alias("horizontal_last"))
+
+
 @query("interval_join", with_views(f"""SELECT s.patient, s.event_id, s.t, c.chunk_onset, c.description AS condition
   FROM event_times s JOIN chunks c ON s.patient = c.patient AND s.t >= c.chunk_onset
   AND s.t < c.chunk_onset + {CHUNK_S}""", "event_times", "chunks"))
@@ -885,6 +945,31 @@ def q_strided_fir(spark, d):
     return out.select("patient", "epoch", "out_pos", *[r(c) for c in SIG_COLS])
 
 
+def _dense_epochs(spark, d):
+    rows = prep_rows(spark, d)
+    ep = E.assemble_epochs(rows, order="timestep", channels=["pos", *SIG_COLS], label_rule=None)
+    return AF.dense_channels(ep.drop("features"), SIG_COLS, N).select("patient", "epoch", *SIG_COLS)
+
+
+def _by_place(arrays, cols):
+    """One row per place of the arrays."""
+    return arrays.select("patient", "epoch", F.posexplode(F.arrays_zip(*cols)).alias("out_pos", "v")).select(
+        "patient", "epoch", "out_pos", *[F.col(f"v.{c}") for c in cols])
+
+
+@query("strided_max_arrays", ORACLES["strided_max"])
+def q_strided_max_arrays(spark, d):
+    """SIG-1 inside assembled epochs: no row is added and nothing is shuffled after AG-1."""
+    return _by_place(AF.array_strided_max(_dense_epochs(spark, d), SIG_COLS, POOL, N), SIG_COLS)
+
+
+@query("strided_fir_arrays", ORACLES["strided_fir"])
+def q_strided_fir_arrays(spark, d):
+    """SIG-2 inside assembled epochs."""
+    out = _by_place(AF.array_strided_fir(_dense_epochs(spark, d), SIG_COLS, FIR_TAPS, FIR_STRIDE, N), SIG_COLS)
+    return out.select("patient", "epoch", "out_pos", *[r(c) for c in SIG_COLS])
+
+
 @query("epoch_mean", with_views("""SELECT patient, epoch, round(avg(fpzcz), 6) AS fpzcz, round(avg(pzoz), 6) AS pzoz,
   round(avg(horizontal), 6) AS horizontal FROM prep GROUP BY 1, 2""", "prep"))
 def q_epoch_mean(spark, d):
@@ -990,3 +1075,57 @@ def q_ml_learning_curve(spark, d):
     falls = (F.col("split") == "val") | before.isNull() | (F.col("loss") <= before + 1e-9)
     numbers = F.col("accuracy").between(0, 1) & ~F.isnan("loss") & (F.col("loss") >= 0)
     return curve.select("round", "split", "n", _flag(falls).alias("not_worse"), _flag(numbers).alias("in_range"))
+
+
+# The classes of the table do not depend on its vectors. The one below does: the place of the
+# greatest of the first four entries, which a linear model can learn and one class cannot meet.
+LEARNED_SQL = f"""SELECT vec_id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS INTEGER) AS label,
+  CASE WHEN substr(md5(CAST(vec_id AS VARCHAR) || '{SEED}'), 1, 8) < 'cccccccd' THEN 'train' ELSE 'test' END AS side FROM embeddings"""
+
+
+def _learnable(spark, d):
+    e = TB.embeddings(spark, d).select("vec_id", argmax(F.slice("embedding", 1, 4)).cast("int").alias("label"),
+                                       array_to_vector("embedding").alias("vectors"))
+    return SP.tag_split(e, "vec_id", 0.2, SEED)
+
+
+@query("ml_learned", f"""SELECT side AS split, CAST(sum(n) AS BIGINT) AS n, round(max(n) / sum(n), 6) AS majority, 1 AS learned, count(*) AS classes_right
+  FROM (SELECT side, label, count(*) AS n FROM ({LEARNED_SQL}) GROUP BY side, label) GROUP BY side""")
+def q_ml_learned(spark, d):
+    """ML-1, ML-2, ML-4 on classes that follow from the vectors. ``learned``: the accuracy is at
+    least half way from the share of the commonest class to 1; ``classes_right``: the classes
+    of which the model predicts at least half. A model of one class fails both."""
+    rows = _learnable(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("logistic", max_iter=50, reg=0.01))
+    p = M.predict(model, rows, keep=["side", "label"])
+    by_class = p.groupBy("side", "label").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y_pred") == F.col("label")).cast("int")).alias("hits"))
+    share = F.max("n") / F.sum("n")
+    return by_class.groupBy(F.col("side").alias("split")).agg(
+        F.sum("n").alias("n"), F.round(share, 6).alias("majority"), _flag(F.sum("hits") / F.sum("n") >= (share + 1) / 2).alias("learned"),
+        F.sum((F.col("hits") * 2 >= F.col("n")).cast("int")).alias("classes_right"))
+
+
+@query("ml_predictions")
+def q_ml_predictions(spark, d):
+    """ML-3, ML-4: the fitted numbers themselves: each row's prediction, the probability of its
+    class and the accuracy of its side. Not expressible in SQL."""
+    rows = _learnable(spark, d)
+    model = M.fit(_train_side(rows), M.make_estimator("logistic", max_iter=50, reg=0.01))
+    p = M.predict(model, rows, keep=["vec_id", "side", "label"])
+    acc = V.accuracy(p, by=["side"]).select("side", "accuracy")  # a row a side
+    return p.join(F.broadcast(acc), "side").select("vec_id", "side", "label", "y_pred", r(F.element_at("probs", F.col("label") + 1)).alias("p_label"),
+                                                   r("accuracy"))
+
+
+@query("ml_resumed_rounds", f"""SELECT CAST(i AS INTEGER) AS round, split, n, 1 AS same FROM range(4) t(i), (
+  SELECT side AS split, count(*) AS n FROM ({LEARNED_SQL}) GROUP BY side)""")
+def q_ml_resumed_rounds(spark, d):
+    """ML-6/ML-7: training that is stopped after two rounds and goes on from the weights kept in
+    the shared folder, against training in one go: the same loss and accuracy in each round."""
+    rows = _learnable(spark, d)
+    train, test, path = _train_side(rows), {"test": rows.filter("side = 'test'")}, _scratch(spark, "rounds")
+    M.train_rounds(train, test, path, N_ML_FEATURES, 4, rounds=2)
+    again = M.train_rounds(train, test, path, N_ML_FEATURES, 4, rounds=4).alias("a")
+    whole = M.learning_curve_by_split(train, test, N_ML_FEATURES, 4, rounds=4).alias("w")
+    near = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"w.{c}")) < 1e-6
+    return again.join(whole, ["round", "split"], "full").select("round", "split", "a.n", _flag(near("loss") & near("accuracy")).alias("same"))
