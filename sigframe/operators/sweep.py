@@ -54,7 +54,9 @@ def disjoint_intervals(intervals: DataFrame, key: str = "patient", start: str =
 def disjoint_annotations(ann: DataFrame, key: str = "patient", unit: float = 60.0, longest: float | None = None) -> DataFrame:
     """Annotations (key, onset, duration, ...) of which no two overlap, by the rule of
     ``disjoint_intervals``; same columns. Give them to ``label_samples_by_chunks`` so that no
-    sample is labelled twice."""
+    sample is labelled twice. A piece is written as its length, so its end is exact where
+    the sums of onsets and durations are (whole seconds, binary fractions) and can differ in
+    the last bit elsewhere: join on the ends of ``disjoint_intervals`` there."""
     iv = ann.withColumn("_sf_end", F.col("onset") + F.col("duration")).drop("duration")
     parts = disjoint_intervals(iv, key, "onset", "_sf_end", unit, longest)
     return parts.withColumn("duration", F.col("_sf_end") - F.col("onset")).select(*ann.columns)

@@ -417,8 +417,8 @@ def q_disjoint_intervals(spark, d):
   JOIN won w ON e.patient = w.patient AND e.t >= w.t AND e.t < w.u""", "event_times", "annotations", extra=_SWEEP_CTES))
 def q_label_overlapping(spark, d):
     """JN-3 with overlapping annotations made disjoint first: a sample has one label."""
-    pieces = SW.disjoint_annotations(_long_annotations(spark, d), longest=30 * 86400.0)
-    iv = pieces.select("patient", F.col("onset").alias("start"), (F.col("onset") + F.col("duration")).alias("end"), F.col("description").alias("condition"))
+    ann = _long_annotations(spark, d).select("patient", "onset", (F.col("onset") + F.col("duration")).alias("end"), "description")
+    iv = SW.disjoint_intervals(ann, longest=30 * 86400.0).select("patient", F.col("onset").alias("start"), "end", F.col("description").alias("condition"))
     both = IV.interval_join_any(TB.event_times(spark, d), iv, unit=60.0, longest=30 * 86400.0)
     return both.select("patient", "event_id", "condition")
 
