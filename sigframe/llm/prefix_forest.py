@@ -26,6 +26,8 @@ BITS = 64
 TREES = 40
 SHARE = 1.0
 BLOCK = 8192
+# Keys over which the figures of a vector length are spread.
+SALTS = 256
 K = 20
 SEED = 5
 
@@ -103,10 +105,13 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, trees: int = TREES,
                                     F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("m"))
     size = size.select("dims", "top", F.ceil(F.col("n") / block).cast("long").alias("blocks"), F.greatest(F.lit(1), F.ceil(F.col("m") / block)).cast("long").alias("asked"))
     nothing = F.expr("cast(null as array<bigint>)")
-    dealt = entries.join(size, "dims").select(
+    # Most tables hold vectors of one length: its row of figures is copied to SALTS keys, so that no key holds all vectors.
+    size = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    entries, asks = entries.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")), asks.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int"))
+    dealt = entries.join(size, ["dims", "salt"]).select(
         "dims", "top", F.pmod(F.xxhash64("v"), "blocks").alias("block"), F.explode(F.expr("sequence(0L, asked - 1)")).alias("part"),
         "v", "ids", F.expr("cast(null as bigint)").alias("query_id"))
-    asked = asks.join(size, "dims").select(
+    asked = asks.join(size, ["dims", "salt"]).select(
         "dims", "top", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.pmod(F.xxhash64("vec_id"), "asked").alias("part"),
         "v", nothing.alias("ids"), F.col("vec_id").alias("query_id"))
 

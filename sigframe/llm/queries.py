@@ -86,4 +86,16 @@ QUERIES = {f.__name__: f for f in (
     op6_simhash_pivots, op7_fm_quality, op8_token_transducer, op9_piece_sampling, op10_prefix_forest, op11_prefix_trie,
     op12_ngram_join, op13_spectrum_whitening)}
 
-ORACLES: dict[str, str] = {}
+# Lines are told apart by their texts, and ties by id and line: ids are unique in the given tables.
+LINE_WINDOWS_SQL = """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+bare AS (SELECT doc_id, n, trim(regexp_replace(line, '[\\t\\r\\x0B\\f]', ' ', 'g'), ' ') AS x FROM lines),
+three AS (SELECT doc_id, n, x, lead(n) OVER w AS n1, lead(x) OVER w AS x1, lead(n, 2) OVER w AS n2, lead(x, 2) OVER w AS x2
+  FROM bare WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+later AS (SELECT doc_id, n, n1, n2 FROM (SELECT *, row_number() OVER (PARTITION BY x, x1, x2 ORDER BY doc_id, n) AS place FROM three WHERE n2 IS NOT NULL) WHERE place > 1),
+gone AS (SELECT doc_id, n FROM later UNION SELECT doc_id, n1 FROM later UNION SELECT doc_id, n2 FROM later),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.n) FILTER (WHERE g.n IS NULL) AS text, count(g.n) AS n_removed
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.n = g.n GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN k.n_removed > 0 THEN COALESCE(k.text, '') ELSE d.text END AS text, COALESCE(k.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id"""
+
+ORACLES: dict[str, str] = {"op3_line_windows": LINE_WINDOWS_SQL}

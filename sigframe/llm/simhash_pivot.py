@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import cut, fresh, text_slices
+from sigframe.llm.common import cut, fresh, spread_join, text_slices
 from sigframe.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -191,11 +191,11 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, n_pivots: int =
 
 
 def _rooted(docs: DataFrame, k: int, max_distance: int, hashed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints, (fp, least, root)): the smallest id of every fingerprint and its component's root."""
+    """(fingerprints, (fp, least, n, root)): the smallest id of every fingerprint, its rows and its component's root."""
     prints = cut(fingerprints(docs, k=k, hashed=hashed))
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = components(links(groups.select("fp"), max_distance))
-    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     return prints, cut(rooted)
 
 
@@ -208,9 +208,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int =
     fingerprint and so a component; an empty table gives no rows.
     """
     prints, rooted = _rooted(docs, k, max_distance, hashed=False)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    mapped = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(mapped, "fp").select("doc_id", "fp", "component_id")
+    named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")))
+    mapped = cut(spread_join(rooted.select("root", "fp", "n"), named, "root", "size").select("fp", "component_id", "n"))
+    return spread_join(prints.select("doc_id", "fp"), mapped, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def fingerprint_hex(column: str = "fp"):
@@ -234,12 +234,3 @@ def keep_components(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int =
     kept = keyed.join(leaders, (keyed["doc_id"] == leaders[lead]) & (keyed[th] == leaders[lead_th]), "left_semi")
     first = kept.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", th).orderBy("text"))).filter(F.col(nth) == 1).drop(nth, th)
     return first.unionByName(docs.filter(docs["doc_id"].isNull()))
-
-
-def keep_one(docs: DataFrame, k: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """``keep_components``, but one row per id (the smallest text), for callers to whom an id
-    is one document: other texts of that id are lost."""
-    kept = keep_components(docs, k, max_distance)
-    nth = fresh(docs, "__nth")
-    named = kept.filter(kept["doc_id"].isNotNull()).withColumn(nth, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return named.filter(F.col(nth) == 1).drop(nth).unionByName(docs.filter(docs["doc_id"].isNull()))

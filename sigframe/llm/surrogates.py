@@ -29,9 +29,8 @@ from sigframe.llm.common import cut, fresh, text_slices
 
 # Attempts beyond this lengthen names and mail addresses, whose formats can run out.
 LENGTHEN_AFTER = 6
+# Entities that still collide after so many become marks in brackets, 128 keyed bits that tell them apart.
 MAX_ATTEMPTS = 60
-# Changed surrogates up to this number are sent to all tasks; more are joined.
-MAX_SENT = 100_000
 ROUNDS = 6
 
 # Given names by script and gender.
@@ -46,17 +45,21 @@ GIVEN = {
 # Titles before a name.
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Herr Frau Señor Señora Sra Monsieur Madame Mme господин госпожа г-н г-жа κύριος κυρία".split()
 # Letters that replace one another, by script.
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿāēīōūăąęėįőűůœ", "çñðþćčďđěğłńňřśšşťţźżž",
+           "аеиоуыэюяё", "бвгджзйклмнпрстфхцчшщ", "іїєў", "ґђћљњџ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "άέήίόύώϊϋ")
 _RING = {c: ring for ring in LETTERS for c in ring}
 
-_CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωάέήίόύώ]+"
+_CAP = r"[A-ZÀ-ÖØ-ÞĀ-ſА-ЯЁІЇЄЎҐЂЋЉЊЏΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿā-ſа-яёіїєўґђћљњџα-ωάέήίόύώϊϋ]+"
 _GIVEN_OF = {name.lower(): group for group, names in GIVEN.items() for name in names}
 _FIRST = "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True))
 _TITLE = "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True))
 MAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 IPV4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
 CARD = re.compile(r"(?<![\d.])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\d.]?\d)")
-PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])")
+PHONE = re.compile(r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,5}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}(?P<sep>[-.])\d{3}(?P=sep)\d{4}(?![\w-]|\.\d)")
+SSN = re.compile(r"(?<![\w.-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-]|\.\d)")
+# Words before a full name whose given name is on no list.
+CONTEXT = re.compile(rf"(?<!\w)(?:[Mm]y name is|[Ss]igned by|Full name:|Name:) (?P<c1>{_CAP}) (?P<c2>{_CAP})(?!\w)")
 NAME = re.compile(rf"(?<!\w)(?:(?:{_TITLE})\.? (?:(?P<g1>{_FIRST}) )?(?P<s1>{_CAP})|(?P<g2>{_FIRST}) (?P<s2>{_CAP}))(?!\w)")
 _DIGIT = re.compile(r"\d")
 
@@ -79,6 +82,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         found += [(m.start(), m.end(), "ip", m[0]) for m in IPV4.finditer(text)]
         found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in CARD.finditer(text)]
         found += [(m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])) for m in PHONE.finditer(text)]
+        found += [(m.start(), m.end(), "ssn", re.sub(r"\D", "", m[0])) for m in SSN.finditer(text)]
     surnames = set()
     for m in NAME.finditer(text):
         for part in ("g1", "g2", "s1", "s2"):
@@ -87,6 +91,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((m.start(part), m.end(part), kind, m[part].lower()))
                 if kind == "surname":
                     surnames.add(m[part])
+    for m in CONTEXT.finditer(text):
+        for part in ("c1", "c2"):
+            kind = "given" if m[part].lower() in _GIVEN_OF else "surname"
+            found.append((m.start(part), m.end(part), kind, m[part].lower()))
+            if kind == "surname":
+                surnames.add(m[part])
     if surnames:
         again = "|".join(re.escape(s) for s in sorted(surnames, key=len, reverse=True))
         found += [(m.start(), m.end(), "surname", m[0].lower()) for m in re.finditer(rf"(?<!\w)(?:{again})(?!\w)", text)]
@@ -137,6 +147,8 @@ def _label(text: str) -> list[str]:
 
 def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
     """The surrogate of a normal form, itself a normal form of the same type."""
+    if attempt > MAX_ATTEMPTS:
+        return f"[{kind} {hmac.digest(key, f'{kind}|{normal}'.encode(), hashlib.sha256).hex()[:32]}]"
     tweak = f"{kind}|{attempt}"
     extra = max(0, attempt - LENGTHEN_AFTER)
     digits = "0123456789"
@@ -160,6 +172,12 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
         country = 1 if len(normal) == 11 and normal[0] == "1" else 0
         rings = [""] * country + ["23456789" if normal[country] in "23456789" else ""] + [digits] * (len(normal) - country - 1)
         return _format(normal, rings, key, tweak)
+    if kind == "ssn":  # the ranges that are never given out stay empty
+        area, group, serial = int(normal[:3]), int(normal[3:5]), int(normal[5:])
+        value = _permute((((area - 1 - (area > 666)) * 99) + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, tweak)
+        rest, serial = divmod(value, 9999)
+        area, group = divmod(rest, 99)
+        return f"{area + 1 + (area >= 665):03d}{group + 1:02d}{serial + 1:04d}"
     if kind == "given":
         names = [n.lower() for n in GIVEN[_GIVEN_OF[normal]]]
         ring = sorted(names, key=lambda n: hmac.digest(key, n.encode(), hashlib.sha256))
@@ -170,7 +188,9 @@ def surrogate(kind: str, normal: str, key: bytes, attempt: int = 0) -> str:
 
 def written(kind: str, mention: str, new: str) -> str:
     """``new`` as ``mention`` is written: its punctuation, its letter case."""
-    if kind in ("phone", "card"):
+    if new.startswith("["):
+        return new
+    if kind in ("phone", "card", "ssn"):
         digits = iter(new)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if mention.isupper() and len(mention) > 1:
@@ -191,16 +211,26 @@ def replaced(text: str, key: bytes, changed: dict[tuple[str, str], str]) -> tupl
     return "".join(out) + text[at:], spans
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(type, normal) of all detected entities, each once."""
+def mentions(docs: DataFrame) -> DataFrame:
+    """(th, type, normal): the entities of every distinct text, each once; ``th`` is the SHA-256 of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in text_slices(batch.column(0)):
-                own = sorted({(kind, normal) for t in texts for _, _, kind, normal in detect(t)})
+            for first, texts in text_slices(batch.column(1)):
+                hashes = batch.column(0).slice(first, len(texts)).to_pylist()
+                own = sorted({(h, k, n) for h, t in zip(hashes, texts) for _, _, k, n in detect(t)})
                 if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own]), pa.array([n for _, n in own])], ["type", "normal"])
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in own], pa.string()) for i in range(3)], ["th", "type", "normal"])
+
+    return docs.select(_text_hash().alias("th"), "text").mapInArrow(run, "th string, type string, normal string").distinct()
 
-    return docs.select("text").mapInArrow(run, "type string, normal string").distinct()
+
+def _text_hash():
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(type, normal) of all detected entities, each once."""
+    return mentions(docs).select("type", "normal").distinct()
 
 
 def _drawn(pending: DataFrame, key: bytes) -> DataFrame:
@@ -215,10 +245,14 @@ def _drawn(pending: DataFrame, key: bytes) -> DataFrame:
 def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
     """(type, normal, attempt, new) of all entities, without collisions: no ``new`` is an
     entity of the table and no two are equal within a type. Given names permute within
-    their list and are not drawn again, since every name of the list may be an entity."""
-    known = cut(entities(docs))
+    their list and are not drawn again, since every name of the list may be an entity. An
+    entity without a free surrogate gets a mark in brackets (``MAX_ATTEMPTS``)."""
+    return _surrogates(cut(entities(docs)), key)
+
+
+def _surrogates(known: DataFrame, key: bytes) -> DataFrame:
     drawn = cut(_drawn(known.withColumn("attempt", F.lit(0)), key))
-    for _ in range(MAX_ATTEMPTS):
+    while True:  # ends: marks are distinct, and no entity looks like one
         originals = known.select(F.col("type").alias("t"), F.col("normal").alias("n"))
         taken = drawn.join(originals, (drawn["type"] == originals["t"]) & (drawn["new"] == originals["n"]), "left")
         nth = F.row_number().over(Window.partitionBy("type", "new").orderBy("attempt", "normal"))
@@ -228,7 +262,6 @@ def surrogate_table(docs: DataFrame, key: bytes) -> DataFrame:
             return judged.drop("again")
         redo = _drawn(judged.filter("again").select("type", "normal", (F.col("attempt") + 1).alias("attempt")), key)
         drawn = cut(judged.filter("not again").drop("again").unionByName(redo))
-    raise RuntimeError("some entities have no free surrogate left")
 
 
 def pseudonymised(docs: DataFrame, key: bytes, spans: str = "spans") -> DataFrame:
@@ -236,15 +269,13 @@ def pseudonymised(docs: DataFrame, key: bytes, spans: str = "spans") -> DataFram
     ``type:start:end`` (code points of the old text) named ``spans``. A null text stays
     null with an empty array; lengths change only where an address or a name does, and
     ``n_chars`` is left as it is."""
-    changed = surrogate_table(docs, key).filter("attempt > 0").select("type", "normal", "new")
+    found = cut(mentions(docs))
+    changed = _surrogates(cut(found.select("type", "normal").distinct()), key).filter("attempt > 0").select("type", "normal", "new")
     columns = list(docs.columns)
-    extra = fresh(docs, "__changed")
-    if changed.limit(MAX_SENT + 1).count() <= MAX_SENT:
-        sent = docs.sparkSession.sparkContext.broadcast({(r["type"], r["normal"]): r["new"] for r in changed.collect()})
-        full = docs.select("*", F.expr("cast(null as array<struct<type:string,normal:string,new:string>>)").alias(extra))
-    else:
-        sent = None
-        full = _with_changes(docs, changed, extra)
+    extra, th = fresh(docs, "__changed"), fresh(docs, "__th")
+    # the changed surrogates of a text's own entities go to its rows; a text has one row of them
+    own = found.join(changed, ["type", "normal"]).groupBy(F.col("th").alias(th)).agg(F.collect_list(F.struct("type", "normal", "new")).alias(extra))
+    full = docs.withColumn(th, _text_hash()).join(cut(own), th, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,7 +283,7 @@ def pseudonymised(docs: DataFrame, key: bytes, spans: str = "spans") -> DataFram
             for first, texts in text_slices(batch.column(0)):
                 own = batch.column(1).slice(first, len(texts)).to_pylist()
                 for text, own_changes in zip(texts, own):
-                    table = sent.value if sent else {(c["type"], c["normal"]): c["new"] for c in own_changes or ()}
+                    table = {(c["type"], c["normal"]): c["new"] for c in own_changes or ()}
                     t, s = replaced(text, key, table)
                     new.append(t)
                     where.append(s)
@@ -264,19 +295,3 @@ def pseudonymised(docs: DataFrame, key: bytes, spans: str = "spans") -> DataFram
     done = full.select("text", extra, F.struct(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) if c == "text" else F.col(c) for c in columns]).alias("row"))
     done = done.mapInArrow(run, schema)
     return done.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], F.col("spans").alias(spans))
-
-
-def _with_changes(docs: DataFrame, changed: DataFrame, extra: str) -> DataFrame:
-    """Every document with the changed surrogates of its own entities, by joins."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in text_slices(batch.column(1)):
-                hashes = batch.column(0).slice(first, len(texts)).to_pylist()
-                own = [(h, k, n) for h, t in zip(hashes, texts) for k, n in {(k, n) for _, _, k, n in detect(t)}]
-                yield pa.RecordBatch.from_pydict({"th": pa.array([o[0] for o in own], pa.string()), "type": pa.array([o[1] for o in own], pa.string()), "normal": pa.array([o[2] for o in own], pa.string())})
-
-    th = F.sha2(F.coalesce("text", F.lit("")), 256)
-    mentions = docs.select(th.alias("th"), "text").mapInArrow(run, "th string, type string, normal string").distinct()
-    hash_name = fresh(docs, "__th")
-    own = mentions.join(changed, ["type", "normal"]).groupBy("th").agg(F.collect_list(F.struct("type", "normal", "new")).alias(extra)).withColumnRenamed("th", hash_name)
-    return docs.withColumn(hash_name, th).join(own, hash_name, "left").drop(hash_name)

@@ -76,16 +76,49 @@ def test_surrogates(docs, empty):
     assert len({(r["type"], r["new"]) for r in table}) == len(table)
 
 
-def test_surrogate_collisions_are_drawn_again(spark, monkeypatch):
+def test_surrogate_collisions_are_drawn_again(spark):
     # three-letter names with one vowel each: a small format in which many are taken
     names = sorted({a + b + c for a in "bcd" for b in "aeiou" for c in "bcdfg"})
     docs = spark.createDataFrame([(i, f"Mr {n.title()} was here") for i, n in enumerate(names)], "doc_id long, text string")
     table = surrogates.surrogate_table(docs, b"other").collect()
     assert len(table) == len(names) and len({r["new"] for r in table}) == len(names)
     assert not {r["new"] for r in table} & set(names)
-    sent = sorted(map(str, surrogates.pseudonymised(docs, b"other").collect()))
-    monkeypatch.setattr(surrogates, "MAX_SENT", 0)
-    assert sorted(map(str, surrogates.pseudonymised(docs, b"other").collect())) == sent
+    new = {(r["normal"]): r["new"] for r in table}
+    done = surrogates.pseudonymised(docs, b"other").collect()
+    assert {r["doc_id"]: r["text"] for r in done} == {i: f"Mr {new[n].title()} was here" for i, n in enumerate(names)}
+
+
+def test_pseudonymised_equals_brute_force(spark, docs):
+    """Every entity of every text by the table of all entities, copies and shared names included."""
+    names = sorted({a + b + c for a in "bcd" for b in "aeiou" for c in "bcdfg"})
+    more = [(100 + i, f"Dr. {n.title()} wrote to Mrs. {names[-1 - i].title()}, 555-010-{i:04d}", "en", 1) for i, n in enumerate(names)]
+    both = docs.select("doc_id", "text", "lang", "n_chars").unionByName(spark.createDataFrame(more + more[:3], SCHEMA))
+    new = {(r["type"], r["normal"]): r["new"] for r in surrogates.surrogate_table(both, b"key").collect()}
+    want = []
+    for r in both.collect():
+        out, at = [], 0
+        for start, end, kind, normal in surrogates.detect(r["text"] or ""):
+            out += [(r["text"])[at:start], surrogates.written(kind, r["text"][start:end], new[kind, normal])]
+            at = end
+        want.append((r["doc_id"], None if r["text"] is None else "".join(out) + r["text"][at:]))
+    got = [(r["doc_id"], r["text"]) for r in surrogates.pseudonymised(both, b"key").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_kinds_and_letters_of_entities():
+    text = "My name is Olivia Brown, SSN 123-45-6789, 555.123.4567. Mr. Müller, Señora Łoś. Brown left."
+    kinds = [(k, n) for _, _, k, n in surrogates.detect(text)]
+    assert kinds == [("surname", "olivia"), ("surname", "brown"), ("ssn", "123456789"), ("phone", "5551234567"), ("surname", "müller"), ("surname", "łoś"), ("surname", "brown")]
+    assert surrogates.detect("version 1.555.123.4567, 000-12-3456, 123-00-4567, 123-45-67890, my name is not") == []
+    for name in ("öä", "łoś", "müller", "јовић", "ólafur"):
+        new = surrogates.surrogate("surname", name, b"k")
+        assert new != name and len(new) == len(name)
+        assert [a.isascii() for a in new] == [a.isascii() for a in name]
+    numbers = [f"{a:03d}{g:02d}{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 9999)]
+    new = [surrogates.surrogate("ssn", n, b"k") for n in numbers]
+    assert len(set(new)) == len(numbers) and all(surrogates.SSN.fullmatch(f"{n[:3]}-{n[3:5]}-{n[5:]}") for n in new)
+    mark = surrogates.surrogate("card", "4111111111111111", b"k", surrogates.MAX_ATTEMPTS + 1)
+    assert re.fullmatch(r"\[card [0-9a-f]{32}\]", surrogates.written("card", "4111-1111-1111-1111", mark))
 
 
 def test_permutation_is_one_to_one():
@@ -207,8 +240,6 @@ def test_simhash(docs, empty):
     got = simhash_pivot.near_duplicates(docs).collect()
     assert sorted((str(r["doc_id"]), r["fp"] % (1 << 64)) for r in got) == sorted((str(r[0]), brute_print(r[1])) for r in ROWS)
     assert simhash_pivot.near_duplicates(empty).collect() == []
-    kept = simhash_pivot.keep_one(docs).collect()
-    assert len({r["doc_id"] for r in kept}) == len(kept) and set(kept[0].asDict()) == set(docs.columns)
 
 
 def test_every_component_keeps_one_document(spark):
@@ -422,6 +453,18 @@ def test_pieces_follow_their_weights():
     assert [piece_sampling.decode(x.tolist(), PIECES) for x in piece_sampling.sample(odd, np.arange(len(odd)).astype(np.uint64), PIECES)] == odd
 
 
+def test_line_windows_equal_their_sql(spark):
+    import duckdb
+    from sigframe.llm import queries
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    cur = con.execute(queries.LINE_WINDOWS_SQL)
+    names = [c[0] for c in cur.description]
+    got = queries.op3_line_windows(spark, sf).select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(cur.fetchall()) and any(r["n_removed"] for r in got)
+
+
 def test_forest(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(900, 12))
