@@ -4,11 +4,13 @@
    where a new word begins. Text is dealt into chunks; each chunk's map from entry
    state to exit state is computed for all chunks at once, the maps are composed by
    a prefix scan, and a last pass with known entry states emits the word starts.
-2. The counter: a transducer over the bytes of a word, determinised as it is used.
-   A state stands for the BPE encoding of a prefix and keeps its last token; a
-   transition carries the change in emitted tokens. The last token after a byte is
-   the one vocabulary suffix that may follow the last token before it, where two
-   tokens may stand side by side if BPE leaves their joined bytes as these two.
+2. The counter: a transducer over the bytes of a word. A prefix of a word matters for what
+   follows only by its open suffixes, those that a longer token can begin with, and for
+   each of them the token that stands before it and the tokens emitted since. That list is
+   the state, so prefixes that agree in it are one state, and there are finitely many. A
+   transition carries the change in emitted tokens. States are compiled when first met.
+   Long words are cut into chunks; a chunk's map from entry state to (exit state, tokens)
+   is known for the entries met so far, and maps of neighbours are composed in a tree.
 """
 
 from __future__ import annotations
@@ -28,11 +30,19 @@ from pyspark.sql import functions as F
 from sigframe.llm.common import text_slices
 
 CHUNK_CHARS = 64
-# States and counted words kept by a worker; beyond this it starts anew.
-MAX_STATES = 450_000
+# Bytes of a word's chunk.
+CHUNK_BYTES = 128
+# States, transitions and counted words kept by a worker; beyond this it starts anew.
+MAX_STATES = 200_000
 MAX_WORDS = 300_000
 MAX_WORD_CHARS = 64
 NEVER = 1 << 60
+# A token before an open suffix counts by the tokens it lets follow where these are so few.
+FEW_TOKENS = 8
+# Bits of a count, and of a token, in a packed entry of a state; a count is stored with ZERO added.
+COUNT_BITS, TOKEN_BITS = 12, 17
+COUNT_MASK, TOKEN_MASK = (1 << COUNT_BITS) - 1, (1 << TOKEN_BITS) - 1
+ZERO = 1 << COUNT_BITS - 1
 
 # Unicode white space.
 WHITE_SPACE = (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -127,6 +137,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+# The state before a word: the empty suffix, no token before it.
+BEGIN = (ZERO,)
+
+
 class TokenCounter:
     """The compiled transducers of one tokenizer file."""
 
@@ -141,21 +155,44 @@ class TokenCounter:
         self.spelled = {i: t for t, i in self.ids.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.merges = {(self.ids[spell(a)], self.ids[spell(b)]): (rank, self.ids[spell(a + b)]) for rank, (a, b) in enumerate(pairs)}
-        # sizes that a token ending in these three bytes can have, longest first
-        tails: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            if len(token) >= 3:
-                tails.setdefault(token[-3:], {1, 2}).add(len(token))
-        self.sizes = {tail: tuple(sorted(sizes, reverse=True)) for tail, sizes in tails.items()}
+        self._spell_out()
         self.beside: dict[int, bool] = {}
         self.halves = {to: (rank, *pair) for pair, (rank, to) in self.merges.items()}
         self.spines: dict[int, list[tuple[int, int]]] = {}
         self.whole: dict[int, bool] = {}
         self._restart()
 
+    def _spell_out(self) -> None:
+        """The vocabulary as a trie; node 0 is the empty string."""
+        if max(map(len, self.ids)) > ZERO // 2 or max(self.ids.values()) + 1 > TOKEN_MASK:
+            raise ValueError("a token is too long, or the vocabulary too large, for a packed state")
+        self.child: dict[int, int] = {}
+        paths, self.token, self.below = {}, [-1], [0]
+        for token, number in self.ids.items():
+            node, path = 0, []
+            for byte in token:
+                path.append(node)
+                node = self.child.setdefault(node << 8 | byte, len(self.token))
+                if node == len(self.token):
+                    self.token.append(-1)
+                    self.below.append(0)
+            self.token[node] = number
+            for above in path:
+                self.below[above] += 1
+            paths[number] = path
+        # tokens that begin with a node's string and are longer, where there are few
+        self.longer: dict[int, list[int]] = {}
+        for number, path in paths.items():
+            for node in path:
+                if self.below[node] <= FEW_TOKENS:
+                    self.longer.setdefault(node, []).append(number)
+
     def _restart(self) -> None:
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
         self.step: dict[int, int] = {}
-        self.emitted, self.last = [0], [-1]
+        self.alike: dict[int, int] = {}
+        self.standing: dict[tuple[int, int], int] = {}
         self.words: dict[str, int] = {}
 
     def encode(self, word: bytes) -> list[int]:
@@ -223,28 +260,101 @@ class TokenCounter:
             else:
                 j += 1
 
-    def _transition(self, path: list[int], word: bytes, end: int) -> int:
-        """The state after word[:end]: path holds the states of all shorter prefixes."""
-        for size in self.sizes.get(word[max(0, end - 3):end], (2, 1)):
-            token = self.ids.get(word[end - size:end]) if size <= end else None
-            if token is not None and self._follows(self.last[path[end - size]], token):
-                self.emitted.append(self.emitted[path[end - size]] + 1)
-                self.last.append(token)
-                return len(self.last) - 1
-        raise ValueError("a byte is missing from the vocabulary")
-
-    def count_word(self, word: bytes) -> int:
-        if len(self.last) > MAX_STATES:
-            self.step, self.emitted, self.last = {}, [0], [-1]
-        state, path, step = 0, [0], self.step
-        for i, byte in enumerate(word):
-            key = state << 8 | byte
-            to = step.get(key)
-            if to is None:
-                to = step[key] = self._transition(path, word, i + 1)
-            path.append(to)
-            state = to
-        return self.emitted[state]
+    def _before(self, node: int, token: int) -> int:
+        """A token that lets the same tokens follow at ``node`` as ``token`` does; -2: none follows."""
+        if self.below[node] > FEW_TOKENS:
+            return token
+        key = node << TOKEN_BITS | (token + 1)
+        known = self.alike.get(key)
+        if known is None:
+            mask = sum(1 << i for i, b in enumerate(self.longer[node]) if self._follows(token, b))
+            known = self.alike[key] = self.standing.setdefault((node, mask), token) if mask else -2
+        return known
+
+    def _number(self, state: tuple[int, ...]) -> int:
+        number = self.numbers.get(state)
+        if number is None:
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return number
+
+    def _transition(self, state: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """The state after one more byte and the change in emitted tokens.
+
+        An entry is (node of the open suffix, token before it, tokens emitted since), longest
+        suffix first; the last one is the empty suffix."""
+        last, change, still = -1, 0, []
+        for entry in state:
+            node = self.child.get((entry >> COUNT_BITS + TOKEN_BITS) << 8 | byte)
+            if node is None:
+                continue
+            before, since = (entry >> COUNT_BITS & TOKEN_MASK) - 1, (entry & COUNT_MASK) - ZERO
+            if last < 0 and self.token[node] >= 0 and self._follows(before, self.token[node]):
+                last, change = self.token[node], 1 - since
+            if self.below[node]:
+                still.append((node, before, since))
+        if last < 0:
+            raise ValueError("a byte is missing from the vocabulary")
+        out = []
+        for node, before, since in still:
+            alike = self._before(node, before)
+            if alike > -2:
+                out.append((node << TOKEN_BITS | (alike + 1)) << COUNT_BITS | (since + change + ZERO))
+        out.append((last + 1) << COUNT_BITS | ZERO)
+        return tuple(out), change
+
+    def _run(self, entry: tuple[int, ...], chunk: bytes) -> tuple[tuple[int, ...], int]:
+        """(exit state, change in emitted tokens) of a chunk for one entry state."""
+        if len(self.states) > MAX_STATES or len(self.step) > 2 * MAX_STATES or len(self.alike) > 2 * MAX_STATES:
+            words = self.words
+            self._restart()
+            self.words = words
+        at, total, step = self._number(entry), 0, self.step
+        for byte in chunk:
+            key = at << 8 | byte
+            found = step.get(key)
+            if found is None:
+                state, change = self._transition(self.states[at], byte)
+                found = step[key] = self._number(state) << COUNT_BITS | (change + ZERO)
+            at = found >> COUNT_BITS
+            total += (found & COUNT_MASK) - ZERO
+        return self.states[at], total
+
+    def _through(self, chunks: list[bytes], maps: list[dict], first: int, last: int, entry: tuple[int, ...]):
+        """(exit state, change) of the chunks first to last - 1 for an entry; what is missing
+        in their maps is added."""
+        total = 0
+        for i in range(first, last):
+            found = maps[i].get(entry)
+            if found is None:
+                found = maps[i][entry] = self._run(entry, chunks[i])
+            entry, total = found[0], total + found[1]
+        return entry, total
+
+    def count_word(self, word: bytes, size: int = CHUNK_BYTES) -> int:
+        if len(word) <= size:
+            return self._run(BEGIN, word)[1]
+        chunks = [word[i:i + size] for i in range(0, len(word), size)]
+        # Every chunk's map from the begin of a word, and from the state in which the chunk
+        # before it, begun so, ends: states soon agree whatever came before.
+        maps: list[dict] = [{BEGIN: self._run(BEGIN, c)} for c in chunks]
+        for i in range(1, len(chunks)):
+            entry = maps[i - 1][BEGIN][0]
+            if entry not in maps[i]:
+                maps[i][entry] = self._run(entry, chunks[i])
+        spans = [(i, i + 1, dict(m)) for i, m in enumerate(maps)]
+        while len(spans) > 1:  # neighbours' maps become one
+            joined = []
+            for (a, b, left), (_, c, right) in zip(spans[::2], spans[1::2]):
+                out = {}
+                for entry, (exit_state, n) in left.items():
+                    if exit_state not in right:
+                        right[exit_state] = self._through(chunks, maps, b, c, exit_state)
+                    end, more = right[exit_state]
+                    out[entry] = (end, n + more)
+                joined.append((a, c, out))
+            spans = joined + spans[len(joined) * 2:]
+        return spans[0][2][BEGIN][1]
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text; the tokenizer's special strings count as one each."""

@@ -518,3 +518,27 @@ def test_pipeline_stages_keep_columns_of_odd_rows(spark, docs):
         assert now.columns == docs.columns, name
         now = spark.createDataFrame(now.collect(), now.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, now, d).count() == now.count()
+
+
+def test_token_states_are_merged_and_chunks_compose():
+    import random
+    library, rng = Tokenizer.from_file(BPE), random.Random(9)
+    counter = token_transducer.TokenCounter(BPE)
+    words = ["".join(rng.choice(letters) for _ in range(rng.choice([127, 128, 129, 900, 4000]))) for letters in ("ab", "ingtheor", "=-", "é中😀ß", "abcdefghijklmnopqrstuvwxyz") for _ in range(4)]
+    assert counter.count(words).tolist() == [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    for word in ("ab" * 900, "ingtheor" * 300, words[6]):
+        counts = {counter.count_word(word.encode(), size) for size in (1, 2, 7, 128, 10 ** 9)}
+        assert len(counts) == 1
+    # the machine is finite: a longer word of the same kind needs no further state
+    fresh = token_transducer.TokenCounter(BPE)
+    fresh.count_word(b"abc" * 100)
+    known = len(fresh.states)
+    fresh.count_word(b"abc" * 20000)
+    assert len(fresh.states) == known < 100
+
+
+def test_token_counter_starts_anew(monkeypatch):
+    library = Tokenizer.from_file(BPE)
+    monkeypatch.setattr(token_transducer, "MAX_STATES", 50)
+    texts = [r[1] or "" for r in ROWS] + ["thequickbrownfoxjumpsoverthelazydog" * 40]
+    assert token_transducer.TokenCounter(BPE).count(texts).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
