@@ -30,6 +30,19 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def one_each(rows: DataFrame, *values: str) -> DataFrame:
+    """One row per (doc_id, th: hash of the text) with the columns ``values``, which follow from
+    the text, and ``copies``, the number of such rows. This keys rows by what they hold, so a
+    task that runs again gives them the same keys; copies are counted before the shuffle."""
+    return rows.groupBy("doc_id", "th").agg(*[F.first(v).alias(v) for v in values], F.count(F.lit(1)).alias("copies"))
+
+
+def every_copy(rows: DataFrame) -> DataFrame:
+    """``copies`` rows of each row."""
+    kept = [c for c in rows.columns if c != "copies"]
+    return rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

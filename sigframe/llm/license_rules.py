@@ -15,7 +15,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import let
+from sigframe.llm.common import every_copy, let, one_each
 
 # The phrases whose places are counted, with their labels.
 BASE_PHRASES = (
@@ -90,20 +90,92 @@ FORMS = (
 )
 # Label, words of the license's own text, keyword. They come before the forms.
 BODIES = (
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby"),
     ("mit", r"to permit persons to whom the software is furnished to do so subject to the following conditions", "furnished"),
+    ("mit", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software", "substantial"),
     ("mit-0", r"to permit persons to whom the software is furnished to do so the software is provided as is", "furnished"),
+    ("x11", r"except as contained in this notice the names? of(?: the)?(?: [^ ]+){1,4} shall not be used in advertising or otherwise to promote the sale", "advertising"),
     ("isc", r"permission to use copy modify(?: and)?(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that", "hereby"),
     ("0bsd", r"permission to use copy modify(?: and)?(?: or)? distribute this software for any purpose with or without fee is hereby granted the software", "hereby"),
+    ("hpnd", r"permission to use copy modify(?: and)? distribute(?: and sell)? this software and its documentation for any purpose(?: is hereby granted)? without fee", "documentation"),
     ("bsd-4", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"),
     ("bsd-3", r"neither the names? of(?: [^ ]+){1,8} nor the names? of(?: [^ ]+){1,4} may be used to endorse or promote products derived", "endorse"),
     ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
+    ("bsd", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions"),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "redistributions"),
+    ("apache", r"you may not use this file except in compliance with the license", "compliance"),
     ("apache", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed"),
+    ("apache", r"see the license for the specific language governing permissions and limitations under the license", "governing"),
+    ("apache", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license", "irrevocable"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "foundation"),
+    ("gpl", r"is free software you can redistribute it and or modify it under the terms of the gnu general public license", "redistribute"),
+    ("gpl", r"you should have received a copy of the gnu general public license(?: along with)?", "have received"),
+    ("gpl", r"the licenses for most software(?: and other practical works)? are designed to take away your freedom to share and change", "freedom"),
+    ("gpl", r"the gnu general public license is a free copyleft license for software and other kinds of works", "copyleft"),
+    ("gpl", r"activities other than copying distribution and modification are not covered by this license they are outside its scope", "activities"),
+    ("lgpl", r"(?:is free software )?you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", "redistribute"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license(?: along with)?", "have received"),
+    ("lgpl", r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3", "incorporates"),
+    ("lgpl", r"a program that contains no derivative of any portion of the library but is designed to work with the library", "derivative"),
+    ("agpl", r"(?:is free software )?you can redistribute it and or modify it under the terms of the gnu affero general public license", "redistribute"),
+    ("agpl", r"you should have received a copy of the gnu affero general public license(?: along with)?", "have received"),
+    ("agpl", r"all users interacting with it remotely through a computer network", "remotely"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "documentation"),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant"),
+    ("gpl-exception", r"as a special exception(?: to the gnu (?:lesser )?general public license)?(?: [^ ]+){1,8} (?:give|gives|grant|grants) you(?: additional)? permission to", "exception"),
+    ("gpl-exception", r"linking this library statically or dynamically with other modules is making a combined work based on this library", "statically"),
+    ("gpl-exception", r"gcc runtime library exception(?: version 3 1)?", "exception"),
+    ("gpl-exception", r"permission to link the code of (?:portions of )?this (?:program|library) with the openssl library", "openssl"),
+    ("gpl-exception", r"gpl(?: v?[23](?: 0)?)?(?: only| or later)? with (?:classpath|autoconf|bison|font|gcc|linux syscall)(?: [^ ]+){0,2} (?:exception|note)", "gpl"),
+    ("apache-exception", r"apache(?: license)?(?: v(?:ersion )?)?(?: ?2 0)? with llvm exceptions?", "llvm"),
+    ("mpl", r"this source code form is subject to the terms of the mozilla public license", "mozilla"),
+    ("mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at", "mpl"),
+    ("mpl", r"the contents of this file are subject to the mozilla public license version 1 [01]", "mozilla"),
+    ("mpl", r"this source code form is incompatible with secondary licenses", "incompatible"),
+    ("epl", r"this program and the accompanying materials are made available under the terms of the eclipse (?:public|distribution) license", "eclipse"),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public license", "eclipse"),
+    ("cpl", r"the accompanying program is provided under the terms of this common public license", "accompanying"),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution license", "development"),
+    ("cddl", r"when distributing covered (?:code|software) include this cddl header notice in each file", "cddl"),
+    ("eupl", r"this european union public licen[cs]e the eupl applies to the work", "eupl"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "intent of this document"),
+    ("artistic", r"this license establishes the terms under which a given free software package may be copied modified distributed", "establishes"),
     ("zlib", r"provided as is without any express or implied warranty in no event will the authors be held liable", "liable"),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
+    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented"),
     ("boost", r"free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "licen"),
+    ("python", r"psf hereby grants licensee a nonexclusive royalty free world ?wide license to reproduce", "psf"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl"),
+    ("openssl", r"this product includes cryptographic software written by(?: [^ ]+){1,3}", "cryptographic"),
     ("ofl", r"permission is hereby granted free of charge to any person obtaining a copy of the font software", "hereby"),
+    ("ofl", r"the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects", "ofl"),
+    ("ofl", r"no modified version of the font software may use the reserved font names?", "reserved"),
+    ("ms-pl", r"a contributor is any person that distributes its contribution under this license licensed patents are a contributor s patent claims", "contributor"),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "compiled"),
     ("wtfpl", r"you just do what the fuck you want to", "fuck"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", "verbatim"),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer"),
     ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "dedicated"),
+    ("cc0", r"overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright", "affirmer"),
+    ("cc0", r"to the extent possible under law(?: [^ ]+){1,8} (?:has|have) waived all copyright and related or neighbou?ring rights", "waived"),
+    ("cc-by", r"you are free to share copy and redistribute the material in any medium or format", "redistribute"),
+    ("cc-by", r"you must give appropriate credit provide a link to the license and indicate if changes were made", "appropriate"),
+    ("cc-by-sa", r"if you remix transform or build upon the material you must distribute your contributions under the same license as the original", "remix"),
+    ("cc-by-nc", r"you may not use the material for commercial purposes", "material for commercial"),
+    ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", "remix"),
+    ("odbl", r"made available under the open database license", "open database"),
+    ("odbl", r"any rights in individual contents of the database are licensed under the database contents license", "database contents"),
+    ("json", r"the software shall be used for good not evil", "evil"),
+    ("bsl-1.1", r"use limitation the licensor may make an additional use grant|business source license 1 1", "limitation the licensor|business source"),
+    ("sspl", r"server side public license(?: version 1)?", "server side public"),
+    ("elastic", r"elastic license(?: v(?:ersion )?)?(?: ?2 0)?", "elastic license"),
+    ("dual", r"(?:is |are )?(?:dual|double|triple|multi) licen[sc]ed(?: under)?", "licen"),
+    ("dual", r"licen[sc]ed under either of(?: the)?", "licen"),
+    ("dual", r"(?:under|of) either the(?: [^ ]+){1,8} licen[sc]e(?: [^ ]+){0,4} or the(?: [^ ]+){1,6} licen[sc]e(?: at your option)?", "licen"),
+    ("public-domain", r"(?:has been|is hereby|have been) (?:placed|released|dedicated) (?:in|into|to) the public domain", "domain"),
+    ("proprietary", r"unauthori[sz]ed copying of this file via any medium is strictly prohibited", "unauthori"),
+    ("proprietary", r"this (?:software|file|source code|document) is (?:the )?(?:confidential and )?proprietary(?: and confidential)?(?: (?:information|property) of)?", "proprietary"),
 )
 BODY_CONFIDENCE = 0.9
 # Label, a name that means a license by itself with a version that it has, keyword.
@@ -126,9 +198,10 @@ VERSIONED_CONFIDENCE = 0.55
 # Most words a detection can have: the longest form around the longest name, the longest body.
 MAX_WORDS = 32
 
-# Texts without any of these hold no base phrase and nothing that a rule finds.
+# Texts without any of these hold no base phrase and nothing that a rule finds; of a keyword of
+# several words the longest, as signs or line ends can stand between words.
 GATE = ("licen", "cc", "spdx", "dedicated", "released", "distributed", "published", "available", "placed",
-        *dict.fromkeys(k for _, _, k in BODIES), *(k for k in ("gpl", "mpl", "epl", "eupl", "cddl", "ofl", "odbl")))
+        *dict.fromkeys(max(k.split(" "), key=len) for _, _, ks in BODIES for k in ks.split("|")), *(k for k in ("gpl", "mpl", "epl", "eupl", "cddl", "ofl", "odbl")))
 
 
 def rules() -> list[dict]:
@@ -171,22 +244,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spans = F.when(gate, let(joined, lambda w: F.flatten(F.transform(
         F.filter(listed, lambda r: F.exists(r["kw"], lambda k: F.contains(w, k))), lambda r: _spans(w, r)))))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .select("doc_id", F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), spans.alias("spans"),
-                    F.monotonically_increasing_id().alias("rid"))
-            .select("rid", "doc_id", "n_words", F.explode_outer("spans").alias("s")))
+            .select("doc_id", F.md5("text").alias("th"), F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), spans.alias("spans")))
+    rows = one_each(rows, "n_words", "spans").select("doc_id", "th", "copies", "n_words", F.explode_outer("spans").alias("s"))
     # A detection's container starts at most MAX_WORDS before it.
-    near = Window.partitionBy("rid").orderBy("start").rangeBetween(-MAX_WORDS, 0)
-    flat = rows.select("rid", "doc_id", "n_words", F.col("s.start").alias("start"), "s")
+    near = Window.partitionBy("doc_id", "th").orderBy("start").rangeBetween(-MAX_WORDS, 0)
+    flat = rows.select("doc_id", "th", "copies", "n_words", F.col("s.start").alias("start"), "s")
     around = F.collect_set(F.when(~F.col("s.base"), F.struct("s.end", "s.prio", "s.id", "s.start"))).over(near)
     beaten = F.exists("around", lambda t: (t["end"] >= F.col("s.end")) & (t["start"] <= F.col("s.start")) & (
         (t["prio"] < F.col("s.prio")) | ((t["prio"] == F.col("s.prio")) & (t["id"] < F.col("s.id")))))
-    judged = flat.withColumn("around", around).select("rid", "doc_id", "n_words", "s", (~F.col("s.base") & ~beaten).alias("kept"))
-    return judged.groupBy("rid").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+    judged = flat.withColumn("around", around).select("doc_id", "th", "copies", "n_words", "s", (~F.col("s.base") & ~beaten).alias("kept"))
+    return every_copy(judged.groupBy("doc_id", "th").agg(
+        F.first("copies").alias("copies"), F.first("n_words").alias("n_words"),
         F.sort_array(F.collect_list(F.when(F.col("s.base"), F.struct("s.start", "s.label")))).alias("base"),
         F.sort_array(F.collect_list(F.when(F.col("kept"), F.struct(
             "s.start", "s.end", "s.label", F.col("s.id").alias("rule"), F.col("s.conf").alias("confidence"))))).alias("detections"),
-    ).drop("rid")
+    )).drop("th")
 
 
 def digest(found: DataFrame) -> DataFrame:

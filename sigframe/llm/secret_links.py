@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigframe.llm.common import let
+from sigframe.llm.common import every_copy, one_each
 
 # Characters between the starts of two spans that can be parts of one credential.
 SCOPE = 240
@@ -72,21 +72,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     found = F.element_at(F.transform(F.array(F.struct(F.col("text").alias("t"), F.lower("text").alias("l"))), lambda x: F.concat(
         *[F.coalesce(_pieces(i, k, x["t"], x["l"]), F.expr(NO_PIECES)) for i, k in enumerate(kinds)])), 1)
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-            .select(F.monotonically_increasing_id().alias("rid"), "doc_id", found.alias("found"))
-            .select("rid", "doc_id", F.explode_outer("found").alias("x")).select("rid", "doc_id", "x.*"))
+            .select("doc_id", F.md5("text").alias("th"), found.alias("found")))
+    # grouped by (doc_id, th), so that the windows and the last grouping need no other exchange
+    rows = one_each(rows, "found").select("doc_id", "th", "copies", F.explode_outer("found").alias("x")).select("doc_id", "th", "copies", "x.*")
     # The place of a match is what precedes it in its kind, gaps and matches.
-    before = Window.partitionBy("rid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_id", "th", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     least = F.element_at(F.array(*[F.lit(k[3]) for k in kinds]), F.col("kind") + 1)
     role = F.element_at(F.array(*[F.lit(k[4]) for k in kinds]), F.col("kind") + 1)
     name = F.element_at(F.array(*[F.lit(k[0]) for k in kinds]), F.col("kind") + 1)
-    # keyed by rid alone, so that the later windows and the grouping need no other exchange
-    placed = (rows.repartition("rid").withColumn("end", F.sum(F.col("gap") + F.col("width")).over(before))
-              .select("rid", "doc_id", "kind", (F.col("end") - F.col("width")).alias("start"), "end",
+    placed = (rows.withColumn("end", F.sum(F.col("gap") + F.col("width")).over(before))
+              .select("doc_id", "th", "copies", "kind", (F.col("end") - F.col("width")).alias("start"), "end",
                       F.when(F.col("counted") >= least, role).alias("role"), name.alias("name")))
     part = lambda r: F.when(F.col("role") == r, F.col("start"))
-    around = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, scope)
-    left = Window.partitionBy("rid").orderBy("start").rangeBetween(-scope, 0)
-    right = Window.partitionBy("rid").orderBy("start").rangeBetween(0, scope)
+    around = Window.partitionBy("doc_id", "th").orderBy("start").rangeBetween(-scope, scope)
+    left = Window.partitionBy("doc_id", "th").orderBy("start").rangeBetween(-scope, 0)
+    right = Window.partitionBy("doc_id", "th").orderBy("start").rangeBetween(0, scope)
     linked = placed.select(
         "*",
         *[F.count(part(r)).over(around).alias(f"n_{r}") for r in ("identifier", "secret", "endpoint")],
@@ -102,7 +102,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     span = F.when(F.col("role").isNotNull() & (~weak | together), F.struct(
         "start", "kind", "end", F.col("name"), (~weak).alias("base"), near("identifier").alias("identifier"), near("endpoint").alias("endpoint")))
-    return linked.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("spans")).drop("rid")
+    return every_copy(linked.groupBy("doc_id", "th").agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(span)).alias("spans"))).drop("th")
 
 
 def digest(found: DataFrame) -> DataFrame:
