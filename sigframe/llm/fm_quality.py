@@ -45,8 +45,8 @@ _KIND[65:91], _KIND[97:123], _KIND[48:58], _KIND[128:] = 1, 2, 3, 6
 _KIND[list(b" \t\n\r\x0b\x0c")] = 5
 
 
-def describe(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, values, statistics) of one text; defined for the empty text too."""
+def measure(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(buckets, their counts, statistics) of one text; defined for the empty text too."""
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
     words = low.split()
@@ -56,9 +56,6 @@ def describe(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n_lines = max(1, len(lines))
     ids, counts = np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS, return_counts=True)
-    values = np.sqrt(counts)
-    if len(values):
-        values = values / np.sqrt(counts.sum())
     statistics = np.array([
         np.log1p(len(raw)), np.log1p(len(words)), sum(map(len, words)) / n_words, kinds[1] / n, kinds[3] / n, kinds[4] / n, kinds[6] / n, kinds[5] / n,
         len(set(words)) / n_words, sum(map(bytes.isupper, own)) / n_words,
@@ -66,7 +63,12 @@ def describe(text: str, stored: int | None) -> tuple[np.ndarray, np.ndarray, np.
         np.log1p(len(lines)), np.log1p(len(raw) / n_lines), 1 - len(set(lines)) / n_lines, sum(1 for x in lines if x.rstrip()[-1:] in b".!?") / n_lines,
         np.log1p(max(0, len(text) if stored is None else stored)),
     ])
-    return ids, values, statistics
+    return ids, counts, statistics
+
+
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Values of a text's buckets: sub-linear counts of unit length."""
+    return np.sqrt(counts) / np.sqrt(counts.sum()) if len(counts) else np.zeros(0)
 
 
 @dataclasses.dataclass
@@ -89,24 +91,24 @@ class Model:
         return float(self.w0 + self.w[at] @ x + 0.5 * (total @ total - (vx * vx).sum()))
 
     def score(self, text: str, stored: int | None) -> float:
-        return 1.0 / (1.0 + float(np.exp(-np.clip(self.margin(*self.features(*describe(text, stored))), -30, 30))))
+        ids, counts, statistics = measure(text, stored)
+        return 1.0 / (1.0 + float(np.exp(-np.clip(self.margin(*self.features(ids, scaled(counts), statistics)), -30, 30))))
 
 
 def untrained() -> Model:
     return Model(np.zeros((len(STATISTICS), BINS)), 0.0, np.zeros(N_FEATURES), np.zeros((N_FEATURES, FACTORS)))
 
 
-def fit(texts: list[str], stored: list[int | None], labels: np.ndarray, seed: int = 7) -> Model:
-    """AdaGrad on mini-batches, log loss. One class or no row at all gives a constant model."""
+def fit(measured: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
+    """Fit on the measures of the training texts: AdaGrad on mini-batches, log loss. One class or no row at all gives a constant model."""
     model = untrained()
     if not len(labels) or labels.min() == labels.max():
         model.w0 = float(np.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))) if len(labels) else 0.0
         return model
-    described = [describe(t, s) for t, s in zip(texts, stored)]
-    model.edges = np.quantile(np.array([d[2] for d in described]), np.arange(1, BINS + 1) / (BINS + 1), axis=0).T.copy()
+    model.edges = np.quantile(np.array([m[2] for m in measured]), np.arange(1, BINS + 1) / (BINS + 1), axis=0).T.copy()
     rng = np.random.default_rng(seed)
     model.v = rng.normal(0, 0.05, (N_FEATURES, FACTORS))
-    rows = [model.features(*d) for d in described]
+    rows = [model.features(ids, scaled(counts), statistics) for ids, counts, statistics in measured]
     g0, gw, gv = 1e-6, np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, FACTORS), 1e-6)
     dense = np.zeros((BATCH, N_FEATURES), np.float32)
     for _ in range(EPOCHS):
@@ -140,7 +142,18 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
 
     Of several labels of one id the mean decides (0.5 counts as 1); of several
     documents with one id the smallest text is taken. Null labels and ids are left out.
+    Texts are measured where they are; what the driver fetches of a row is at most
+    ``BUCKETS`` counts and the statistics, however long its text.
     """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored, found = batch.column("n_chars").to_pylist(), []
+            for first, texts in text_slices(batch.column("text")):
+                found += [measure(t, stored[first + i]) for i, t in enumerate(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("y"), *[pa.array([m[k] for m in found], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.float64()))]],
+                ["doc_id", "y", "ids", "counts", "statistics"])
+
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("double").alias("y"))
              .filter("doc_id is not null and y is not null").groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y")))
     known = known.filter(~held_out("doc_id"))
@@ -148,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     sample = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars")
             .join(F.broadcast(sample), "doc_id")  # at most max_rows rows
-            .groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "n_chars", "y")).alias("r")).select("doc_id", "r.*")).toArrow()
-    rows = rows.sort_by("doc_id")
-    return fit([t or "" for t in rows["text"].to_pylist()], rows["n_chars"].to_pylist(), np.array(rows["y"].to_pylist(), np.float64))
+            .groupBy("doc_id").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), F.col("n_chars").cast("long").alias("n_chars"), "y")).alias("r")).select("doc_id", "r.*")
+            .mapInArrow(run, "doc_id long, y int, ids array<int>, counts array<bigint>, statistics array<double>")).toArrow().sort_by("doc_id")
+    measured = list(zip(*[[np.asarray(x.values) for x in rows[c]] for c in ("ids", "counts", "statistics")]))
+    return fit(measured, rows["y"].to_numpy().astype(np.float64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
