@@ -18,6 +18,9 @@ from sigframe.operators.ordering import ordered_index
 from sigframe.operators.partitioning import on_full_key
 from sigframe.schemas import CROP_MARGIN_S, EPOCH_SECONDS, SFREQ
 
+# Tasks over which the annotations of one recording are dealt where they meet its crop bounds.
+SPREAD = 16
+
 
 def annotation_chunks(ann: DataFrame, chunk: float = EPOCH_SECONDS, onset: str = "onset",
                       duration: str = "duration") -> DataFrame:
@@ -142,22 +145,21 @@ def label_samples_by_chunks(samples: DataFrame, ann: DataFrame, chunk: float = E
 
 def annotation_landmarks(ann: DataFrame, key: str = "patient") -> DataFrame:
     """WIN-3 per recording: the second annotation, the last one and the one
-    before the last (ordered by onset, duration, description). Every task keeps two
-    rows per recording from either end before the shuffle. Recordings with one
-    annotation get NULL for the missing rows."""
+    before the last (ordered by onset, duration, description). The input is read once: every
+    row stands in an ascending and a descending order of its recording, and every task keeps
+    two rows of each before the shuffle. Recordings with one annotation get NULL for the
+    missing rows."""
     order = ["onset", "duration", "description"]
-    rows = ann.select(key, *order)
-    nth = lambda o: F.row_number().over(Window.partitionBy(key).orderBy(*o)).alias("_sf_nth")
-    at = lambda n, c: F.max(F.when(F.col("_sf_nth") == n, F.col(c)))
-    first = (rows.select("*", nth([F.col(c).asc_nulls_first() for c in order])).filter("_sf_nth <= 2")
-                 .groupBy(key).agg(at(2, "onset").alias("second_onset"),
-                                   at(2, "description").alias("second_description")))
-    last = (rows.select("*", nth([F.col(c).desc_nulls_last() for c in order])).filter("_sf_nth <= 2")
-                .groupBy(F.col(key).alias("_sf_key"))
-                .agg(at(1, "onset").alias("last_onset"), at(1, "description").alias("last_description"),
-                     at(2, "onset").alias("before_last_onset")))
-    # Joined, not united: adaptive plans of Spark 4.1 can fail above a union of two windows on one key.
-    return first.join(last, F.col(key).eqNullSafe(F.col("_sf_key"))).drop("_sf_key")
+    rows = ann.select(key, *order, F.explode(F.array(F.lit(False), F.lit(True))).alias("_sf_back"))
+    back = F.col("_sf_back")
+    both = [o for c in order for o in (F.when(~back, F.col(c)).asc_nulls_first(), F.when(back, F.col(c)).desc_nulls_last())]
+    ends = (rows.withColumn("_sf_nth", F.row_number().over(Window.partitionBy(key, "_sf_back").orderBy(*both)))
+                .filter("_sf_nth <= 2"))
+    at = lambda n, side, c: F.max(F.when((F.col("_sf_nth") == n) & side, F.col(c)))
+    return ends.groupBy(key).agg(
+        at(2, ~back, "onset").alias("second_onset"), at(2, ~back, "description").alias("second_description"),
+        at(1, back, "onset").alias("last_onset"), at(1, back, "description").alias("last_description"),
+        at(2, back, "onset").alias("before_last_onset"))
 
 
 def crop_bounds(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "patient",
@@ -177,8 +179,11 @@ def crop_annotations(ann: DataFrame, margin: float = CROP_MARGIN_S, key: str = "
     """FLT-7: keep annotations overlapping [crop_lo, crop_hi] and clip them to it
     (an annotation is kept when onset <= hi and onset + duration >= lo).
     Recordings with fewer than two annotations, or without a wake bound, vanish."""
-    bounds = crop_bounds(ann, margin, key, wake_suffix)
-    a = ann.join(bounds, key, "inner")
+    # A recording's annotations are dealt over SPREAD tasks, each with a copy of its bounds.
+    slot = F.pmod(F.xxhash64("onset", "duration", "description"), F.lit(SPREAD))
+    bounds = crop_bounds(ann, margin, key, wake_suffix).withColumn("_sf_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    a = (on_full_key(ann.withColumn("_sf_slot", slot), key, "_sf_slot")
+         .join(on_full_key(bounds, key, "_sf_slot"), [key, "_sf_slot"], "inner"))
     off = F.col("onset") + F.col("duration")
     kept = a.filter((F.col("onset") <= F.col("crop_hi")) & (off >= F.col("crop_lo")))
     new_onset = F.greatest(F.col("onset"), F.col("crop_lo"))

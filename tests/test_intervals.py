@@ -87,3 +87,20 @@ def test_epoch_seconds(spark):
     got = [(r["t_start"], r["t_end"]) for r in IV.epoch_seconds(df).orderBy(F.col("timestep").asc_nulls_last()).collect()]
     assert [got[0], got[2]] == [(0.0, 29.99), (None, None)]
     assert got[1][0] == 2.5 and abs(got[1][1] - 32.49) < 1e-9
+
+
+def test_landmarks_equal_brute_force(spark):
+    """Ends of every recording in one scan, with ties, nulls and recordings of one row."""
+    import random
+    rng = random.Random(6)
+    pick = lambda *x: rng.choice([None, *x])
+    rows = [(rng.choice(["P", "P", "P", "Q", "R"]), pick(0.0, 1.0, 2.0, 3.0), pick(5.0, 6.0), pick("W", "1")) for _ in range(60)]
+    rows += [("one", 4.0, 1.0, "W"), (None, 1.0, 1.0, "a"), (None, 2.0, 1.0, "b")]
+    got = IV.annotation_landmarks(spark.createDataFrame(rows, ANN).repartition(7)).collect()
+    order = lambda r: tuple((x is not None, x if x is not None else 0) for x in r[1:3]) + ((r[3] is not None, r[3] or ""),)
+    want = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=order)
+        second, before = (own[1], own[-2]) if len(own) > 1 else ([None] * 4,) * 2
+        want[key] = (second[1], second[3], own[-1][1], own[-1][3], before[1])
+    assert {r[0]: tuple(r)[1:] for r in got} == want

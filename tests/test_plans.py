@@ -6,6 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from sigframe.operators import intervals as IV
 from sigframe.operators import ordering
 from sigframe.operators.ordering import ordered_index, quantile_sketch
 from sigframe.operators.split import tag_split_exact
@@ -65,6 +66,17 @@ def test_positions_of_positions_do_not_multiply_scans(spark, no_broadcast):
     assert _plan(ordered_index(first, ["k"], ["i"], out="j", rows_per_bucket=400)).count("FileScan") == 2
 
 
+def test_annotation_ends_are_found_in_one_scan(spark, no_broadcast):
+    ann = _hot(spark).select(F.col("k").alias("patient"), F.col("event_id").cast("double").alias("onset"), F.lit(30.0).alias("duration"), F.lit("W").alias("description"))
+    plan = _plan(IV.annotation_landmarks(ann))
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "WindowGroupLimit" in plan
+    # annotations meet their bounds by (recording, slot), never by the recording alone
+    plan = _plan(IV.crop_annotations(ann))
+    assert plan.count("FileScan") == 2
+    joined = re.findall(r"Exchange hashpartitioning\((.+?), \d+\)", plan)
+    assert sum("_sf_slot" in x for x in joined) == 2, joined
+
+
 def test_exact_split_neither_sorts_nor_exchanges(spark):
     plan = _plan(tag_split_exact(_hot(spark), "event_id", 0.2, 42))
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan and plan.count("FileScan") == 1
