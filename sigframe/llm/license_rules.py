@@ -11,6 +11,7 @@ rule number) is suppressed.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -155,7 +156,7 @@ BODIES = (
     ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "compiled"),
     ("wtfpl", r"you just do what the fuck you want to", "fuck"),
     ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed", "verbatim"),
-    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", "beer"),
+    ("beerware", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", "this stuff is worth"),
     ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "dedicated"),
     ("cc0", r"overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright", "affirmer"),
     ("cc0", r"to the extent possible under law(?: [^ ]+){1,8} (?:has|have) waived all copyright and related or neighbou?ring rights", "waived"),
@@ -166,7 +167,7 @@ BODIES = (
     ("cc-by-nd", r"if you remix transform or build upon the material you may not distribute the modified material", "remix"),
     ("odbl", r"made available under the open database license", "open database"),
     ("odbl", r"any rights in individual contents of the database are licensed under the database contents license", "database contents"),
-    ("json", r"the software shall be used for good not evil", "evil"),
+    ("json", r"the software shall be used for good not evil", "good not evil"),
     ("bsl-1.1", r"use limitation the licensor may make an additional use grant|business source license 1 1", "limitation the licensor|business source"),
     ("sspl", r"server side public license(?: version 1)?", "server side public"),
     ("elastic", r"elastic license(?: v(?:ersion )?)?(?: ?2 0)?", "elastic license"),
@@ -198,10 +199,24 @@ VERSIONED_CONFIDENCE = 0.55
 # Most words a detection can have: the longest form around the longest name, the longest body.
 MAX_WORDS = 32
 
-# Texts without any of these hold no base phrase and nothing that a rule finds; of a keyword of
-# several words the longest, as signs or line ends can stand between words.
-GATE = ("licen", "cc", "spdx", "dedicated", "released", "distributed", "published", "available", "placed",
-        *dict.fromkeys(max(k.split(" "), key=len) for _, _, ks in BODIES for k in ks.split("|")), *(k for k in ("gpl", "mpl", "epl", "eupl", "cddl", "ofl", "odbl")))
+# Parts of words, at least one of which stands in most license texts.
+STEMS = ("licen", "software", "distribut", "copyright", "permi")
+
+
+def _gate_words(words: str, keyword: str) -> list[str]:
+    """Words of which a text that ``words`` matches holds one: a stem outside all groups, else the
+    longest word of each keyword (signs and line ends can stand between words)."""
+    bare = words
+    while (fewer := re.sub(r"\(\?:[^()]*\)", " ", bare)) != bare:
+        bare = fewer
+    stem = next((x for x in STEMS if all(x in part for part in bare.split("|"))), None)
+    return [stem] if stem else [max(k.split(" "), key=len) for k in keyword.split("|")]
+
+
+# Texts without any of these hold no base phrase and nothing that a rule finds.
+GATE = tuple(dict.fromkeys((
+    "licen", "cc", "spdx", "dedicated", "released", "distribut", "published", "available", "placed",
+    "gpl", "mpl", "epl", "eupl", "cddl", "ofl", "odbl", *(w for _, words, keyword in BODIES for w in _gate_words(words, keyword)))))
 
 
 def rules() -> list[dict]:
@@ -217,7 +232,15 @@ def rules() -> list[dict]:
     return [r | {"id": i, "kw": r["kw"].split("|"), "re": f"(?<= )({r['re']})(?= )"} for i, r in enumerate(out)]
 
 
-RULE_TYPE = "array<struct<id:int,label:string,kw:array<string>,prio:int,conf:double,base:boolean,re:string>>"
+GROUP_TYPE = "array<struct<kw:array<string>,rules:array<struct<id:int,label:string,prio:int,conf:double,base:boolean,re:string>>>>"
+
+
+def _groups() -> list[dict]:
+    """Rules by their keywords, each of which is looked up once."""
+    out: dict[tuple, list] = {}
+    for r in rules():
+        out.setdefault(tuple(r["kw"]), []).append({k: v for k, v in r.items() if k != "kw"})
+    return [{"kw": list(kw), "rules": own} for kw, own in out.items()]
 
 
 def _spans(words: Column, rule: Column) -> Column:
@@ -237,12 +260,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     start, label) and detections (kept ones: start, end, label, rule, confidence), both
     sorted by place. A null text counts as empty: no words, empty arrays. Repeated rows
     each give a row; ids may be null."""
-    listed = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
+    listed = F.from_json(F.lit(json.dumps(_groups())), GROUP_TYPE)
     low = F.lower("text")
     gate = let(low, lambda t: F.exists(F.array(*[F.lit(k) for k in GATE]), lambda k: F.contains(t, k)))
     joined = F.concat(F.lit(" "), F.trim(F.regexp_replace(low, NOT_WORD + "+", " ")), F.lit(" "))
     spans = F.when(gate, let(joined, lambda w: F.flatten(F.transform(
-        F.filter(listed, lambda r: F.exists(r["kw"], lambda k: F.contains(w, k))), lambda r: _spans(w, r)))))
+        F.flatten(F.transform(F.filter(listed, lambda g: F.exists(g["kw"], lambda k: F.contains(w, k))), lambda g: g["rules"])), lambda r: _spans(w, r)))))
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
             .select("doc_id", F.md5("text").alias("th"), F.regexp_count("text", F.lit(RAW_WORD)).cast("long").alias("n_words"), spans.alias("spans")))
     rows = one_each(rows, "n_words", "spans").select("doc_id", "th", "copies", "n_words", F.explode_outer("spans").alias("s"))
