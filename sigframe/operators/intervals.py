@@ -82,15 +82,28 @@ def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient"
 
 
 FANOUT = 16
+# The smallest nodes of an interval in ``interval_join_any`` are at most so many times its length.
+GRAIN = 2.0
 
 
-def dyadic_cover(intervals: DataFrame, start: str, end: str, unit: float, levels: int, fanout: int = FANOUT) -> DataFrame:
+def dyadic_cover(intervals: DataFrame, start: str, end: str, unit: float, levels: int, fanout: int = FANOUT,
+                 grain: float | None = None) -> DataFrame:
     """One row per interval and node (``_sf_level``, ``_sf_node``) of a tree over time whose
     leaves are ``unit`` long and whose nodes have ``fanout`` children: the fewest nodes that
     cover [start, end), at most 2 (fanout - 1) a level, so their number grows with the
-    logarithm of the length. Empty intervals have none."""
+    logarithm of the length. Empty intervals have none.
+
+    With ``grain`` the ends of an interval are first rounded outwards to nodes of the highest
+    level whose nodes are at most ``grain`` times its length (leaves, if none is). It then has
+    at most fanout / grain + 2 nodes, more only if it is longer than the top level's, and they
+    reach past each end by less than ``grain`` times its length."""
     first = F.floor(F.col(start) / F.lit(unit))
     stop = F.ceil(F.col(end) / F.lit(unit))  # one past the last leaf
+    if grain is not None:
+        reach, step = (F.col(end) - F.col(start)) * F.lit(float(grain)), F.lit(1)
+        for level in range(1, levels):
+            step = F.when(reach >= F.lit(float(unit * fanout ** level)), F.lit(fanout ** level)).otherwise(step)
+        first, stop = F.floor(first / step) * step, F.ceil(stop / step) * step
     runs = []
     for level in range(levels):
         size, up = fanout ** level, fanout ** (level + 1)
@@ -115,7 +128,9 @@ def interval_join_any(samples: DataFrame, intervals: DataFrame, key: str = "pati
     recording that contains ``t``.
 
     Intervals are cut into the nodes of a tree over time (``dyadic_cover``), a sample is in
-    one node of each level, and both meet by (recording, level, node). ``longest`` is the
+    one node of each level, and both meet by (recording, level, node). Nodes are not much
+    shorter than their interval, which so has a few of them instead of some on every level;
+    samples that lie in its nodes beside it are told by the exact test. ``longest`` is the
     length of the longest interval (looked up if not given); it sets the levels, one for
     each power of ``FANOUT`` units. Intervals longer than it are still joined, in more nodes.
     """
@@ -124,7 +139,7 @@ def interval_join_any(samples: DataFrame, intervals: DataFrame, key: str = "pati
     levels = 1
     while unit * FANOUT ** levels <= longest:
         levels += 1
-    cover = dyadic_cover(intervals, start, end, unit, levels)
+    cover = dyadic_cover(intervals, start, end, unit, levels, grain=GRAIN)
     leaf = F.floor(F.col(t) / F.lit(unit))
     nodes = F.array(*[F.struct(F.lit(n).alias("_sf_level"), F.floor(leaf / F.lit(FANOUT ** n)).alias("_sf_node")) for n in range(levels)])
     placed = samples.select("*", F.inline(nodes))

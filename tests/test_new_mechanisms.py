@@ -69,3 +69,36 @@ def test_every_file_has_its_own_header(spark):
     got = read_text_split(spark, path + "/*", sep="|")
     assert sorted(r["fields"] for r in got.collect()) == [[""], ["1", "2", "3"], ["4", "5", "6"], ["a", "b", "c"], ["x", "y", "z"]]
     assert sorted(r["fields"] for r in read_text_split(spark, path + "/two", sep="|", drop_header=False).collect())[-1] == ["x", "y", "z"]
+
+
+@pytest.mark.parametrize("at", [12_345.5, -700.0, 0.0])
+def test_an_interval_of_the_join_has_few_nodes(spark, at):
+    lengths = [0.25, 1.0, 7.0, 30.0, 999.0, 3600.0, 86_400.0, 1e6, 1e7]
+    df = spark.createDataFrame([(n, at, at + n) for n in lengths], "n double, start double, end double")
+    size = F.pow(F.lit(IV.FANOUT), "_sf_level")
+    nodes = IV.dyadic_cover(df, "start", "end", 1.0, levels=7, grain=IV.GRAIN).groupBy("n").agg(
+        F.count("*").alias("nodes"), F.max(size).alias("longest"), F.sum(size).alias("leaves"),
+        F.min(F.col("_sf_node") * size).alias("lo"), F.max((F.col("_sf_node") + 1) * size).alias("hi"))
+    got = {r["n"]: r for r in nodes.collect()}
+    assert set(got) == set(lengths)
+    for n, r in got.items():
+        assert r["nodes"] <= IV.FANOUT / IV.GRAIN + 2
+        assert r["lo"] <= at and at + n <= r["hi"] and r["leaves"] == r["hi"] - r["lo"]  # without a gap or a node twice
+        assert r["longest"] <= max(1.0, IV.FANOUT * n)
+
+
+def test_the_join_moves_few_copies_of_its_intervals(spark):
+    iv = spark.range(200).select(F.lit("P").alias("patient"), "id", (F.col("id") * 977.3).alias("start"), (F.col("id") * 977.3 + 26_000.0).alias("end"))
+    points = spark.range(400).select(F.lit("P").alias("patient"), F.col("id").alias("s"), (F.col("id") * 531.7).alias("t"))
+    seen = []
+    cover = IV.dyadic_cover
+
+    def watched(*args, **named):
+        out = cover(*args, **named)
+        seen.append(out.count())
+        return out
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(IV, "dyadic_cover", watched)
+        got = IV.interval_join_any(points, iv, unit=60.0, longest=30 * 86400.0).select("s", "id").collect()
+    assert sorted(map(tuple, got)) == [(s, i) for s in range(400) for i in range(200) if i * 977.3 <= s * 531.7 < i * 977.3 + 26_000.0]
+    assert seen[0] <= 200 * 5
