@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from sigframe.session import scratch_path
 
-_B, _N, _OFF, _RN, _K, _T, _S = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key", "_sf_tuple", "_sf_splits"
+_B, _N, _OFF, _RN, _K, _T, _S, _H = "_sf_bucket", "_sf_n", "_sf_off", "_sf_rn", "_sf_key", "_sf_tuple", "_sf_splits", "_sf_hash"
 ROWS_PER_BUCKET = 2_000_000
 SAMPLES = 8
 SLOTS = 1 << 16
@@ -52,6 +52,14 @@ def _hashable(dt: T.DataType) -> bool:
     return not isinstance(dt, (T.MapType, T.VariantType))
 
 
+def _has_floats(dt: T.DataType) -> bool:
+    if isinstance(dt, T.ArrayType):
+        return _has_floats(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_has_floats(f.dataType) for f in dt.fields)
+    return isinstance(dt, (T.FloatType, T.DoubleType))
+
+
 def _splitters_below(splits, count: int, value):
     """How many of the ``count`` sorted ``splits`` are at most ``value`` (binary search)."""
     steps = [1 << b for b in range(count.bit_length() - 1, -1, -1)]
@@ -59,7 +67,8 @@ def _splitters_below(splits, count: int, value):
         (at + step <= count) & (F.get(splits, at + step - 1) <= value), at + step).otherwise(at))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once under the shared folder, and read from there."""
     path = scratch_path(df.sparkSession, f"sigframe-{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -76,10 +85,11 @@ def quantile_sketch(work: DataFrame, column: str, rows_per_bucket: int) -> DataF
     return kept.agg(ranked.alias(_S)).select(F.filter(_S, lambda x, i: (i + 1) % SAMPLES == 0).alias(_S))
 
 
-def _placed(work: DataFrame, splits: DataFrame, count: int) -> DataFrame:
-    """``work`` with the range of every row, dealt by (key, range)."""
+def _placed(work: DataFrame, splits: DataFrame, count: int, by: str = _K) -> DataFrame:
+    """``work`` with the range of every row, dealt by (``by``, range), without the row's tuple:
+    it repeats the row's columns and is made again behind the exchange."""
     ready = work.withColumn(_S, splits.scalar())  # no sub-query inside the search
-    return ready.withColumn(_B, _splitters_below(F.col(_S), count, F.col(_T))).drop(_S).repartition(_K, _B)
+    return ready.withColumn(_B, _splitters_below(F.col(_S), count, F.col(_T))).drop(_S, _T).repartition(by, _B)
 
 
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
@@ -99,9 +109,11 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
     own = [F.col(f"`{c}`") for c in df.columns]
     tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)] or [F.lit(0)])
     key = F.struct(*[F.col(f"`{k}`") for k in keys]) if keys else F.lit(0)
-    value = F.struct(key.alias("k"), *[_col(o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
-    work = df.select(*own, key.alias(_K), value.alias(_T))
-    splits = _stored(quantile_sketch(work, _T, rows_per_bucket), "splits")
+    # orders that are no column are kept, so that they are computed once
+    made = {f"_sf_o{i}": o for i, o in enumerate(order) if not isinstance(o, str)}
+    value = F.struct(F.col(_K).alias("k"), *[F.col(f"_sf_o{i}" if f"_sf_o{i}" in made else o).alias(f"o{i}") for i, o in enumerate(order)], tie.alias("tie"))
+    work = df.select(*own, *[o.alias(c) for c, o in made.items()], key.alias(_K)).withColumn(_T, value)
+    splits = stored(quantile_sketch(work, _T, rows_per_bucket), "splits")
     count = splits.select(F.size(_S)).first()[0]
     # struct order is that of the window: NULL fields first
     nth = F.col(_T).desc() if descending else F.col(_T).asc()
@@ -109,17 +121,26 @@ def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
         whole = Window.partitionBy(_K)
         return work.select(*own, (F.row_number().over(whole.orderBy(nth)) - F.lit(1)).cast("long").alias(out),
                            *([F.count(F.lit(1)).over(whole).alias(count_out)] if count_out else []))
-    here = Window.partitionBy(_K, _B)
-    local = _stored(_placed(work, splits, count).select(
+    # A window groups floating values by normalized ones and would exchange rows dealt by the
+    # values themselves once more: those are dealt by the key's hash, one of the window's groups.
+    dealt, by = work.drop(*keys), _K
+    if keys and _has_floats(df.select(*keys).schema):
+        dealt, by = dealt.withColumn(_H, F.xxhash64(_K)), _H
+    here = Window.partitionBy(*dict.fromkeys([by, _K]), _B)
+    # a row is exchanged with its key once
+    placed = _placed(dealt, splits, count, by).withColumns({k: F.col(_K)[k] for k in keys}).withColumn(_T, value)
+    local = stored(placed.select(
         *own, _B, F.row_number().over(here.orderBy(nth)).cast("long").alias(_RN),
         *([F.count(F.lit(1)).over(here).alias(_N)] if count_out else [])), "positions").withColumn(_K, key)
-    # at most two rows a range: its first and its last key, where they lie in other ranges too
+    # at most two rows a range: its first and its last key, where they lie in other ranges too;
+    # a border lies between any two ranges of a key, so such a key is that of a border
+    border_keys = splits.select(F.explode(_S).alias("_sf_border")).select(F.col("_sf_border.k").alias(_K)).distinct()
     of_key = Window.partitionBy(_K)
     before = of_key.orderBy(F.col(_B).desc() if descending else F.col(_B)).rowsBetween(Window.unboundedPreceding, -1)
-    counts = local.groupBy(_K, _B).agg(F.max(_RN).alias("_sf_rows"))
-    carry = _stored(counts.select(_K, _B, F.coalesce(F.sum("_sf_rows").over(before), F.lit(0)).alias(_OFF),
-                                  F.sum("_sf_rows").over(of_key).alias("_sf_total"), F.count(F.lit(1)).over(of_key).alias("_sf_ranges"))
-                    .filter("_sf_ranges > 1").select(_K, _B, _OFF, "_sf_total"), "carry")
+    counts = local.join(F.broadcast(border_keys), _K, "left_semi").groupBy(_K, _B).agg(F.max(_RN).alias("_sf_rows"))
+    carry = stored(counts.select(_K, _B, F.coalesce(F.sum("_sf_rows").over(before), F.lit(0)).alias(_OFF),
+                                 F.sum("_sf_rows").over(of_key).alias("_sf_total"), F.count(F.lit(1)).over(of_key).alias("_sf_ranges"))
+                   .filter("_sf_ranges > 1").select(_K, _B, _OFF, "_sf_total"), "carry")
     joined = local.join(F.broadcast(carry), [_K, _B], "left")
     position = F.col(_RN) - F.lit(1) + F.coalesce(_OFF, F.lit(0))
     return joined.select(*own, position.cast("long").alias(out), *([F.coalesce("_sf_total", _N).alias(count_out)] if count_out else []))

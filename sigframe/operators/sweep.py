@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigframe.operators.intervals import interval_join_any
-from sigframe.operators.ordering import ordered_index
+from sigframe.operators.ordering import ordered_index, stored
 from sigframe.operators.partitioning import on_full_key
 
 
@@ -29,20 +29,29 @@ def disjoint_intervals(intervals: DataFrame, key: str = "patient", start: str =
     Returns (key, start, end, of_start, of_end, other columns): ``of_start`` and ``of_end``
     are the ends of the interval that owns the piece. Other columns must be orderable.
 
-    Points are numbered by ``ordered_index``, so no recording is one task; the owner of a
-    stretch is a maximum over the intervals that the tree join finds at its start.
-    ``unit`` and ``longest`` are those of ``interval_join_any``.
+    Points are numbered by ``ordered_index``, so no recording is one task. Where intervals
+    start, the greatest of them owns the stretch; at a point where some only end, its owner
+    is a maximum over the intervals that the tree join finds there. Points and owners are
+    stored, as numbering reads its input twice. ``unit`` and ``longest`` are those of
+    ``interval_join_any``.
     """
     rest = [c for c in intervals.columns if c not in (key, start, end)]
     owner = F.struct(F.col(start).alias("of_start"), (-F.col(end)).alias("_sf_neg"), *[F.col(f"`{c}`") for c in rest])
     iv = (intervals.filter((F.col(start) < F.col(end)) & F.col(key).isNotNull())
                    .select(key, start, end, owner.alias("_sf_own")))
-    ends = F.explode(F.array(F.col(start).cast("double"), F.col(end).cast("double"))).alias("_sf_t")
-    points = ordered_index(iv.select(key, ends).distinct(), [key], ["_sf_t"], out="_sf_i")
+    # an interval with an end of NaN is in no node of the tree, and owns nothing
+    begins = F.struct(F.col(start).cast("double").alias("_sf_t"), F.when(~F.isnan(F.col(end).cast("double")), F.col("_sf_own")).alias("_sf_own"))
+    ends = F.struct(F.col(end).cast("double").alias("_sf_t"), F.lit(None).cast(iv.schema["_sf_own"].dataType).alias("_sf_own"))
+    marks = iv.select(key, F.inline(F.array(begins, ends))).groupBy(key, "_sf_t").agg(F.max("_sf_own").alias("_sf_own"))
+    points = ordered_index(stored(marks, "points"), [key], ["_sf_t"], out="_sf_i")
     following = points.select(key, (F.col("_sf_i") - 1).alias("_sf_i"), F.col("_sf_t").alias("_sf_until"))
     stretches = on_full_key(points, key, "_sf_i").join(on_full_key(following, key, "_sf_i"), [key, "_sf_i"])
-    covered = interval_join_any(stretches, iv, key=key, t="_sf_t", start=start, end=end, unit=unit, longest=longest)
-    owned = covered.groupBy(key, "_sf_i", "_sf_t", "_sf_until").agg(F.max("_sf_own").alias("_sf_own"))
+    begun = stretches.filter(F.col("_sf_own").isNotNull()).select(key, "_sf_i", "_sf_t", "_sf_until", "_sf_own")
+    left = stretches.filter(F.col("_sf_own").isNull()).drop("_sf_own")
+    covered = interval_join_any(left, iv, key=key, t="_sf_t", start=start, end=end, unit=unit, longest=longest)
+    found = covered.groupBy(key, "_sf_i", "_sf_t", "_sf_until").agg(F.max("_sf_own").alias("_sf_own"))
+    # two tables, not a union of two plans dealt alike (see Known limits in README.md)
+    owned = stored(begun, "begun").unionByName(stored(found, "found"))
     # Stretches that follow one another have neighbouring numbers both among all and among their owner's.
     placed = ordered_index(owned, [key, "_sf_own"], ["_sf_i"], out="_sf_n")
     pieces = (placed.groupBy(key, "_sf_own", (F.col("_sf_i") - F.col("_sf_n")).alias("_sf_run"))

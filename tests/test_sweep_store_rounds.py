@@ -190,3 +190,42 @@ def test_text_job_joins_both_fields_and_returns_files(spark):
     got = text_preprocess_job(spark, f"{root}/data", f"{root}/labels", f"{root}/out", n=8)
     assert "FileScan text" in got._jdf.queryExecution().executedPlan().toString() and "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [("A_1_2", 2, 1.0, 1.0, 1.0, "Sleep stage W", 0, 0), ("A_1_10", 10, 2.0, 2.0, 2.0, "Sleep stage R", 4, 1)]
+
+
+def test_only_points_where_nothing_starts_are_looked_up(spark, monkeypatch):
+    rows = [("P", float(10 * i), float(10 * i + 25), "x") for i in range(40)] + [("P", 0.0, 400.0, "long"), ("P", 0.0, 12.0, None), ("Q", 5.0, 9.0, "y")]
+    asked = []
+
+    def watched(samples, *args, **named):
+        asked.append(samples.count())
+        return IV.interval_join_any(samples, *args, **named)
+    monkeypatch.setattr(SW, "interval_join_any", watched)
+    got = SW.disjoint_intervals(spark.createDataFrame(rows, "patient string, onset double, `end` double, description string"), unit=1.0)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _owned(rows)
+    points = {p for r in rows if r[0] == "P" for p in r[1:3]}
+    assert asked == [len(points - {r[1] for r in rows}) - 1]  # but the last end
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_positions_by_floating_keys_are_exchanged_once(spark, monkeypatch, desc):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([0.0, -0.0, 1.5, float("nan"), None] + [float(i) for i in range(300)]), i) for i in range(3000)]
+    rows += [("hot", 2.5, 3000 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, x double, t long").repartition(5)
+    plans = {}
+    write = ordering.stored
+
+    def watched(df, name):
+        plans[name] = (df._jdf.queryExecution().executedPlan().toString(), df.count())
+        return write(df, name)
+    monkeypatch.setattr(ordering, "stored", watched)
+    got = ordering.ordered_index(df, ["k", "x"], ["t"], out="i", descending=desc, rows_per_bucket=200, count_out="n")
+    want = {}
+    for k, x, t in sorted(rows, key=lambda r: r[2], reverse=desc):
+        want.setdefault((k, "nan" if x != x else x), []).append(t)
+    for r in got.collect():
+        group = want[r["k"], "nan" if r["x"] != r["x"] else r["x"]]
+        assert group[r["i"]] == r["t"] and r["n"] == len(group)
+    assert got.count() == len(rows)
+    assert plans["positions"][0].count("Exchange hashpartitioning") == 1
+    assert plans["carry"][1] <= 2 * 30
