@@ -102,3 +102,16 @@ def test_the_join_moves_few_copies_of_its_intervals(spark):
         got = IV.interval_join_any(points, iv, unit=60.0, longest=30 * 86400.0).select("s", "id").collect()
     assert sorted(map(tuple, got)) == [(s, i) for s in range(400) for i in range(200) if i * 977.3 <= s * 531.7 < i * 977.3 + 26_000.0]
     assert seen[0] <= 200 * 5
+
+
+def test_overlapping_labels_copy_pieces_and_annotations_a_few_times(spark, monkeypatch):
+    from sigframe.plans.queries import QUERIES
+    seen, cover = [], IV.dyadic_cover
+
+    def watched(intervals, *args, **named):
+        out = cover(intervals, *args, **named)
+        seen.append((intervals.count(), out.count()))
+        return out
+    monkeypatch.setattr(IV, "dyadic_cover", watched)
+    assert QUERIES["label_overlapping"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and all(0 < n <= copies <= 6 * n for n, copies in seen), seen
