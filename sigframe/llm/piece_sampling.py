@@ -62,7 +62,7 @@ class PieceLattice:
         self._restart()
 
     def _compile(self) -> None:
-        """The pieces as a trie: sorted keys (node, character), their children, the piece
+        """The pieces as a trie: a table of keys (node, character), their children, the piece
         that ends at a node."""
         nodes, ends = {}, [-1]
         for piece, i in self.pieces.items():
@@ -73,14 +73,45 @@ class PieceLattice:
                 if node == len(ends):
                     ends.append(-1)
             ends[node] = i
-        self.keys = np.array(sorted(nodes), np.int64)
-        self.children = np.array([nodes[k] for k in self.keys.tolist()], np.int64)
+        # Keys lie in a table at a hash of theirs or, where it is taken, in the next free places.
+        self.bits = max(8, (8 * len(nodes)).bit_length())
+        keys, children = np.fromiter(nodes.keys(), np.int64, len(nodes)), np.fromiter(nodes.values(), np.int64, len(nodes))
+        self.keys, self.children = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            put = free[first]
+            self.keys[at[put]], self.children[at[put]] = keys[put], children[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, children, at = keys[rest], children[rest], at[rest] + 1 & len(self.keys) - 1
         self.ends = np.array(ends, np.int64)
         self.weights = np.zeros(len(self.spelled))
         for piece, i in self.pieces.items():
             self.weights[i] = self.weight[piece]
         self.max_size = max(map(len, self.pieces))
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _child(self, keys: np.ndarray) -> np.ndarray:
+        """Child node of each key (node, character), 0 where the trie has none."""
+        out, left = np.zeros(len(keys), np.int64), None
+        at = self._slot(keys)
+        while True:
+            held = self.keys[at]
+            hit = held == keys
+            if left is None:
+                out = np.where(hit, self.children[at], 0)
+            else:
+                out[left[hit]] = self.children[at[hit]]
+            on = np.flatnonzero((held >= 0) & ~hit)
+            if not len(on):
+                return out
+            left = on if left is None else left[on]
+            keys, at = keys[on], at[on] + 1 & len(self.keys) - 1
+
     def _restart(self) -> None:
         """An empty store. Node 0 is the start of every word; each other node is a place in
         a word and has edges to earlier places, kept as one sorted array of node number
@@ -88,7 +119,7 @@ class PieceLattice:
         self.root: dict[str, int] = {"": 0}
         self.n_nodes, self.n_edges = 1, 0
         self.ranked, self.to, self.piece = np.empty(1 << 16), np.empty(1 << 16, np.int32), np.empty(1 << 16, np.int32)
-        self.last = np.zeros(1 << 16, np.int64)
+        self.last = np.full(1 << 16, -1, np.int64)
 
     def spell(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -102,10 +133,9 @@ class PieceLattice:
             at, node = at[inside], node[inside]
             if not len(at):
                 break
-            key = node << 21 | codes[at + size - 1]
-            found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[found] == key
-            at, node = at[hit], self.children[found[hit]]
+            node = self._child(node << 21 | codes[at + size - 1])
+            hit = node > 0
+            at, node = at[hit], node[hit]
             piece = self.ends[node]
             full = piece >= 0
             out.append((at[full], np.full(int(full.sum()), size), piece[full], self.weights[piece[full]]))
@@ -122,19 +152,23 @@ class PieceLattice:
         offset = np.cumsum(sizes) - sizes
         begin = np.repeat(offset, sizes)
         start, size, piece, weight = self._edges(codes, np.repeat(offset + sizes, sizes))
-        end = start + size - 1
-        place = end - begin[end]
-        order = np.lexsort((end, place))
-        start, end, piece, weight = start[order], end[order], piece[order], weight[order]
-        head = begin[start] == start
+        order = np.argsort(start + size, kind="stable")
+        start, piece, weight, by_end = start[order], piece[order], weight[order], (start + size - 1)[order]
+        head_by_end = begin[start] == start
+        place = by_end - begin[by_end]
+        longest = int(sizes.max())
+        # short numbers are sorted in linear time
+        order = np.argsort(place.astype(np.uint16) if longest < 1 << 16 else place, kind="stable")
+        at_start, end, weight, head = start[order], by_end[order], weight[order], head_by_end[order]
         new = np.concatenate(([True], end[1:] != end[:-1]))
         groups = np.flatnonzero(new)
-        upto = np.searchsorted(place[order], np.arange(int(sizes.max()) + 1))
+        upto = np.searchsorted(place[order], np.arange(longest + 1))
+        among = np.searchsorted(groups, upto)
         alpha, share = np.zeros(len(codes)), np.empty(len(end))
-        for p in range(int(sizes.max())):
+        for p in range(longest):
             lo, hi = upto[p], upto[p + 1]
-            w = weight[lo:hi] * np.where(head[lo:hi], 1.0, alpha[start[lo:hi] - 1])
-            own = groups[np.searchsorted(groups, lo):np.searchsorted(groups, hi)]
+            w = weight[lo:hi] * np.where(head[lo:hi], 1.0, alpha[at_start[lo:hi] - 1])
+            own = groups[among[p]:among[p + 1]]
             alpha[end[own]] = np.add.reduceat(w, own - lo)
             share[lo:hi] = w / alpha[end[lo:hi]]
             if p % 32 == 31:  # weights within reach of later places are brought back to about 1
@@ -142,8 +176,9 @@ class PieceLattice:
                 by = 1.0 / alpha[at]
                 for back in range(self.max_size):
                     alpha[at - back] *= by
-        order = np.argsort(end, kind="stable")
-        start, end, piece, share, head = start[order], end[order], piece[order], share[order], head[order]
+        end, head, placed = by_end, head_by_end, share
+        share = np.empty(len(end))
+        share[order] = placed
         final = np.concatenate((end[1:] != end[:-1], [True]))
         summed = np.cumsum(share)
         before = np.concatenate(([0.0], summed[final][:-1]))
@@ -168,11 +203,26 @@ class PieceLattice:
         if self.n_edges > MAX_EDGES:
             self._restart()
         root = self.root
-        new = [w for w in dict.fromkeys(words) if w not in root]
+        new = dict.fromkeys([w for w in words if w not in root])
         if new:
-            self._build(new)
+            self._build([*new])
         return np.fromiter(map(root.__getitem__, words), np.int64, len(words))
 
+    def edge(self, node: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """The first edge of each node that lies above its mark, or its last: a binary search
+        among the few edges of the node."""
+        lo, hi = self.last[node - 1] + 1, self.last[node]
+        left = np.flatnonzero(lo < hi)
+        a, b, mark = lo[left], hi[left], mark[left]
+        while len(left):
+            mid = a + b >> 1
+            above = self.ranked[mid] > mark
+            a, b = np.where(above, a, mid + 1), np.where(above, mid, b)
+            lo[left] = a
+            on = np.flatnonzero(a < b)
+            left, a, b, mark = left[on], a[on], b[on], mark[on]
+        return lo
+
 
 def _uniform(keys: np.ndarray, place: np.ndarray, step: int) -> np.ndarray:
     """Numbers in [0, 1) from a hash of row key, place and step."""
@@ -210,13 +260,13 @@ def sample(texts: list[str], keys: np.ndarray, path: str, theta: float = THETA)
     row = np.repeat(np.arange(len(texts)), n_words)
     place = np.arange(len(words)) - np.repeat(np.cumsum(n_words) - n_words, n_words)
     state = own.nodes(words)
-    ranked, to, piece = own.ranked[:own.n_edges], own.to, own.piece
+    to, piece = own.to, own.piece
     drawn, active = [(np.array(marks, np.int64), np.full(len(marks), -ord(SPACE) - 1))], np.flatnonzero(state > 0)
     step = 0
     while len(active):
         node = state[active]
         r = _uniform(keys[row[active]], place[active], step)
-        edge = np.minimum(np.searchsorted(ranked, node + r, side="right"), own.last[node])
+        edge = own.edge(node, node + r)
         drawn.append((active, piece[edge].astype(np.int64)))
         state[active] = to[edge]
         active = active[state[active] > 0]

@@ -500,6 +500,26 @@ def test_pieces(spark, docs, empty):
     assert piece_sampling.encode(empty, PIECES).collect() == []
 
 
+def test_trie_table_and_edges_of_a_node():
+    """Children by a hash table, and edges searched among those of their node alone."""
+    own = piece_sampling._lattice(PIECES, piece_sampling.THETA)
+    for piece, i in list(own.pieces.items())[::50]:
+        node = 0
+        for c in piece:
+            node = own._child(np.array([node << 21 | ord(c), node << 21 | 0x10FFFF]))
+            assert node[0] > 0 and node[1] == 0
+            node = int(node[0])
+        assert own.ends[node] == i
+    words = ["there", "of", "▁", "a", "▁everything▁", "zz" * 40]
+    own._restart()
+    own.nodes(words[:3])
+    own.nodes(words)
+    nodes = np.repeat(np.arange(1, own.n_nodes), 50)
+    marks = nodes + np.random.default_rng(1).random(len(nodes))
+    want = np.minimum(np.searchsorted(own.ranked[:own.n_edges], marks, side="right"), own.last[nodes])
+    assert own.edge(nodes, marks).tolist() == want.tolist()
+
+
 def test_pieces_follow_their_weights():
     own = piece_sampling._lattice(PIECES, piece_sampling.THETA)
 
