@@ -83,7 +83,7 @@ def interval_join(samples: DataFrame, intervals: DataFrame, key: str = "patient"
 
 FANOUT = 16
 # The smallest nodes of an interval in ``interval_join_any`` are at most so many times its length.
-GRAIN = 2.0
+GRAIN = 8.0
 
 
 def dyadic_cover(intervals: DataFrame, start: str, end: str, unit: float, levels: int, fanout: int = FANOUT,

@@ -92,6 +92,21 @@ def _placed(work: DataFrame, splits: DataFrame, count: int, by: str = _K) -> Dat
     return ready.withColumn(_B, _splitters_below(F.col(_S), count, F.col(_T))).drop(_S, _T).repartition(by, _B)
 
 
+def in_ranges(df: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` dealt by (``key``, range of (``key``, ``by``)) in one exchange, the range in
+    ``_sf_bucket``, so that neighbours in the order of ``by`` meet in a window of (``key``,
+    ``_sf_bucket``); and the keys that lie in more than one range, at most one a range (None
+    if there is only one). A key's ranges are numbered in the order of ``by``; rows that are
+    equal in both share a range."""
+    work = df.withColumn(_T, F.struct(F.col(key).alias("k"), F.col(by).alias("o0")))
+    splits = stored(quantile_sketch(work, _T, ROWS_PER_BUCKET), "splits")
+    count = splits.select(F.size(_S)).first()[0]
+    if not count:
+        return df.repartition(key).withColumn(_B, F.lit(0)), None
+    border_keys = splits.select(F.explode(_S).alias("_sf_border")).select(F.col("_sf_border.k").alias(key)).distinct()
+    return _placed(work, splits, count, key), border_keys
+
+
 def ordered_index(df: DataFrame, keys: list[str], order: list, out: str = "idx",
                   descending: bool = False, rows_per_bucket: int | None = None,
                   count_out: str | None = None) -> DataFrame:

@@ -115,3 +115,10 @@ def test_overlapping_labels_copy_pieces_and_annotations_a_few_times(spark, monke
     monkeypatch.setattr(IV, "dyadic_cover", watched)
     assert QUERIES["label_overlapping"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 2 and all(0 < n <= copies <= 6 * n for n, copies in seen), seen
+
+
+def test_intervals_of_any_length_have_two_nodes_on_average(spark):
+    lengths = [1.7 ** i for i in range(2, 28)]
+    df = spark.createDataFrame([(n, at, at + n) for n in lengths for at in (0.0, 12_345.5, 99_999.9)], "n double, start double, end double")
+    copies = IV.dyadic_cover(df, "start", "end", 1.0, levels=6, grain=IV.GRAIN).count()
+    assert len(lengths) * 3 <= copies <= 2 * len(lengths) * 3

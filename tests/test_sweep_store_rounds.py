@@ -229,3 +229,36 @@ def test_positions_by_floating_keys_are_exchanged_once(spark, monkeypatch, desc)
     assert got.count() == len(rows)
     assert plans["positions"][0].count("Exchange hashpartitioning") == 1
     assert plans["carry"][1] <= 2 * 30
+
+
+def test_a_piece_goes_on_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 8)
+    rows = [("P", float(i), 100.0 + i, "a") for i in range(50)] + [("P", 49.5, 500.0, None), ("P", 600.0, 601.0, "b")]
+    rows += [("Q", 0.0, 5.0, "a"), ("Q", 5.0, 9.0, "a"), ("R", 1.0, 2.0, "c")]
+    got = SW.disjoint_intervals(spark.createDataFrame(rows, "patient string, onset double, `end` double, description string"), unit=1.0)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _owned(rows)
+    assert [(r["onset"], r["end"]) for r in got.filter("of_end = 500").collect()] == [(49.5, 500.0)]  # over 50 ends
+
+
+def test_stretches_are_exchanged_a_few_times(spark, monkeypatch):
+    """Points once, those looked up and the intervals once into the tree, what they find twice."""
+    monkeypatch.setattr(ordering, "ROWS_PER_BUCKET", 40)
+    rows = [(f"P{i % 3}", float(10 * i), float(10 * i + 45), "x") for i in range(300)]
+    plans, sizes, write = {}, {}, SW.stored
+
+    def watched(df, name):
+        plans[name], sizes[name] = df._jdf.queryExecution().executedPlan().toString(), df.count()
+        return write(df, name)
+    monkeypatch.setattr(SW, "stored", watched)
+    monkeypatch.setattr(ordering, "stored", lambda df, name: watched(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = SW.disjoint_intervals(spark.createDataFrame(rows, "patient string, onset double, `end` double, description string"), unit=1.0)
+        plans["result"] = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((tuple(r) for r in got.collect()), key=str) == _owned(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items() if name not in ("splits", "carry")}
+    assert sum(moved.values()) <= 6, moved  # the last one moves a range's outer pieces only
+    assert sizes["carry"] <= 600 // 40 * 3
